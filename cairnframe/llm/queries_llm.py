@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cairnframe.functions.exec import table
-from cairnframe.llm import lookalikes
+from cairnframe.llm import lookalikes, tokens
 
 
 def p3_found(spark, d):
@@ -14,6 +14,16 @@ def p3_paths(spark, d):
     return lookalikes.consistent_paths(table(spark, d, "entries"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_paths)}
+def p7_ids(spark, d):
+    return tokens.encode_corpus(table(spark, d, "documents"))
 
-SQL: dict[str, str] = {}
+
+def p7_texts(spark, d):
+    return tokens.decode_corpus(p7_ids(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p7_ids, p7_texts)}
+
+SQL = {
+    "p7_texts": "SELECT doc_id, COALESCE(text, '') AS text FROM documents",
+}
