@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from cairnframe.functions.exec import table
-from cairnframe.llm import lookalikes, tokens
+from cairnframe.llm import leakage, lookalikes, sentences, tokens
 
 
 def p3_found(spark, d):
@@ -22,7 +22,21 @@ def p7_texts(spark, d):
     return tokens.decode_corpus(p7_ids(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_paths, p7_ids, p7_texts)}
+def p8_found(spark, d):
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_passages(spark, d):
+    return leakage.passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_found(spark, d):
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
+QUERIES = {
+    f.__name__: f for f in (p3_found, p3_paths, p7_ids, p7_texts, p8_found, p8_passages, p9_found)
+}
 
 SQL = {
     "p7_texts": "SELECT doc_id, COALESCE(text, '') AS text FROM documents",
