@@ -63,17 +63,23 @@ def table() -> dict[str, str]:
     return {k: "".join(shapes.get(x, x) for x in v) for k, v in out.items()}
 
 
-def visual_form(text: str | None) -> str | None:
+def visual_form(text: str | None, t: dict[str, str] | None = None) -> str | None:
     """The consistent form of one text: composed, without invisible characters, look-alikes replaced."""
     if text is None or text.isascii() and text.isprintable():
         return text
-    t = table()
+    t = t or table()
     return unicodedata.normalize("NFC", "".join(t.get(c, c) for x in unicodedata.normalize("NFD", text) for c in t.get(x, x)))
 
 
-@F.pandas_udf(StringType())
-def visual_form_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(visual_form, na_action="ignore")
+def visual_form_column(text: Column) -> Column:
+    """visual_form in Arrow batches; the table is made once, on the driver, and goes along (a few hundred entries)."""
+    t = table()
+
+    @F.pandas_udf(StringType())
+    def form(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: visual_form(x, t), na_action="ignore")
+
+    return form(text)
 
 
 def reading_key(text: Column) -> Column:
@@ -103,8 +109,8 @@ def spellings(rows: DataFrame, group: str, text: str) -> DataFrame:
         .where(F.col("canonical") != F.col("most"))
         .select(group, "k", "canonical")
     )
-    found = keyed.join(sized(cut(classes), 200_000), [group, "k"]).select(group, text, "canonical").distinct()
-    exact = found.withColumn("form", visual_form_udf(F.col(text)))
+    found = cut(keyed.join(sized(cut(classes), 200_000), [group, "k"]).select(group, text, "canonical").distinct())
+    exact = found.withColumn("form", visual_form_column(F.col(text)))
     least = exact.groupBy(group, "canonical", "form").agg(F.min(text).alias("c2"), F.max(text).alias("m2"))
     least = least.where(F.col("c2") != F.col("m2"))
     return exact.join(least, [group, "canonical", "form"]).select(group, text, F.col("c2").alias("canonical"))
@@ -133,5 +139,5 @@ def consistent_paths(entries: DataFrame) -> DataFrame:
     members = spellings(entries, "scan_id", "rel_path")
     joined = rows.join(members, ["scan_id", "rel_path"], "left")
     return joined.select(
-        "scan_id", "rel_path", F.coalesce("canonical", "rel_path").alias("canonical"), visual_form_udf(F.col("rel_path")).alias("form")
+        "scan_id", "rel_path", F.coalesce("canonical", "rel_path").alias("canonical"), visual_form_column(F.col("rel_path")).alias("form")
     )
