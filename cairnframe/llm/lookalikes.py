@@ -50,7 +50,7 @@ def table() -> dict[str, str]:
         elif ch in HYPHENS:
             out[ch] = "-"
         elif unicodedata.decomposition(ch).startswith(("<wide>", "<narrow>")):
-            out[ch] = unicodedata.normalize("NFKC", ch) if code not in (0xFF9E, 0xFF9F) else chr(0x3099 + code - 0xFF9E)
+            out[ch] = chr(int(unicodedata.decomposition(ch).split()[1], 16))
     del out[" "]
     shapes = dict(SAME_SHAPE)
     for code in [*range(0x370, 0x530), *range(0x1F00, 0x2000)]:  # composed letters on a base of the same shape

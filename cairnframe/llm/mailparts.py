@@ -76,7 +76,10 @@ def _kind(head: str) -> tuple[str, str]:
     return (t[1].strip('"') if t else "text/plain"), (c[1].strip('"') if c else "")
 
 
-_ATTRIBUTION = re.compile(r"[0-9@<].*[:：][ \t]*\r?\n?$")
+def _attribution(line: str) -> bool:
+    """Whether a line announces a quotation: it ends with a colon and holds a date or an address."""
+    line = line.rstrip()
+    return line[-1:] in (":", "：") and re.search("[0-9@<]", line) is not None
 
 
 def own_blocks(text: str) -> list[tuple[int, int]]:
@@ -92,7 +95,7 @@ def own_blocks(text: str) -> list[tuple[int, int]]:
             first = text[at]
             if first == ">":
                 if run is not None:
-                    cut = before if before is not None and _ATTRIBUTION.search(text, before, at) else at
+                    cut = before if before is not None and _attribution(text[before:at]) else at
                     if cut > run:
                         out.append((run, cut))
                     run = None

@@ -16,7 +16,7 @@ RUNS_ON = frozenset(
     mr mrs ms dr prof messrs st rev gen col capt lt sgt hon mt no nos vol vols fig figs sec ch pp p vs cf e.g i.e approx
     ca viz ed eds dept est tel ext art nr
     hr fr fa dipl.-ing dipl ing abs bd s vgl z bzw bspw sog ggf evtl inkl str d.h z.b nr.
-    sr sra srta dra d dña pág págs aprox núm art ej av
+    ee sr sra srta dra d dña pág págs aprox núm art ej av
     m mm mme mlle me env réf chap av ex n
     г-н г-жа д-р проф см с стр т ул рис им тел гл напр ср е к
     د أ م ص डॉ श्री प्रो
@@ -29,11 +29,11 @@ MAY_END = frozenset(
     thu fri sat sun min max usw u.a u.ä ff a.d s.a uu ee.uu д п г гг др пр тыс млн млрд руб коп
     """.split()
 )
-# Words that tell the language of a block, by which ordinals and single words are read.
-GERMAN = frozenset("der die das und ist nicht am im in dem den ein eine mit von seit wir zur zum bei vom ohne wer hat".split())
 # Words that a German ordinal stands after, and the names of months that one stands before.
 ORDINAL_AFTER = frozenset("der die das den dem des am im vom zum zur beim seit bis ab unser unsere jeder jede jedes".split())
 MONTHS = re.compile(r"Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember")
+# Parts of company names that come after a dot.
+COMPANY = re.compile(r"(?:KG|KGaA|OHG|AG|SE|Inc|Ltd|Corp|LLC|LLP|PLC|SA|SL|SRL)\b")
 # Names written in lower case also at the start of a sentence.
 LOWER_NAMES = re.compile(r"(?:rsync|scp|ssh|sftp|curl|wget|git|grep|sed|awk|tar|gzip|cron|npm|pip|iOS|iPad|iPhone|eBay)\b")
 # Single dotted letters before the last one that make an abbreviation which may end a sentence.
@@ -49,7 +49,8 @@ _PARTNER = {"(": ")", "（": "）", "[": "]", "【": "】", "〔": "〕", "{": "
 _MARK = re.compile(r"[.!?…。！？｡।॥؟۔]+|[\"(（\[【〔{“„«「『‹)）\]】〕}”»」』›]")
 _WIDE_END = "。！？｡"
 _HARD = "!?؟।॥۔"
-_WORD_BEFORE = re.compile(r"[^\s(\[{“„«\"「『（]*$")
+#: Code points before a mark that are looked at for the words before it, and after it for an opening.
+LOOK, DEPTH = 200, 50
 _SPACE = re.compile(r"\s*")
 _LETTERS = re.compile(r"[^\W_]")
 _THAI = re.compile(r"[฀-๿]")
@@ -60,6 +61,14 @@ _BLANKS = re.compile(r"[ \t  - 　]+")
 _TRAILING = re.compile(r"[\"”»)）\]】」』’›}]+")
 
 
+def _word_before(before: str) -> str:
+    """The run of characters at the end of `before` without blanks and opening marks."""
+    at = len(before)
+    while at and not before[at - 1].isspace() and before[at - 1] not in OPEN and before[at - 1] != '"':
+        at -= 1
+    return before[at:]
+
+
 def _spans(block: str) -> list[tuple[int, int]]:
     """(opening, end) of the quotations and brackets of a block that are closed in it, outermost only."""
     out, stack = [], []
@@ -83,6 +92,7 @@ def _spans(block: str) -> list[tuple[int, int]]:
             if own is None:
                 if ch in _PARTNER:
                     stack.append((ch, at))
+                    del stack[:-DEPTH]  # deeper ones are taken as never closed
                 continue
             start = stack[own][1]
             del stack[own:]
@@ -98,7 +108,7 @@ def _last_word(before: str, word: str) -> str:
     return prev[-1].lower() if prev else ""
 
 
-def _runs_on(before: str, word: str, start: bool, german: bool, after: str = "") -> bool | None:
+def _runs_on(before: str, word: str, start: bool, after: str = "") -> bool | None:
     """What a dot after `word` means: True never an end, None perhaps, False an end; `after` is the text that follows."""
     w = word.rstrip(".").lower()
     if not w:
@@ -109,12 +119,12 @@ def _runs_on(before: str, word: str, start: bool, german: bool, after: str = "")
     prev = prev[-1].rstrip(".").lower().lstrip("(„“«\"") if prev and prev[-1].endswith(".") else ""
     if (prev, w) in PAIRS:
         return None
-    if german and _NUMBER.match(word):
-        return (_last_word(before, word) in ORDINAL_AFTER or MONTHS.match(after) is not None) or False
+    if _NUMBER.match(word):
+        return MONTHS.match(after) is not None or _last_word(before, word) in ORDINAL_AFTER
     if w == "h" and prev == "d":
         return True
     if w in MAY_END:
-        return None
+        return True if COMPANY.match(after) else None
     if w in RUNS_ON:
         return True
     if len(w) == 1 and w.isalpha() and word[0] != w:
@@ -130,15 +140,21 @@ def boundaries(block: str) -> list[int]:
     thai = len(_THAI.findall(block))
     if thai and 2 * thai > len(_LETTERS.findall(block)) - thai:
         inside = _spans(block)
-        cuts = [m.start() for m in _BLANKS.finditer(block) if not any(a <= m.start() < b for a, b in inside)]
+        cuts, i = [], 0
+        for m in _BLANKS.finditer(block):
+            while i < len(inside) and inside[i][1] <= m.start():
+                i += 1
+            if i == len(inside) or m.start() < inside[i][0]:
+                cuts.append(m.start())
         return [*cuts, n]
     cjk = _CJK.search(block) is not None
-    spans, cuts, begin = _spans(block), [], 0
-    german = None
+    spans, cuts, begin, s = _spans(block), [], 0, 0
     for m in _MARK.finditer(block):
         at, e, marks = m.start(), m.end(), m[0]
         ends = marks[-1] in ".!?…。！？｡।॥؟۔"
-        span = next(((a, b) for a, b in spans if a <= at < b), None)
+        while s < len(spans) and spans[s][1] <= at:
+            s += 1
+        span = spans[s] if s < len(spans) and spans[s][0] <= at else None
         quoted = False
         if span is not None:
             if ends or e != span[1]:
@@ -147,12 +163,12 @@ def boundaries(block: str) -> list[int]:
             if not inner or inner[-1] not in ".!?…。！？｡।॥؟۔":
                 continue
             marks, quoted = inner[-1], True
-            if marks == "." and not inner.endswith("..") and _runs_on(inner[:-1], _WORD_BEFORE.search(inner[:-1])[0], False, False) is not False and span[0] > begin and not block[begin : span[0]].isspace():
+            if marks == "." and not inner.endswith("..") and _runs_on(inner[-LOOK:-1], _word_before(inner[-LOOK:-1]), False) is not False and span[0] > begin and not block[begin : span[0]].isspace():
                 continue
         elif not ends:
             continue
         else:
-            e = (t.end() if (t := _TRAILING.match(block, e)) and not any(a <= e < b for a, b in spans) else e)
+            e = (t.end() if (t := _TRAILING.match(block, e)) and not (s < len(spans) and spans[s][0] <= e) else e)
         if e >= n:
             break
         after = _SPACE.match(block, e).end()
@@ -173,7 +189,7 @@ def boundaries(block: str) -> list[int]:
         elif wide:
             if quoted:
                 goes = GOES_ON_JA if block[span[0]] in "「『" else GOES_ON_ZH
-                colon = block[begin : span[0]].rstrip()[-1:] in "：:" and block[begin : span[0]].strip()
+                colon = (lead := block[max(begin, span[0] - LOOK) : span[0]].strip()) and lead[-1] in "：:"
                 if block[span[0]] not in "（(" and not colon and goes.match(block, after):
                     continue
         elif not gap:
@@ -189,12 +205,10 @@ def boundaries(block: str) -> list[int]:
                 if nx.islower() and not whole and not LOWER_NAMES.match(block, after):
                     continue
             else:
-                dots = block[begin:at]
-                if german is None:
-                    words = re.findall(r"[a-zäöü]+", block.lower())
-                    german = sum(w in GERMAN for w in words) * 6 > len(words)
-                word = _WORD_BEFORE.search(dots)[0]
-                kind = _runs_on(dots, word, not dots[: len(dots) - len(word)].strip(), german, block[after : after + 12])
+                dots = block[max(begin, at - LOOK) : at]
+                word = _word_before(dots)
+                first = at - LOOK <= begin and not dots[: len(dots) - len(word)].strip()
+                kind = _runs_on(dots, word, first, block[after : after + 12])
                 if kind is True or kind is None and not _starts(block, after):
                     continue
         cuts.append(e)
@@ -204,7 +218,8 @@ def boundaries(block: str) -> list[int]:
 
 def _starts(block: str, at: int) -> bool:
     """Whether a sentence may start at `at`: an upper-case letter, also after an opening mark, or a caseless letter."""
-    while at < len(block) and (block[at] in '¿¡"' or block[at] in OPEN or block[at].isspace()):
+    last = at + LOOK
+    while at < min(last, len(block)) and (block[at] in '¿¡"' or block[at] in OPEN or block[at].isspace()):
         at += 1
     if at >= len(block):
         return False

@@ -192,8 +192,10 @@ def encode_corpus(docs: DataFrame, text: str = "text", name: str = "byte_bpe_50k
     spark = docs.sparkSession
     lines = load_ranks(name, folder)
     base = max(ranks_of(lines).values()) + 1
-    stats = docs.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    buckets = min(50_000, max(spark.sparkContext.defaultParallelism, int(str(stats)) // (32 << 20)))
+    size = int(str(docs.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:  # Spark doesn't know; then as many as the input has partitions of the usual size
+        size = docs.rdd.getNumPartitions() * (32 << 20)
+    buckets = min(50_000, max(spark.sparkContext.defaultParallelism, size // (32 << 20)))
     ddl = (
         "block long, doc_ids array<bigint>, lengths binary, codes binary, n_others int, "
         "words array<struct<bucket:int,places:binary,words:binary>>"
