@@ -38,11 +38,23 @@ COMPANY = re.compile(r"(?:KG|KGaA|OHG|AG|SE|Inc|Ltd|Corp|LLC|LLP|PLC|SA|SL|SRL)\
 LOWER_NAMES = re.compile(r"(?:rsync|scp|ssh|sftp|curl|wget|git|grep|sed|awk|tar|gzip|cron|npm|pip|iOS|iPad|iPhone|eBay)\b")
 # Single dotted letters before the last one that make an abbreviation which may end a sentence.
 PAIRS = {("a", "m"), ("p", "m"), ("s", "a"), ("u", "s"), ("ee", "uu"), ("т", "д"), ("т", "п"), ("и", "др"), ("н", "э"), ("u", "a")}
-# Japanese particles and Chinese words with which a sentence runs on after a closed quotation.
-GOES_ON_JA = re.compile(r"と|って|という|の|が|を|は|に|も|で|へ|や|など|から|まで")
-GOES_ON_ZH = re.compile(r"却|的|地|得|了|也|就|但|而|并|是|在|[^，。！？、；：“”\s]{0,8}?(?:说|问|道|喊|答|写道|表示)")
-# Chinese and Japanese words that open a sentence, after dots that could go on.
-OPENS = re.compile(r"其实|昨天|今天|明天|谁|请|大约|又失败|新版本|実は|昨日|今日|明日|また|詳しくは|版は|容量は")
+# Words of the dictionary for text without blanks. Joining words carry a sentence on after a closed
+# quotation, saying words do so after a speaker's name, opening words begin a sentence.
+JOINS = """
+と って という といった との が を は に も で へ や など から まで の だけ さえ
+却 的 地 得 了 也 就 但 而 并 是 在 和 与 之后 以后 时
+""".split()
+SAYS = "说 问 道 喊 答 写道 表示 回答 说道 问道 言 言う 言い 述べ".split()
+OPENERS = """
+実は 昨日 今日 明日 今朝 昨夜 また 詳しく 版 容量 その それ この これ そして しかし だから ところで とき ところ とても ともかく
+もう もし もちろん でも では なお まず まだ はい やはり ですから のち はじめ はじめに
+其实 昨天 今天 明天 今早 昨晚 谁 请 大约 又 新版本 但是 于是 然后 所以 因此 不过 而且 并且 也许 就是 是否 在此 如果 虽然 可是
+""".split()
+_WORDS = {w: k for k, words in (("opens", OPENERS), ("joins", JOINS), ("says", SAYS)) for w in words}
+_LONGEST = max(map(len, _WORDS))
+#: Code points after a gap that the lattice spans.
+WINDOW = 12
+_SENTENCE_PART = re.compile(r"[^，。！？、；：“”「」『』（）()\s.,!?…]*")
 
 OPEN, CLOSE = "(（[【〔{“„«「『‚‹", ")）]】〕}”“»」』‘›"
 _PARTNER = {"(": ")", "（": "）", "[": "]", "【": "】", "〔": "〕", "{": "}", "“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "‹": "›"}
@@ -69,6 +81,36 @@ def _word_before(before: str) -> str:
     return before[at:]
 
 
+def words_ahead(block: str, at: int) -> list[tuple[str, str]]:
+    """(class, word) of the best path through the dictionary's word lattice over the part of a sentence at `at`.
+
+    A known word costs 1, an unknown character 2; of equal paths the one whose first word is longer counts.
+    """
+    text = _SENTENCE_PART.match(block, at, min(len(block), at + WINDOW))[0]
+    best: list[tuple[float, list]] = [(0.0, [])] * (len(text) + 1)
+    for i in range(len(text) - 1, -1, -1):
+        cost, path = best[i + 1]
+        found = (cost + 2, [("", text[i]), *path])
+        for j in range(i + 1, min(len(text), i + _LONGEST) + 1):
+            if (kind := _WORDS.get(text[i:j])) is not None and best[j][0] + 1 <= found[0]:
+                found = (best[j][0] + 1, [(kind, text[i:j]), *best[j][1]])
+        best[i] = found
+    return best[0][1]
+
+
+def _carries_on(block: str, at: int) -> bool:
+    """Whether the words after a closed quotation carry its sentence on: a joining word, or a name that says it."""
+    path = words_ahead(block, at)
+    if not path or path[0][0] == "joins":
+        return bool(path)
+    kinds = [k for k, _ in path]
+    return "says" in kinds and "opens" not in kinds[: kinds.index("says")]
+
+
+def _opens(block: str, at: int) -> bool:
+    return (path := words_ahead(block, at)) != [] and path[0][0] == "opens"
+
+
 def _spans(block: str) -> list[tuple[int, int]]:
     """(opening, end) of the quotations and brackets of a block that are closed in it, outermost only."""
     out, stack = [], []
@@ -182,15 +224,14 @@ def boundaries(block: str) -> list[int]:
             continue
         if "…" in marks or len(marks) > 1 and set(marks) == {"."}:
             if cjk and not gap:
-                if not OPENS.match(block, after):
+                if not _opens(block, after):
                     continue
-            elif not gap or not (_starts(block, after) or cjk and OPENS.match(block, after)):
+            elif not gap or not (_starts(block, after) or cjk and _opens(block, after)):
                 continue
         elif wide:
             if quoted:
-                goes = GOES_ON_JA if block[span[0]] in "「『" else GOES_ON_ZH
                 colon = (lead := block[max(begin, span[0] - LOOK) : span[0]].strip()) and lead[-1] in "：:"
-                if block[span[0]] not in "（(" and not colon and goes.match(block, after):
+                if block[span[0]] not in "（(" and not colon and _carries_on(block, after):
                     continue
         elif not gap:
             continue
@@ -265,7 +306,8 @@ def sentence_units(docs: DataFrame) -> DataFrame:
     A narrow map over Arrow batches without any shuffle: a document is read on its own, whatever its language column
     says; scripts are told by their letters. In spaced scripts every terminator is a node of a lattice of readings
     (number, initial, abbreviation, ellipsis, quotation, end), in which the word before and the opening after decide;
-    spaceless scripts are cut after their final marks unless a particle or word runs on. A NULL or empty text,
+    spaceless scripts are
+    cut after their final marks, unless the best path through a dictionary's word lattice begins with words that carry on. A NULL or empty text,
     and one without own prose, have no rows; repeated documents each have theirs; extra columns are ignored.
     """
     return docs.select("doc_id", "text").mapInArrow(_run, "doc_id long, start_char int, end_char int")

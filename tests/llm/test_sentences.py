@@ -82,3 +82,9 @@ def test_operator(spark):
     n = len(HEAD)
     assert sorted(tuple(r) for r in st.sentence_units(df).collect()) == sorted([(1, n, n + 4), (1, n + 5, n + 9)] * 2)
     assert st.sentence_units(df.limit(0)).count() == 0
+
+
+def test_word_lattice_tells_particles_from_nouns():
+    assert st.words_ahead("ヴェルミさんと", 0)[-1] == ("joins", "と")
+    assert units(HEAD + "“好。”但是夜班走了。“好。”托兰说。") == ["“好。”", "但是夜班走了。", "“好。”托兰说。"]
+    assert units(HEAD + "「終わった。」ところで、次は何ですか。") == ["「終わった。」", "ところで、次は何ですか。"]
