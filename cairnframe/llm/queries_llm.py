@@ -38,6 +38,18 @@ QUERIES = {
     f.__name__: f for f in (p3_found, p3_paths, p7_ids, p7_texts, p8_found, p8_passages, p9_found)
 }
 
+def _form_sql() -> str:
+    """The consistent form of rel_path in SQL: the same table, given to translate."""
+    t = {k: v for k, v in lookalikes.table().items() if k != "\0"}
+    one, gone = [k for k, v in t.items() if v], [k for k, v in t.items() if not v]
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    return f"nfc_normalize(translate(nfc_normalize(rel_path), {quote(''.join(one + gone))}, {quote(''.join(t[k] for k in one))}))"
+
+
 SQL = {
+    "p3_found": f"""
+        WITH e AS (SELECT DISTINCT scan_id, rel_path, {_form_sql()} AS form FROM entries)
+        SELECT scan_id, a.rel_path AS rel_path_a, b.rel_path AS rel_path_b FROM e a JOIN e b USING (scan_id, form)
+        WHERE a.rel_path < b.rel_path""",
     "p7_texts": "SELECT doc_id, COALESCE(text, '') AS text FROM documents",
 }
