@@ -45,7 +45,68 @@ QUERIES = {
 
 _ENTRIES = "SELECT DISTINCT scan_id, rel_path, size, mtime_ns, COALESCE(LOWER(sha256), '') AS sha FROM entries"
 
+_MEANING = """CASE WHEN p IN ('statuscode', 'status') THEN 'http_status_code'
+        WHEN p IN ('bucket', 'bucketname') THEN 'bucket' WHEN p IN ('key', 'objectkey') THEN 'object_key'
+        WHEN p IN ('versionid', 'version') THEN 'version_id' WHEN contains(p, 'http') THEN 'http_status_code'
+        WHEN regexp_matches(p, 'err|fehler|fail|fault') THEN 'error_code'
+        WHEN regexp_matches(p, 'result|message|msg|text|ergebnis|meldung|nachricht') THEN 'result_message'
+        WHEN regexp_matches(p, 'taskstatus|taskstate') THEN 'task_status' WHEN contains(p, 'status') THEN 'http_status_code'
+        ELSE p END"""
+
+_FIELD = '(?s),[ \\t]*("(?:[^"]|"")*"|[^",]*)'
+_LINES = f"""r AS (SELECT DISTINCT report_id, line_no, regexp_replace(coalesce(raw, ''), '[\\r\\n]+$', '') AS raw FROM raw_report_lines),
+    q AS (SELECT *, regexp_full_match(',' || raw, '(?:{_FIELD.replace("(?s)", "")})+', 's') AS quoted,
+          list_transform(regexp_extract_all(',' || raw, '{_FIELD}', 1), lambda x: CASE WHEN starts_with(x, '"')
+              THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) AS f FROM r),
+    k AS (SELECT *, regexp_replace(f[7], '"(?:[^"\\\\]|\\\\.)*"', '""', 'g') AS bare FROM q),
+    j AS (SELECT report_id, line_no, f, CASE WHEN NOT quoted THEN 'quoting' WHEN len(f) <> 7 THEN 'column_count'
+          WHEN lower(f[1]) = 'bucket' AND lower(f[2]) = 'key' AND lower(f[7]) = 'resultmessage' THEN 'header'
+          WHEN lower(f[4]) NOT IN ('succeeded', 'failed') THEN 'task_status'
+          WHEN lower(f[4]) = 'succeeded' AND NOT (json_valid(f[7]) AND coalesce(json_type(TRY_CAST(f[7] AS JSON)), '') = 'OBJECT'
+               AND NOT regexp_matches(bare, ',\\s*[}}\\]]|NaN|Inf')) THEN 'result_message' END AS reason FROM k)"""
+
 SQL = {
+    "p1_found": f"""
+        WITH a AS (SELECT feed_id, file_id, written_at, record, unnest(json_keys(record)) AS field FROM report_records
+                   WHERE json_valid(record) AND json_type(record) = 'OBJECT'),
+        k AS (SELECT feed_id, file_id, field, list_sort(list(DISTINCT CASE t WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN
+                  'decimal' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'integer' END)
+                  FILTER (t <> 'NULL')) AS kinds, lower(regexp_replace(field, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS p
+              FROM (SELECT *, json_type(record, '$."' || field || '"') AS t FROM a) GROUP BY ALL),
+        n AS (SELECT feed_id, file_id, field, kinds, {_MEANING} AS m FROM k),
+        o AS (SELECT feed_id, file_id, lag(file_id) OVER (PARTITION BY feed_id ORDER BY w, file_id) AS before
+              FROM (SELECT feed_id, file_id, max(written_at) AS w FROM a GROUP BY ALL)),
+        cur AS (SELECT o.file_id AS f, n.* FROM o JOIN n USING (feed_id, file_id) WHERE before IS NOT NULL),
+        old AS (SELECT o.file_id AS f, n.field, n.kinds, n.m FROM o JOIN n ON n.feed_id = o.feed_id AND n.file_id = o.before),
+        came AS (SELECT *, row_number() OVER (PARTITION BY f, m ORDER BY field) AS i FROM cur ANTI JOIN old USING (f, field)),
+        gone AS (SELECT *, row_number() OVER (PARTITION BY f, m ORDER BY field) AS i FROM old ANTI JOIN cur USING (f, field)),
+        ren AS (SELECT f, m, i, c.field, c.kinds AS new_kinds, g.kinds AS old_kinds FROM came c JOIN gone g USING (f, m, i)),
+        pairs AS (SELECT f, field, new_kinds, old_kinds FROM ren
+                 UNION ALL SELECT f, field, cur.kinds, old.kinds FROM cur JOIN old USING (f, field))
+        SELECT f AS file_id, field, 'renamed' AS change FROM ren
+        UNION ALL SELECT f, field, 'added' FROM came ANTI JOIN ren USING (f, m, i)
+        UNION ALL SELECT f, field, 'removed' FROM gone ANTI JOIN ren USING (f, m, i)
+        UNION ALL SELECT f, field, 'retyped' FROM pairs WHERE new_kinds <> old_kinds""",
+    "p2_found": f"WITH {_LINES} SELECT report_id, line_no, reason FROM j WHERE reason <> 'header'",
+    "p2_rows": f"""
+        WITH {_LINES}, w AS (SELECT *, lower(f[4]) = 'succeeded' AS ok, TRY_CAST(f[5] AS BIGINT) IS NOT NULL AS swapped,
+            CASE WHEN lower(f[4]) = 'succeeded' THEN f[7]::JSON END AS v FROM j WHERE reason IS NULL),
+        x AS (SELECT *, CASE WHEN swapped THEN f[6] ELSE f[5] END AS e, CASE WHEN swapped THEN f[5] ELSE f[6] END AS h,
+            CASE WHEN json_type(v, '$.checksum_hex') = 'VARCHAR' THEN nullif(lower(trim(v->>'$.checksum_hex')), '') END AS hex,
+            CASE WHEN json_type(v, '$.checksum_base64') = 'VARCHAR' THEN nullif(trim(v->>'$.checksum_base64'), '') END AS b64,
+            CASE WHEN json_type(v, '$.etag') = 'VARCHAR' THEN nullif(trim(v->>'$.etag'), '') END AS etag,
+            CASE WHEN json_type(v, '$.checksumAlgorithm') = 'VARCHAR' THEN nullif(trim(v->>'$.checksumAlgorithm'), '') END AS alg,
+            CASE WHEN json_type(v, '$.checksumType') = 'VARCHAR' THEN nullif(trim(v->>'$.checksumType'), '') END AS typ FROM w),
+        y AS (SELECT *, CASE WHEN NOT ok THEN 'task did not succeed' WHEN coalesce(upper(alg), '') <> 'SHA256'
+              THEN 'unsupported checksum algorithm' WHEN coalesce(upper(typ), '') <> 'FULL_OBJECT' THEN 'unsupported checksum type'
+              WHEN NOT regexp_full_match(coalesce(hex, lower(hex(from_base64(b64))), ''), '[0-9a-f]{{64}}') THEN 'no SHA-256 checksum' END AS err
+              FROM x)
+        SELECT report_id, line_no, trim(f[1]) AS bucket, url_decode(replace(f[2], '+', '%20')) AS object_key,
+            CASE WHEN lower(trim(f[3])) NOT IN ('', 'null') THEN trim(f[3]) END AS version_id, trim(f[4]) AS task_status,
+            CASE WHEN lower(trim(e)) NOT IN ('', 'null') THEN trim(e) END AS error_code, TRY_CAST(trim(h) AS BIGINT) AS http_status_code,
+            CASE WHEN lower(trim(f[7])) NOT IN ('', 'null') THEN trim(f[7]) END AS result_message, etag, b64 AS checksum_base64,
+            alg AS checksum_algorithm, typ AS checksum_type, coalesce(hex, lower(hex(from_base64(b64)))) AS checksum_hex,
+            err, CAST(err IS NULL AS INT) AS usable FROM y""",
     "p4_found": f"""
         WITH e AS ({_ENTRIES}),
         o AS (SELECT scan_id, LAG(scan_id) OVER (PARTITION BY machine_id, root ORDER BY started_at, scan_id) AS p

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairnframe.functions import paths
 from cairnframe.functions.exec import table
-from cairnframe.operators import browse, compare, reuse
+from cairnframe.operators import browse, compare, reuse, snapshots
 from cairnframe.operators.snapshots_view import paired, side
 from cairnframe.plans import consolidate, s3import
 from cairnframe.sources.reports import base64_hex, decoded_key, text_or_null
@@ -46,7 +46,7 @@ def path_ignore_noise(spark, d):
 
 
 def path_prefix(spark, d):
-    return _by_path(spark, d, lp="a", rp="/s\\").select("pair_id", "kind", "rel_path")
+    return _by_path(spark, d, lp="@eaDir", rp="/@eaDir\\").select("pair_id", "kind", "rel_path")
 
 
 def path_overlap_stats(spark, d):
@@ -68,6 +68,26 @@ def compact_right(spark, d):
     return _compact(spark, d, "right")
 
 
+def _snapshot_sides(spark, d):
+    """The two snapshots of every step of a root: the one before is left."""
+    entries, steps = paths.backfill(table(spark, d, "entries")), snapshots.snapshot_steps(table(spark, d, "scans"))
+    steps = steps.withColumnRenamed("later_scan_id", "pair_id")
+    left = side(paired(entries, steps.where(~F.col("is_new")), "scan_id"), KEYS)
+    return left, side(paired(entries, steps.where("is_new"), "scan_id"), KEYS)
+
+
+def compact_removed(spark, d):
+    left, right = _snapshot_sides(spark, d)
+    rows = compare.compare_by_path(left, right, KEYS)
+    return compare.compact_missing_trees(compare.only_files(rows, "left", KEYS), right, KEYS)
+
+
+def compact_added(spark, d):
+    left, right = _snapshot_sides(spark, d)
+    rows = compare.compare_by_path(left, right, KEYS)
+    return compare.compact_missing_trees(compare.only_files(rows, "right", KEYS), left, KEYS)
+
+
 def content_identical(spark, d):
     return compare.identical_by_content(*_sides(spark, d), KEYS)
 
@@ -207,7 +227,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         path_counts, path_different, path_left_only, path_right_only, path_ignore_noise, path_prefix, path_overlap_stats,
-        compact_left, compact_right, content_identical, content_left_only, content_right_only, duplicates,
+        compact_left, compact_right, compact_removed, compact_added, content_identical, content_left_only, content_right_only, duplicates,
         duplicates_ignore_noise, roots_list, dirs_list, scan_summary, interrupted_scans, reuse_exact, nfc_backfill,
         name_parts, exclude_patterns, root_overlaps, s3_counters, s3_values, s3_duplicate_keys, s3_entries,
         s3_inventory_lookup, consolidate_last_wins, delete_machine, import_current, upsert_roots, fingerprint_texts,
@@ -218,14 +238,20 @@ _NOISE = """(lower(name) IN ('.ds_store', 'thumbs.db', 'ehthumbs.db', 'desktop.i
              OR starts_with(lower(rel_path), '@eadir/') OR contains(lower(rel_path), '/@eadir/'))"""
 
 
-def _sides_sql(where: str = "true", lp: str = "", rp: str = "") -> str:
-    def one(col: str, p: str) -> str:
+_PAIRS = tuple(f"SELECT DISTINCT pair_id, {c} AS scan_id FROM copy_pairs" for c in ("left_scan_id", "right_scan_id"))
+_STEP = """SELECT scan_id AS later, lag(scan_id) OVER (PARTITION BY machine_id, root ORDER BY started_at, scan_id) AS before
+    FROM (SELECT DISTINCT scan_id, machine_id, root, started_at FROM scans WHERE status = 'complete')"""
+_STEPS = tuple(f"SELECT later AS pair_id, {c} AS scan_id FROM ({_STEP}) WHERE before IS NOT NULL" for c in ("before", "later"))
+
+
+def _sides_sql(where: str = "true", lp: str = "", rp: str = "", pairs: tuple[str, str] = _PAIRS) -> str:
+    def one(source: str, p: str) -> str:
         return f"""SELECT DISTINCT pair_id, substr(rel_path, {len(p) + 1}) AS rel_path,
             substr(coalesce(nullif(rel_path_norm, ''), nfc_normalize(rel_path)), {len(p) + 1}) AS cmp, size,
-            lower(nullif(sha256, '')) AS sha FROM entries JOIN (SELECT DISTINCT pair_id, {col} AS scan_id FROM copy_pairs)
-            USING (scan_id) WHERE starts_with(rel_path, '{p}') AND {where}"""
+            lower(nullif(sha256, '')) AS sha FROM entries JOIN ({source}) USING (scan_id)
+            WHERE starts_with(rel_path, '{p}') AND {where}"""
 
-    return f"l AS ({one('left_scan_id', lp)}), r AS ({one('right_scan_id', rp)})"
+    return f"l AS ({one(pairs[0], lp)}), r AS ({one(pairs[1], rp)})"
 
 
 _PATH = """j AS (SELECT coalesce(l.pair_id, r.pair_id) AS pair_id, coalesce(l.rel_path, r.rel_path) AS rel_path,
@@ -243,9 +269,9 @@ _PATH = """j AS (SELECT coalesce(l.pair_id, r.pair_id) AS pair_id, coalesce(l.re
 _ANC = "list_transform(range(1, len(string_split({0}, '/'))), lambda i: array_to_string(list_slice(string_split({0}, '/'), 1, i), '/'))"
 
 
-def _compact_sql(which: str) -> str:
+def _compact_sql(which: str, pairs: tuple[str, str] = _PAIRS) -> str:
     other, size, sha = ("r", "ls", "lh") if which == "left" else ("l", "rs", "rh")
-    return f"""WITH {_sides_sql()}, {_PATH},
+    return f"""WITH {_sides_sql(pairs=pairs)}, {_PATH},
     o AS (SELECT pair_id, rel_path, cmp, {size} AS size, {sha} AS sha FROM c WHERE kind = '{which}_only'),
     x AS (SELECT pair_id, rel_path, unnest({_ANC.format('rel_path')}) AS dir, unnest({_ANC.format('cmp')}) AS cdir FROM o),
     nodes AS (SELECT DISTINCT pair_id, unnest(list_append({_ANC.format('cmp')}, cmp)) AS cdir FROM {other}),
@@ -284,11 +310,13 @@ SQL = {
         WHERE kind = 'right_only'""",
     "path_ignore_noise": f"""WITH {_sides_sql('NOT ' + _NOISE)}, {_PATH} SELECT pair_id, kind, count(*) AS files
         FROM c GROUP BY 1, 2""",
-    "path_prefix": f"WITH {_sides_sql(lp='a/', rp='s/')}, {_PATH} SELECT pair_id, kind, rel_path FROM c",
+    "path_prefix": f"WITH {_sides_sql(lp='@eaDir/', rp='@eaDir/')}, {_PATH} SELECT pair_id, kind, rel_path FROM c",
     "path_overlap_stats": f"""WITH {_sides_sql()}, {_PATH} SELECT pair_id, count(*) FILTER (il) AS left_rows,
         count(*) FILTER (ir) AS right_rows, count(*) FILTER (il AND ir) AS exact_matches FROM j GROUP BY 1""",
     "compact_left": _compact_sql("left"),
     "compact_right": _compact_sql("right"),
+    "compact_removed": _compact_sql("left", _STEPS),
+    "compact_added": _compact_sql("right", _STEPS),
     "content_identical": f"""WITH {_sides_sql()},
         a AS (SELECT pair_id, sha, count(*) AS n FROM l WHERE sha IS NOT NULL GROUP BY 1, 2),
         b AS (SELECT pair_id, sha, count(*) AS m FROM r WHERE sha IS NOT NULL GROUP BY 1, 2)
