@@ -142,7 +142,7 @@ def copy_differences(entries: DataFrame, pairs: DataFrame) -> DataFrame:
     keys = opened.where(F.col("k").isNotNull()).select("pair_id", "k").distinct()
     shut = opened.where(F.col("k").isNull()).select("pair_id", "bucket").distinct()
     data = tagged(F.col("rel_path"), F.col("size"), digest)
-    fetched = data.join(sized(keys, 2_000_000), ["pair_id", "k"], "left_semi")
+    fetched = data.join(sized(keys), ["pair_id", "k"], "left_semi")
     if shut.limit(1).count():
         fetched = fetched.unionByName(data.join(sized(shut), ["pair_id", "bucket"], "left_semi"))
     left, right = F.col("sign") == 1, F.col("sign") == -1
