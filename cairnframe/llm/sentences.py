@@ -31,7 +31,7 @@ MAY_END = frozenset(
 )
 # Words that a German ordinal stands after, and the names of months that one stands before.
 ORDINAL_AFTER = frozenset("der die das den dem des am im vom zum zur beim seit bis ab unser unsere jeder jede jedes".split())
-MONTHS = re.compile(r"Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember")
+MONTHS = re.compile(r"(?:Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b")
 # Parts of company names that come after a dot.
 COMPANY = re.compile(r"(?:KG|KGaA|OHG|AG|SE|Inc|Ltd|Corp|LLC|LLP|PLC|SA|SL|SRL)\b")
 # Names written in lower case also at the start of a sentence.

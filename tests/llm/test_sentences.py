@@ -88,3 +88,7 @@ def test_word_lattice_tells_particles_from_nouns():
     assert st.words_ahead("ヴェルミさんと", 0)[-1] == ("joins", "と")
     assert units(HEAD + "“好。”但是夜班走了。“好。”托兰说。") == ["“好。”", "但是夜班走了。", "“好。”托兰说。"]
     assert units(HEAD + "「終わった。」ところで、次は何ですか。") == ["「終わった。」", "ところで、次は何ですか。"]
+
+
+def test_a_word_that_only_begins_like_a_month():
+    assert units(HEAD + "She asked for shelf block 7. Mail her at noon.") == ["She asked for shelf block 7.", "Mail her at noon."]
