@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cairnframe.functions.exec import cut
@@ -40,13 +40,15 @@ def hash_rows(pending: DataFrame, root: str, parallelism: int | None = None) ->
 
 
 def inventory(
-    store: Store, root: str, exclude: list[str] | None = None, identity: tuple[str, str] | None = None, trusted_only: bool = False, parallelism: int | None = None
+    store: Store, root: str, exclude: list[str] | None = None, identity: tuple[str, str] | None = None, trusted_only: bool = False, parallelism: int | None = None,
+    progress: Observation | None = None,
 ) -> int:
     """Scan a tree and publish its snapshot; the scan id.
 
     Unchanged files take the hashes of the root's own scans (newest failed one: trusted rows; authority: any, or trusted
     ones only) or of overlapping roots of the machine; all others are hashed. Anything that goes wrong leaves
-    a failed scan whose files can be reused. A missing root raises.
+    a failed scan whose files can be reused, and its Spark jobs are cancelled. A missing root raises. progress, an
+    Observation, counts files discovered, reused, hashed and failed while they are written.
     """
     root = os.path.realpath(root)
     walked = read_tree(store.spark, root, exclude, skip=[store.path])
@@ -70,6 +72,8 @@ def inventory(
         kind, case = volume_facts(root)
         facts = {"goos": platform.system().lower(), "goarch": platform.machine(), "fs_type": kind, "case_sensitive": case}
         scan = store.create_scan(machine, host, root, **facts)
+        context, group = store.spark.sparkContext, f"scan-{scan}"
+        context.setJobGroup(group, f"inventory of {root}", True)
         try:
             walked = cut(walked)  # one walk, which all branches below read
             looked = cut(reuse_hashes(walked.where("state = 'pending'"), exact, overlap))
@@ -78,11 +82,17 @@ def inventory(
             errors = walked.where("state = 'error'").withColumns({"fingerprint": F.lit(None).cast("string"), "sha256": F.lit(None).cast("string")})
             names = [c.split()[0] for c in _HASHED.split(", ")]
             rows = kept.select(*names).unionByName(fresh.select(*names)).unionByName(errors.select(*names))
+            if progress is not None:
+                counts = {"reused": ("reused",), "hashed": ("ok", "unstable"), "failed": ("error", "vanished")}
+                rows = rows.observe(progress, F.count(F.lit(1)).alias("discovered"), *(F.count_if(F.col("state").isin(*v)).alias(k) for k, v in counts.items()))
             store.write_entries(scan, rows.withColumn("rel_path_norm", sparse_nfc(F.col("rel_path"))))
             store.publish(scan)
         except BaseException:
+            context.cancelJobGroup(group)
             store.fail(scan)
             raise
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
     return scan
 
 

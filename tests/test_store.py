@@ -43,7 +43,11 @@ def test_inventory_reuses_and_replaces(spark, tmp_path):
     first = inv.inventory(store, str(tree), identity=ME)
     assert states(store, first) == {"hello": "ok", "sub/deep/file": "ok"}
     put(tree, hello="changed")
-    second = inv.inventory(store, str(tree), identity=ME)
+    from pyspark.sql import Observation
+
+    seen = Observation("scan")
+    second = inv.inventory(store, str(tree), identity=ME, progress=seen)
+    assert seen.get == {"discovered": 2, "reused": 1, "hashed": 1, "failed": 0}
     assert states(store, second) == {"hello": "ok", "sub/deep/file": "reused"}
     assert [s["scan_id"] for s in store.manifest()["scans"]] == [second]
     assert not os.path.exists(os.path.join(store.path, "entries", f"scan_id={first}"))
@@ -73,6 +77,15 @@ def test_failed_scan_is_kept_for_reuse(spark, tmp_path):
     assert states(store, again) == {"a": "reused", "b": "ok"}
 
 
+def test_anything_wrong_leaves_a_failed_scan(spark, tmp_path, monkeypatch):
+    tree, store = tmp_path / "tree", Store(spark, str(tmp_path / "store"))
+    put(tree, a="1")
+    monkeypatch.setattr(inv, "hash_rows", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        inv.inventory(store, str(tree), identity=ME)
+    assert [s["status"] for s in store.manifest()["scans"]] == ["failed"] and not store.manifest()["roots"]
+
+
 def test_root_lock(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     with store.root_lock("m", "/data/raw"):
