@@ -28,8 +28,8 @@ def compare_by_path(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
 
     kind is identical, different, left_only or right_only. Raw paths match first. What is left matches by its composed
     path, if that path is unique in both remainders; such a row is labelled by the composed path, all others by their
-    raw one. The first step is one aggregation of both sides united and tagged (no join), the second one window over
-    the remainder; repeated rows of a side that disagree are represented by their largest.
+    raw one. The first step is one aggregation of both sides united and tagged (no join), whose exchange the matched rows and the
+    remainder share, the second one window over the remainder; repeated rows of a side that disagree are represented by their largest.
     """
     tag = lambda df, is_left: df.select(*keys, "rel_path", _fields("x"), F.lit(is_left).alias("is_left"))
     sides = (
@@ -38,7 +38,6 @@ def compare_by_path(left: DataFrame, right: DataFrame, keys: list[str]) -> DataF
         .groupBy(*keys, "rel_path")
         .agg(F.max(F.when(F.col("is_left"), F.col("x"))).alias("l"), F.max(F.when(~F.col("is_left"), F.col("x"))).alias("r"))
     )
-    sides = cut(sides)
     both = F.col("l").isNotNull() & F.col("r").isNotNull()
     matched = sides.where(both).withColumn("kind", F.when(_identical("l", "r"), "identical").otherwise("different"))
     rest = sides.where(~both).withColumn("cmp", F.coalesce("l.cmp", "r.cmp"))
@@ -80,6 +79,7 @@ def compact_missing_trees(only: DataFrame, opposite: DataFrame, keys: list[str])
     rows, matched ones too) has nothing of that composed name, neither as a file nor as a directory. Each file goes into
     its topmost such directory; others stay as they are. Rows show in the order of sort_path, the first path of each.
     """
+    only = cut(only)  # read three times below, and small beside the snapshots
     at = only.select(*keys, "rel_path", F.posexplode(F.arrays_zip(ancestors(F.col("rel_path")).alias("dir"), ancestors(F.col("cmp")).alias("cdir"))).alias("depth", "d"))
     at = at.select(*keys, "rel_path", "depth", "d.dir", "d.cdir")
     nodes = opposite.select(*keys, F.explode(F.array_append(ancestors(F.col("cmp")), F.col("cmp"))).alias("cdir")).distinct()

@@ -12,22 +12,25 @@ from cairnframe.functions.values import known_hash
 import unicodedata
 
 
-def side(entries: DataFrame, keys: list[str], p: str = "", ignore_noise: bool = False) -> DataFrame:
+def side(entries: DataFrame, keys: list[str], p: str = "", ignore_noise: bool = False, once: bool = True) -> DataFrame:
     """(keys, rel_path, cmp, size, sha256): the rows of one side under a prefix, trimmed, each once.
 
+    once=False leaves repeated rows to an operator that groups by path anyway, which saves a shuffle.
+
     Filters see the untrimmed path. cmp is trimmed by the length of the prefix's composed form. Hashes are known ones.
     """
     p = prefix(p)
     rows = entries.where(F.col("rel_path").isNotNull() & under(F.col("rel_path"), p) if p else F.col("rel_path").isNotNull())
     if ignore_noise:
         rows = rows.where(~is_noise(F.col("name"), F.col("rel_path")))
-    return rows.select(
+    rows = rows.select(
         *keys,
         trimmed(F.col("rel_path"), p).alias("rel_path"),
         trimmed(compare_path(entries), unicodedata.normalize("NFC", p)).alias("cmp"),
         "size",
         known_hash("sha256").alias("sha256"),
-    ).distinct()
+    )
+    return rows.distinct() if once else rows
 
 
 def paired(entries: DataFrame, pairs: DataFrame, scan: str) -> DataFrame:

@@ -100,8 +100,9 @@ class Browser:
 
         By content sizes don't matter, nothing is different and the compact lists are empty.
         """
-        a = side(self.entries(*left), [], left_prefix, ignore_noise)
-        b = side(self.entries(*right), [], right_prefix, ignore_noise)
+        once = mode != "path"
+        a = side(self.entries(*left), [], left_prefix, ignore_noise, once)
+        b = side(self.entries(*right), [], right_prefix, ignore_noise, once)
         if mode == "path":
             rows = compare.compare_by_path(a, b, [])
             lo, ro = (compare.only_files(rows, w, []) for w in ("left", "right"))

@@ -14,14 +14,14 @@ from cairnframe.sources.reports import base64_hex, decoded_key, text_or_null
 KEYS = ["pair_id"]
 
 
-def _sides(spark, d, noise=False, lp="", rp=""):
-    entries, pairs = paths.backfill(table(spark, d, "entries")), table(spark, d, "copy_pairs")
-    left = side(paired(entries, pairs, "left_scan_id"), KEYS, lp, noise)
-    return left, side(paired(entries, pairs, "right_scan_id"), KEYS, rp, noise)
+def _sides(spark, d, noise=False, lp="", rp="", once=True):
+    entries, pairs = table(spark, d, "entries"), table(spark, d, "copy_pairs")
+    left = side(paths.backfill(paired(entries, pairs, "left_scan_id")), KEYS, lp, noise, once)
+    return left, side(paths.backfill(paired(entries, pairs, "right_scan_id")), KEYS, rp, noise, once)
 
 
 def _by_path(spark, d, noise=False, lp="", rp=""):
-    return compare.compare_by_path(*_sides(spark, d, noise, lp, rp), KEYS)
+    return compare.compare_by_path(*_sides(spark, d, noise, lp, rp, once=False), KEYS)
 
 
 def path_counts(spark, d):
@@ -50,11 +50,11 @@ def path_prefix(spark, d):
 
 
 def path_overlap_stats(spark, d):
-    return compare.overlap_stats(*_sides(spark, d), KEYS)
+    return compare.overlap_stats(*_sides(spark, d, once=False), KEYS)
 
 
 def _compact(spark, d, which):
-    left, right = _sides(spark, d)
+    left, right = _sides(spark, d, once=False)
     rows = compare.compare_by_path(left, right, KEYS)
     only = compare.only_files(rows, which, KEYS)
     return compare.compact_missing_trees(only, right if which == "left" else left, KEYS)
@@ -70,10 +70,10 @@ def compact_right(spark, d):
 
 def _snapshot_sides(spark, d):
     """The two snapshots of every step of a root: the one before is left."""
-    entries, steps = paths.backfill(table(spark, d, "entries")), snapshots.snapshot_steps(table(spark, d, "scans"))
+    entries, steps = table(spark, d, "entries"), snapshots.snapshot_steps(table(spark, d, "scans"))
     steps = steps.withColumnRenamed("later_scan_id", "pair_id")
-    left = side(paired(entries, steps.where(~F.col("is_new")), "scan_id"), KEYS)
-    return left, side(paired(entries, steps.where("is_new"), "scan_id"), KEYS)
+    left = side(paths.backfill(paired(entries, steps.where(~F.col("is_new")), "scan_id")), KEYS, once=False)
+    return left, side(paths.backfill(paired(entries, steps.where("is_new"), "scan_id")), KEYS, once=False)
 
 
 def compact_removed(spark, d):
