@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnframe.functions.exec import sized
 from cairnframe.functions.paths import compare_path, is_noise, prefix, trimmed, under
 from cairnframe.functions.values import known_hash
 
-import unicodedata
-
 
 def side(entries: DataFrame, keys: list[str], p: str = "", ignore_noise: bool = False, once: bool = True) -> DataFrame:
     """(keys, rel_path, cmp, size, sha256): the rows of one side under a prefix, trimmed, each once.
@@ -34,6 +33,10 @@ def side(entries: DataFrame, keys: list[str], p: str = "", ignore_noise: bool =
 
 
 def paired(entries: DataFrame, pairs: DataFrame, scan: str) -> DataFrame:
-    """entries of the scans in column `scan` of pairs, with pair_id."""
+    """entries of the scans in column `scan` of pairs, with pair_id.
+
+    The pairs are broadcast if Spark's own estimate of their size is below its threshold; else rows meet by scan, and
+    adaptive execution splits a scan that is too large.
+    """
     one = pairs.select("pair_id", F.col(scan).alias("scan_id")).dropna().distinct()
-    return entries.join(sized(one), "scan_id").drop("scan_id")
+    return entries.join(one, "scan_id").drop("scan_id")
