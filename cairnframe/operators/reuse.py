@@ -43,8 +43,8 @@ def reuse_hashes(walked: DataFrame, exact: DataFrame, overlap: DataFrame | None
 
 
 def exact_candidates(entries: DataFrame, trusted_only: bool = False) -> DataFrame:
-    """Candidates from scans of the same root. The authoritative scan counts in any state, as the reference rules have
-    it; trusted_only keeps to ok and reused rows, as is always done for failed scans."""
+    """Candidates from scans of the same root. The authoritative scan counts in any state;
+    trusted_only keeps to ok and reused rows, as is always done for failed scans."""
     return entries.where(F.col("state").isin(*TRUSTED)) if trusted_only else entries
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import gzip
 import json
 import os
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,34 +70,37 @@ def inventory_manifest(path: str) -> InventoryManifest:
     return InventoryManifest(list(dict.fromkeys(find_file(k, roots) for k in keys)), columns)
 
 
-def _records(text: str) -> list[str]:
-    """Records of a CSV text; line ends inside quotes belong to their record."""
-    out, start, quoted = [], 0, False
-    for i, ch in enumerate(text):
-        if ch == '"':
-            quoted = not quoted
-        elif ch == "\n" and not quoted:
-            out.append(text[start:i].rstrip("\r"))
-            start = i + 1
-    if text[start:]:
-        out.append(text[start:])
-    return [r for r in out if r]
+#: Records that a reader hands on at a time.
+CHUNK = 10_000
 
 
-def _lines(spark: SparkSession, files: list[str], multiline: bool) -> DataFrame:
-    """(file_no, line_no, raw) of CSV files, .gz in any case included; each file is read in one task."""
-    listed = spark.createDataFrame(list(enumerate(files)), "file_no int, path string")
+def _records(lines: Iterable[str]) -> Iterator[str]:
+    """Records of CSV lines; a line whose quotes are still open goes on in the next one. Empty records are passed over."""
+    held, quotes = [], 0
+    for line in lines:
+        held.append(line)
+        quotes += line.count('"')
+        if quotes % 2 == 0:
+            if record := "".join(held).rstrip("\r\n"):
+                yield record
+            held, quotes = [], 0
+    if held and (record := "".join(held).rstrip("\r\n")):
+        yield record
+
 
-    def read(batches):
-        import pandas as pd
+def _lines(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file_no, line_no, raw) of CSV files, .gz in any case included; a task streams through whole files."""
+    listed = spark.createDataFrame(list(enumerate(files)), "file_no int, path string")
 
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for no, path in zip(pdf["file_no"], pdf["path"]):
                 opened = gzip.open if path.lower().endswith(".gz") else open
-                with opened(path, "rt", encoding="utf-8", newline="") as f:
-                    text = f.read()
-                rows = _records(text)
-                yield pd.DataFrame({"file_no": no, "line_no": range(1, len(rows) + 1), "raw": rows})
+                with opened(path, "rt", encoding="utf-8", newline="\n") as f:
+                    records, first = _records(f), 1
+                    while rows := list(islice(records, CHUNK)):
+                        yield pd.DataFrame({"file_no": no, "line_no": range(first, first + len(rows)), "raw": rows})
+                        first += len(rows)
 
     return listed.repartition(max(1, len(files)), "file_no").mapInPandas(read, "file_no int, line_no long, raw string")
 
@@ -104,12 +110,10 @@ def read_report(spark: SparkSession, files: list[str]) -> DataFrame:
 
     A record that isn't seven soundly quoted columns raises; a status or message that is unsound only makes its row unusable.
     """
-    lines = _lines(spark, files, True)
+    lines = _lines(spark, files)
     n = len(COLUMNS)
 
     def split(batches):
-        import pandas as pd
-
         for pdf in batches:
             rows = []
             for file_no, line_no, raw in zip(pdf["file_no"], pdf["line_no"], pdf["raw"]):
@@ -142,8 +146,6 @@ def read_inventory(spark: SparkSession, manifest: InventoryManifest) -> DataFram
     width = max(c[n] for n in ("bucket", "key", "size")) + 1
 
     def split(batches):
-        import pandas as pd
-
         for pdf in batches:
             rows = []
             for file_no, line_no, raw in zip(pdf["file_no"], pdf["line_no"], pdf["raw"]):
@@ -154,7 +156,7 @@ def read_inventory(spark: SparkSession, manifest: InventoryManifest) -> DataFram
                 rows.append((file_no, line_no, at("bucket"), at("key"), at("versionid") or "", at("size"), at("lastmodifieddate")))
             yield pd.DataFrame(rows, columns=["file_no", "line_no", "bucket", "key", "version", "size", "modified"])
 
-    rows = _lines(spark, manifest.files, True).mapInPandas(
+    rows = _lines(spark, manifest.files).mapInPandas(
         split, "file_no int, line_no long, bucket string, key string, version string, size string, modified string"
     )
     whole = F.trim("size").rlike("^[0-9]{1,18}$")

@@ -79,3 +79,10 @@ def test_inventory_lookup_and_times(spark, rows, tmp_path):
     (tmp_path / "i.json").write_text('{"fileFormat": "ORC", "fileSchema": "Bucket"}')
     with pytest.raises(ValueError):
         inventory_manifest(str(tmp_path / "i.json"))
+
+
+def test_records_of_lines():
+    from cairnframe.plans.s3import import _records
+
+    text = 'a,"x\ny",b\r\n\nc,d\n"open\nto the end'
+    assert list(_records(text.splitlines(keepends=True))) == ['a,"x\ny",b', "c,d", '"open\nto the end']
