@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,28 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session, once, so that they import it wherever they run.
+
+    The archive is written on the driver alone; Spark serves it to the executors.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_cairnframe_shipped", False):
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if package.endswith(".zip" + os.sep + "cairnframe"):
+        return
+    archive = os.path.join(tempfile.mkdtemp(), "cairnframe.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(package):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    sc._cairnframe_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's shared folder; only where none is configured (local tests) fall back to a temporary one."""
     sc = spark.sparkContext

@@ -23,7 +23,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnframe.functions.exec import sized
+from cairnframe.functions.exec import ship_package, sized
 from cairnframe.schemas import ENTRIES, S3_IMPORTS, S3_REPORT_ROWS, SCANS, TABLES, upgrade
 
 EMPTY = {"version": 0, "next_scan_id": 1, "next_import_id": 1, "metadata": {}, "roots": [], "scans": [], "s3_imports": []}
@@ -36,6 +36,7 @@ class Overlap(RuntimeError):
 class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, os.path.abspath(path)
+        ship_package(spark)
         os.makedirs(os.path.join(self.path, "locks"), exist_ok=True)
 
     # ---- manifest
