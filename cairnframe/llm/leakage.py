@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from math import ceil
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnframe.llm.mailparts import parts
@@ -54,9 +54,13 @@ def readable(text: str) -> list[str]:
 
 
 class Items:
-    """A block of test items: their words as numbers, the runs they need, and the seed table."""
+    """A block of test items: their words as numbers, the runs they need, and the seed table.
 
-    def __init__(self, rows: list[tuple[int, str]], share: float):
+    For coverage seeds have SEED_WORDS words (an item of fewer words is one seed) and every place of a document is
+    looked up. Else only runs of `share` of an item matter, and a stride passes over the places they don't need.
+    """
+
+    def __init__(self, rows: list[tuple[int, str]], share: float, coverage: bool = False):
         self.code: dict[str, int] = {}
         self.words: dict[int, list[int]] = {}
         for item, text in rows:
@@ -65,23 +69,43 @@ class Items:
                 self.words[item] = w
         self.need = {i: max(1, ceil(share * len(w) - 1e-9)) for i, w in self.words.items()}
         least = min(self.need.values(), default=1)
-        self.k = min(SEED_WORDS, least)
-        self.stride = least - self.k + 1
-        self.seeds: dict[tuple, set[int]] = {}
+        k = SEED_WORDS if coverage else min(SEED_WORDS, least)
+        self.coverage = coverage
+        self.stride = 1 if coverage else least - k + 1
+        self.k = {i: min(k, len(w)) for i, w in self.words.items()}
+        self.lengths = sorted(set(self.k.values()))
+        self.seeds: dict[tuple, list[tuple[int, int]]] = {}
         for item, w in self.words.items():
-            for p in range(len(w) - self.k + 1):
-                self.seeds.setdefault(tuple(w[p : p + self.k]), set()).add(item)
+            n = self.k[item]
+            for p in range(len(w) - n + 1):
+                self.seeds.setdefault(tuple(w[p : p + n]), []).append((item, p))
 
     def candidates(self, doc: list[int]) -> set[int]:
-        """Items that share a seed with the document. Every run as long as the shortest needed one holds a whole seed
-        at a multiple of the stride, so those places are enough."""
+        """Items that share a seed with the document at a multiple of the stride. Every run as long as the shortest
+        needed one holds a whole seed there, so those places are enough for unbroken runs."""
         found: set[int] = set()
-        k, seeds = self.k, self.seeds
-        for p in range(0, len(doc) - k + 1, self.stride):
-            if doc[p] and (hit := seeds.get(tuple(doc[p : p + k]))):
-                found |= hit
+        seeds = self.seeds
+        for k in self.lengths:
+            for p in range(0, len(doc) - k + 1, self.stride):
+                if doc[p] and (hit := seeds.get(tuple(doc[p : p + k]))):
+                    found.update(i for i, _ in hit)
         return found
 
+    def runs(self, doc: list[int]) -> dict[int, list[tuple[int, int, int]]]:
+        """All longest matches with each item, as tiles_of takes them, from the seeds at every place of the document."""
+        out: dict[int, list[tuple[int, int, int]]] = {}
+        ends: dict[tuple[int, int], int] = {}  # end in doc of the last match on an item's diagonal
+        get = self.seeds.get
+        for k in self.lengths:
+            for q, seed in enumerate(zip(*(doc[j:] for j in range(k)))):
+                for item, p in get(seed, ()):
+                    if ends.get((item, q - p), 0) > q:
+                        continue
+                    n = _run_length(self.words[item], doc, p, q, k)
+                    ends[item, q - p] = q + n
+                    out.setdefault(item, []).append((-n, p, q))
+        return out
+
 
 _BASE, _MOD = 1_000_003, (1 << 61) - 1
 
@@ -100,6 +124,12 @@ def _windows(words: list[int], k: int) -> list[int]:
     return out
 
 
+def _run_length(item: list[int], doc: list[int], p: int, q: int, n: int = 0) -> int:
+    while p + n < len(item) and q + n < len(doc) and item[p + n] == doc[q + n]:
+        n += 1
+    return n
+
+
 def tiles(item: list[int], doc: list[int], k: int) -> list[tuple[int, int, int]]:
     """(place in item, place in doc, length) of greedy string tiling: the longest match first, none overlapping.
 
@@ -108,19 +138,22 @@ def tiles(item: list[int], doc: list[int], k: int) -> list[tuple[int, int, int]]
     at: dict[int, list[int]] = {}
     for p, h in enumerate(_windows(item, k)):
         at.setdefault(h, []).append(p)
-    heap, covered = [], {}  # covered: end in doc of the last match on a diagonal
+    matches, covered = [], {}  # covered: end in doc of the last match on a diagonal
     for q, h in enumerate(_windows(doc, k)):
         for p in at.get(h, ()):
             if covered.get(q - p, 0) > q:
                 continue
-            n = 0
-            while p + n < len(item) and q + n < len(doc) and item[p + n] == doc[q + n]:
-                n += 1
+            n = _run_length(item, doc, p, q)
             if n >= k:
                 covered[q - p] = q + n
-                heap.append((-n, p, q))
+                matches.append((-n, p, q))
+    return tiles_of(matches, len(item), len(doc), k)
+
+
+def tiles_of(heap: list[tuple[int, int, int]], item_words: int, doc_words: int, k: int) -> list[tuple[int, int, int]]:
+    """The tiles among longest matches (-length, place in item, place in doc)."""
     heapq.heapify(heap)
-    used_i, used_d, out = bytearray(len(item)), bytearray(len(doc)), []
+    used_i, used_d, out = bytearray(item_words), bytearray(doc_words), []
     while heap:
         n, p, q = heapq.heappop(heap)
         free = _free(used_i, used_d, p, q, -n)
@@ -145,27 +178,34 @@ def _free(used_i: bytearray, used_d: bytearray, p: int, q: int, n: int) -> list[
     return out
 
 
-def leaks_in(text: str | None, items: Items) -> list[tuple[int, int, int, float]]:
-    """(item, words in tiles, longest tile, words of the item) of every item that shares a seed with the text."""
-    best: dict[int, list[int]] = {}
+def leaks_in(text: str | None, items: Items) -> list[tuple[int, int, int, int]]:
+    """(item, words in tiles, longest tile, words of the item) of every item that shares a seed with the text.
+
+    A word of the item counts once, however many parts of the text it is tiled in.
+    """
+    tiled: dict[int, bytearray] = {}
+    best: dict[int, int] = {}
     code = items.code.get
     for body in readable(text) if text else ():
         doc = [code(w, 0) for w in words_of(body)]  # 0: in no item
-        for item in items.candidates(doc):
-            own = items.words[item]
-            found = tiles(own, [w or -1 for w in doc], items.k)
-            seen = best.setdefault(item, [0, 0])
-            seen[0] = max(seen[0], sum(n for _, _, n in found))
-            seen[1] = max([seen[1], *(n for _, _, n in found)])
-    return [(i, t, longest, len(items.words[i])) for i, (t, longest) in best.items()]
-
-
-def _run(rows: list[tuple[int, str]], share: float):
+        if items.coverage:
+            found = {i: tiles_of(m, len(items.words[i]), len(doc), items.k[i]) for i, m in items.runs(doc).items()}
+        else:
+            found = {i: tiles(items.words[i], [w or -1 for w in doc], items.k[i]) for i in items.candidates(doc)}
+        for item, own in found.items():
+            seen = tiled.setdefault(item, bytearray(len(items.words[item])))
+            for p, _, n in own:
+                seen[p : p + n] = b"\1" * n
+            best[item] = max([best.get(item, 0), *(n for _, _, n in own)])
+    return [(i, sum(seen), best[i], len(seen)) for i, seen in tiled.items()]
+
+
+def _run(rows: list[tuple[int, str]], share: float, coverage: bool):
     kept: list[Items] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not kept:
-            kept.append(Items(rows, share))
+            kept.append(Items(rows, share, coverage))
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -179,16 +219,8 @@ def _run(rows: list[tuple[int, str]], share: float):
     return run
 
 
-def passages(docs: DataFrame, items: DataFrame, share: float = 0.4) -> DataFrame:
-    """(doc_id, item_id, tiled, longest, words) of the documents and items that share seeds of words.
-
-    tiled counts the item's words in non-overlapping matches (so reordered passages count), longest those in the longest
-    unbroken run. Seeds of four words of all items make a table that goes to every task: the items are the stated query
-    set, read in blocks of BLOCK_ITEMS, one pass over the corpus each. Documents are read where they lie, in Arrow
-    batches, without a shuffle. A document's seeds are looked up at such distances that no run of `share` of
-    any item is passed over; pairs with a shared seed are tiled. NULL or empty texts and items have no rows; repeated
-    items give repeated pairs once; other columns are ignored.
-    """
+def _tiled(docs: DataFrame, items: DataFrame, share: float, coverage: bool) -> DataFrame:
+    """(doc_id, item_id, tiled, longest, words) from one pass over the corpus for each block of BLOCK_ITEMS items."""
     rows = items.select("item_id", "text").where(F.col("item_id").isNotNull()).distinct()
     total = rows.count()
     blocks = max(1, -(-total // BLOCK_ITEMS))
@@ -197,13 +229,33 @@ def passages(docs: DataFrame, items: DataFrame, share: float = 0.4) -> DataFrame
     for b in range(blocks):
         own = [(r["item_id"], r["text"]) for r in keyed.where(F.col("b") == b).collect()]
         one = docs.select("doc_id", "text").mapInArrow(
-            _run(own, share), "doc_id long, item_id long, tiled int, longest int, words int"
+            _run(own, share, coverage), "doc_id long, item_id long, tiled int, longest int, words int"
         )
         found = one if found is None else found.unionByName(one)
     return found
 
 
+def _enough(words: str, share: float) -> Column:
+    return F.col(words) >= F.ceil(F.col("words") * share - 1e-9)
+
+
+def passages(docs: DataFrame, items: DataFrame, share: float = 0.4) -> DataFrame:
+    """(doc_id, item_id, tiled, longest, words, covered) of the documents and items that share seeds of words.
+
+    tiled counts the item's words in non-overlapping matches (so reordered passages count), united over the parts of
+    the document; longest those in the longest unbroken run; covered says whether tiled reaches `share` of the item.
+    Seeds of SEED_WORDS words of all items make a table that goes to every task: the items are the stated query set,
+    read in blocks of BLOCK_ITEMS, one pass over the corpus each. Documents are read where they lie, in Arrow batches,
+    without a shuffle, and looked up at every word. An item of fewer words is one seed. NULL or empty texts and items
+    have no rows; repeated items give repeated pairs once; other columns are ignored.
+    """
+    return _tiled(docs, items, share, coverage=True).withColumn("covered", _enough("tiled", share))
+
+
 def leaked(docs: DataFrame, items: DataFrame, share: float = 0.4) -> DataFrame:
-    """(doc_id, item_id): at least `share` of the item's words stand in one unbroken run of the document."""
-    p = passages(docs, items, share)
-    return p.where(F.col("longest") >= F.ceil(F.col("words") * share - 1e-9)).select("doc_id", "item_id").distinct()
+    """(doc_id, item_id): at least `share` of the item's words stand in one unbroken run of the document.
+
+    A document's seeds are looked up at such distances that no run of `share` of any item is passed over.
+    """
+    p = _tiled(docs, items, share, coverage=False)
+    return p.where(_enough("longest", share)).select("doc_id", "item_id").distinct()

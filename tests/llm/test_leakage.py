@@ -36,6 +36,43 @@ def test_reordered_passages_show_in_the_coverage(spark):
     assert r["tiled"] >= r["words"] - 2 and r["longest"] <= r["words"] // 2 + 2
 
 
+def test_every_shared_seed_has_its_row():
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 65, 80])))) for i in range(20)]
+    table = lk.Items(items, 0.4, coverage=True)
+    hits = 0
+    for _ in range(300):
+        w = rng.choice(items)[1].split()
+        a = rng.randint(0, len(w))
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 30))] + w[a : a + rng.randint(0, 12)] + ["x"] * rng.randint(0, 30)
+        got = {i: (tiled, longest) for i, tiled, longest, _ in lk.leaks_in(" ".join(words), table)}
+        runs = {i: longest_common_run(t.split(), words) for i, t in items}
+        assert {i: longest for i, (_, longest) in got.items()} == {i: n for i, n in runs.items() if n >= min(4, len(table.words[i]))}
+        doc = [table.code.get(x, -1) for x in words]
+        for i, (tiled, _) in got.items():
+            assert tiled == sum(n for _, _, n in lk.tiles(table.words[i], doc, min(4, len(table.words[i]))))
+        hits += sum(n < table.need[i] for i, (_, n) in got.items())
+    assert hits > 100
+
+
+def test_a_short_run_anywhere_has_a_row(spark):
+    docs = [(i, "x " * i + share(ITEM, 0.2, 0.4) + " x" * 20, "") for i in range(9)]
+    got = lk.passages(spark.createDataFrame(docs, D), spark.createDataFrame([(1, "en", ITEM)], I_)).collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(9)) and len({r["tiled"] for r in got}) == 1
+
+
+def test_coverage_is_united_over_parts(spark):
+    head = "Content-Type: multipart/mixed; boundary=b\n\n"
+    part = "--b\nContent-Type: text/plain\n\n{}\n"
+    twice = head + part.format(share(ITEM, 0, 0.3)) * 2 + "--b--\n"
+    halves = head + part.format(share(ITEM, 0, 0.3)) + part.format(share(ITEM, 0.7, 1)) + "--b--\n"
+    d = spark.createDataFrame([(0, twice, ""), (1, halves, "")], D)
+    a, b = sorted(lk.passages(d, spark.createDataFrame([(1, "en", ITEM)], I_)).collect(), key=lambda r: r["doc_id"])
+    assert a["tiled"] == a["longest"] and not a["covered"]
+    assert b["tiled"] > b["longest"] and b["covered"]
+
+
 def test_nothing(spark):
     none = spark.createDataFrame([], D)
     assert lk.leaked(none, spark.createDataFrame([(1, "en", ITEM)], I_)).count() == 0
