@@ -215,21 +215,34 @@ def as_text(value: object) -> str | None:
     return json.dumps(value, ensure_ascii=False)
 
 
+def _whole(value: object, text: str | None) -> bool:
+    """Whether as_text gave all of a value: no member beside the code, no null that was in a list or object."""
+    if isinstance(value, list) and len(value) == 1:
+        value = value[0]
+    if isinstance(value, dict) and "code" in value and len(value) > 1:
+        return False
+    return text is not None
+
+
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     keys = ["feed_id", "file_id", "rec_no"]
     for pdf in batches:
         rows = []
         for feed, file, no, record in zip(*(pdf[c] for c in [*keys, "record"])):
-            fields, out, extra = parse(record), dict.fromkeys(FIELDS), {}
+            fields, out, extra, status = parse(record), dict.fromkeys(FIELDS), {}, {}
             for name, value in (fields or {}).items():
-                m = meaning(name)
+                m, text = meaning(name), json.dumps(value, ensure_ascii=False)
                 if m in out and out[m] is None:
                     keep = m == "result_message" and isinstance(value, dict)
-                    out[m] = json.dumps(value, ensure_ascii=False) if keep else as_text(value)
+                    out[m] = text if keep else as_text(value)
+                    if not keep and value is not None and not _whole(value, out[m]):
+                        extra[name] = text
+                    elif m == "http_status_code" and value is not None:
+                        status = {name: text}
                 else:
-                    extra[name] = json.dumps(value, ensure_ascii=False)
-            rows.append((feed, file, no, *out.values(), extra, None if fields is not None else "not a JSON object"))
-        yield pd.DataFrame(rows, columns=[*keys, *FIELDS, "extra", "err"])
+                    extra[name] = text
+            rows.append((feed, file, no, *out.values(), extra, status, None if fields is not None else "not a JSON object"))
+        yield pd.DataFrame(rows, columns=[*keys, *FIELDS, "extra", "status", "err"])
 
 
 def unified_records(records: DataFrame) -> DataFrame:
@@ -237,14 +250,17 @@ def unified_records(records: DataFrame) -> DataFrame:
 
     Every spelling of a field lands in its column, cast to the column's type: codes in lists or objects are unwrapped,
     http_status_code becomes a long (NULL where it is no integer), result_message keeps JSON objects as JSON text.
-    Fields of no column stand in the map `extra` as JSON text, so nothing is lost. A record that is no JSON object keeps
-    its row with err. Equal records of one (feed, file, rec_no) count once.
+    Fields of no column stand in `extra`, a JSON object of their JSON texts. So does the whole value of a field whose
+    column can't hold all of it: a code with further members, or a status that is no integer. A record that is no JSON
+    object keeps its row with err. Equal records of one (feed, file, rec_no) count once.
     """
     texts = records.select("feed_id", "file_id", "rec_no", "record").mapInPandas(
         _rows,
-        "feed_id long, file_id long, rec_no int, " + "".join(f"{f} string, " for f in FIELDS) + "extra map<string,string>, err string",
+        "feed_id long, file_id long, rec_no int, " + "".join(f"{f} string, " for f in FIELDS) + "extra map<string,string>, status map<string,string>, err string",
     )
     typed = texts.withColumn("http_status_code", F.expr("try_cast(trim(http_status_code) as bigint)"))
+    uncast = F.col("http_status_code").isNull() & (F.size("status") > 0)
+    typed = typed.withColumn("extra", F.when(uncast, F.map_concat("extra", "status")).otherwise(F.col("extra"))).drop("status")
     cols = [c for c in typed.columns if c != "extra"]
     return (
         typed.withColumn("extra", F.to_json("extra")).select(*cols, "extra").distinct()

@@ -172,6 +172,25 @@ def test_unified_table(spark):
     assert got[100, 2]["err"] and len(got) == 4
 
 
+def test_unified_table_drops_nothing(spark):
+    code = {"code": "SlowLane", "class": "A"}
+    df = feed(
+        spark,
+        [{"ErrorCode": code, "HTTPStatusCode": "503 Slow Down"}, {"ErrorCode": [code], "HTTPStatusCode": 404.5}, {"ErrorCode": {"code": "A"}, "http": {"code": "x", "n": 1}},
+         {"Message": [{"code": "A", "note": "x"}], "http": {"code": "404", "n": 1}}, {"ErrorCode": None, "http": [None]}, {"ErrorCode": [], "http": 1e30, "status": "200"}, {"http": True, "Message": {"code": 1, "n": 2}}],
+    )
+    got = {r["rec_no"]: (r["error_code"], r["http_status_code"], r["result_message"], {k: json.loads(v) for k, v in json.loads(r["extra"]).items()}) for r in drift.unified_records(df).collect()}
+    assert got == {
+        1: ("SlowLane", None, None, {"ErrorCode": code, "HTTPStatusCode": "503 Slow Down"}),
+        2: ("SlowLane", None, None, {"ErrorCode": [code], "HTTPStatusCode": 404.5}),
+        3: ("A", None, None, {"http": {"code": "x", "n": 1}}),
+        4: (None, 404, "A", {"Message": [{"code": "A", "note": "x"}], "http": {"code": "404", "n": 1}}),
+        5: (None, None, None, {"http": [None]}),
+        6: ("[]", None, None, {"http": 1e30, "status": "200"}),
+        7: (None, None, '{"code": 1, "n": 2}', {"http": True}),
+    }
+
+
 @pytest.mark.parametrize("a,b,want", [("integer", "decimal number", "decimal number"), ("boolean", "integer", "string"), (None, "array", "array"), ("object", "array", "string")])
 def test_lattice(a, b, want):
     assert drift.promote(a, b) == drift.promote(b, a) == want
