@@ -83,23 +83,19 @@ def visual_form_column(text: Column) -> Column:
 
 
 def reading_key(text: Column) -> Column:
-    """Look-alikes replaced, under the accent- and case-sensitive Unicode collation: equal texts read the same."""
-    t = table()
-    one = {k: v for k, v in t.items() if len(v) == 1}
-    gone = [k for k, v in t.items() if not v]
-    seen = F.when(text.rlike(r"^[\x20-\x7e]*$"), text).otherwise(F.translate(text, "".join([*one, *gone]), "".join(one.values())))
-    return F.collate(seen, "UNICODE")
+    """The consistent form, for which only texts with other than printable ASCII characters go to Python: equal texts
+    read the same."""
+    other = text.rlike(r"[^\x20-\x7e]")
+    return F.when(other, visual_form_column(F.when(other, text))).otherwise(text)
 
 
 def spellings(rows: DataFrame, group: str, text: str) -> DataFrame:
     """(group, text, canonical): every text that shares its group with another that reads the same.
 
-    Texts are mapped character by character and grouped under the Unicode collation, which knows composed and combining
-    accents and ignores what shows nothing; a class whose least and greatest member are one has a single spelling and
-    ends there. The class's least member in code point order is canonical, and it is joined back to the members. As
-    the collation is slightly wider than the rule (it ignores some signs), members are held against their
-    consistent form at last. The grouped columns alone are shuffled; a group with a third of all rows
-    is spread by the texts.
+    Texts are grouped by their consistent form itself, so composed and combining accents meet for every letter; a class
+    whose least and greatest member are one has a single spelling and ends there. The class's least member in code
+    point order is canonical, and it is joined back to the members. The grouped columns alone are shuffled; a group
+    with a third of all rows is spread by the texts.
     """
     keyed = rows.select(F.col(group), F.col(text)).where(F.col(text).isNotNull() & F.col(group).isNotNull())
     keyed = keyed.withColumn("k", reading_key(F.col(text)))
@@ -109,11 +105,7 @@ def spellings(rows: DataFrame, group: str, text: str) -> DataFrame:
         .where(F.col("canonical") != F.col("most"))
         .select(group, "k", "canonical")
     )
-    found = cut(keyed.join(sized(cut(classes), 200_000), [group, "k"]).select(group, text, "canonical").distinct())
-    exact = found.withColumn("form", visual_form_column(F.col(text)))
-    least = exact.groupBy(group, "canonical", "form").agg(F.min(text).alias("c2"), F.max(text).alias("m2"))
-    least = least.where(F.col("c2") != F.col("m2"))
-    return exact.join(least, [group, "canonical", "form"]).select(group, text, F.col("c2").alias("canonical"))
+    return keyed.join(sized(cut(classes), 200_000), [group, "k"]).select(group, text, "canonical").distinct()
 
 
 def same_reading_pairs(entries: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 from collections import defaultdict
 
 import pytest
@@ -56,6 +57,21 @@ def test_random_against_brute_force(spark):
     assert {tuple(r) for r in la.same_reading_pairs(spark.createDataFrame(data, E)).collect()} == want
 
 
+def test_composed_and_combining_letters_meet(spark):
+    letters = [x for x in map(chr, [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]) if unicodedata.normalize("NFD", x) != x]
+    data = [(i, p, "") for i, x in enumerate(letters) for p in {x, unicodedata.normalize("NFD", x), unicodedata.normalize("NFC", x)}]
+    data += [(9001, p, "") for p in ("\u00ea\u0323", "\u1ec7", "e\u0323\u0302")] + [(9002, p, "") for p in ("\u1ecd\u031b", "\u1ee3")]
+    data += [(9003, p, "") for p in ("\u045e", "y\u0306", "\u0443\u0306")] + [(9004, p, "") for p in ("\u1f40", "\u03bf\u0313", "o\u0313")]
+    by = defaultdict(set)
+    for s, p, _ in data:
+        by[s].add(p)
+    want = {(s, a, b) for s, m in by.items() for a in m for b in m if a < b}
+    df = spark.createDataFrame(data, E)
+    assert {tuple(r) for r in la.same_reading_pairs(df).collect()} == want
+    got = {(r["scan_id"], r["rel_path"]): r["canonical"] for r in la.consistent_paths(df).collect()}
+    assert got == {(s, p): min(m) for s, m in by.items() for p in m}
+
+
 def test_consistent_paths(spark):
     df = spark.createDataFrame([(1, "аb", ""), (1, "ab", ""), (1, "c", ""), (1, "c", "")], E)
     got = {r["rel_path"]: (r["canonical"], r["form"]) for r in la.consistent_paths(df).collect()}
