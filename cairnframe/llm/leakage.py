@@ -26,6 +26,8 @@ _WORD = re.compile(f"[{_HAN}]|[^\\W_{_HAN}]+")
 _INLINE = re.compile(r"</?(?:a|abbr|b|big|cite|code|em|font|i|mark|s|small|span|strong|sub|sup|tt|u)(?:\s[^<>]*)?/?>", re.I)
 _MARKUP = re.compile(r"(?s)<!--.*?-->|<(?:style|script)\b.*?</(?:style|script)\s*>|<[!/]?[A-Za-z][^<>]*>", re.I)
 _ESCAPE = re.compile(r"=[0-9A-F]{2}|=\r?\n")
+_SOFT_BREAK = re.compile(r"=\r?\n")
+_BYTES = re.compile(r"=(?:C[2-9A-F]|D[0-9A-F])=[89AB][0-9A-F]|=E[0-9A-F](?:=[89AB][0-9A-F]){2}|=F[0-4](?:=[89AB][0-9A-F]){3}")
 
 
 def words_of(text: str) -> list[str]:
@@ -35,6 +37,16 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
+def _quoted_printable(body: str) -> bool:
+    """Whether a part that doesn't declare its coding looks quoted-printable: by many escapes, or, as that coding writes
+    every other = as an escape, by soft line breaks or the bytes of a UTF-8 character where no = stands for itself."""
+    equals = body.count("=")
+    if not equals:
+        return False
+    escapes = len(_ESCAPE.findall(body))
+    return escapes > 4 or escapes == equals and bool(_SOFT_BREAK.search(body) or _BYTES.search(body))
+
+
 def readable(text: str) -> list[str]:
     """The parts of a mail as they read: quoted-printable decoded, markup taken off, base64 left out.
 
@@ -45,7 +57,7 @@ def readable(text: str) -> list[str]:
         if coding == "base64" or not (kind.startswith("text/") or kind == "message/rfc822"):
             continue
         body = text[start:end]
-        if coding == "quoted-printable" or not coding and len(_ESCAPE.findall(body, 0, 20_000)) > 4:
+        if coding == "quoted-printable" or not coding and _quoted_printable(body):
             body = quopri.decodestring(body.encode()).decode("utf-8", "replace")
         if kind == "text/html" or not coding and "</p>" in body:
             body = html.unescape(_MARKUP.sub(" ", _INLINE.sub("", body)))

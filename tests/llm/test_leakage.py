@@ -36,6 +36,15 @@ def test_reordered_passages_show_in_the_coverage(spark):
     assert r["tiled"] >= r["words"] - 2 and r["longest"] <= r["words"] // 2 + 2
 
 
+def test_undeclared_quoted_printable_is_decoded():
+    soft = ITEM.replace("ferry", "fer=\nry")
+    assert lk.readable(soft) == [ITEM] and lk.readable(soft.replace("\n", "\r\n")) == [ITEM] and lk.readable("caf=C3=A9 " + ITEM) == ["café " + ITEM]
+    late = "word " * 5000 + "a=3Db " * 5
+    assert lk.readable(late) == ["word " * 5000 + "a=b " * 5]
+    for plain in ("x=1 and y=\nz", "total =20", "a == b", "see ?q=AB", ITEM):
+        assert lk.readable(plain) == [plain]
+
+
 def test_every_shared_seed_has_its_row():
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(40)]
