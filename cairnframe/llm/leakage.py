@@ -7,27 +7,30 @@ import html
 import quopri
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from math import ceil
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnframe.functions.exec import cut, sized
 from cairnframe.llm.mailparts import parts
 
-#: Items that are held against the corpus in one pass; more items make more passes (blocks of the query set).
-BLOCK_ITEMS = 20_000
-#: Words of the shortest run that counts as shared.
+#: Words of a seed; an item that needs shorter runs has shorter seeds of its own.
 SEED_WORDS = 4
+#: Seeds that a task hands on at a time, and words whose hashes it keeps at hand (a cache: results don't depend on it).
+CHUNK_SEEDS, CACHE_WORDS = 1 << 20, 1 << 20
 
-_HAN = "㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
+_HAN = "㐀-䶿一-鿿豈-﫿\U00020000-\U0003ffff"
 _WORD = re.compile(f"[{_HAN}]|[^\\W_{_HAN}]+")
+_APOSTROPHE = re.compile(f"(?<=[^\\W\\d_{_HAN}])['’ʼ＇](?=[^\\W\\d_{_HAN}])")
 _INLINE = re.compile(r"</?(?:a|abbr|b|big|cite|code|em|font|i|mark|s|small|span|strong|sub|sup|tt|u)(?:\s[^<>]*)?/?>", re.I)
 _MARKUP = re.compile(r"(?s)<!--.*?-->|<(?:style|script)\b.*?</(?:style|script)\s*>|<[!/]?[A-Za-z][^<>]*>", re.I)
+_END_TAG = re.compile(r"</[A-Za-z]")
 _ESCAPE = re.compile(r"=[0-9A-F]{2}|=\r?\n")
-_SOFT_BREAK = re.compile(r"=\r?\n")
-_BYTES = re.compile(r"=(?:C[2-9A-F]|D[0-9A-F])=[89AB][0-9A-F]|=E[0-9A-F](?:=[89AB][0-9A-F]){2}|=F[0-4](?:=[89AB][0-9A-F]){3}")
 
 
 def words_of(text: str) -> list[str]:
@@ -37,214 +40,224 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.casefold())
 
 
-def _quoted_printable(body: str) -> bool:
-    """Whether a part that doesn't declare its coding looks quoted-printable: by many escapes, or, as that coding writes
-    every other = as an escape, by soft line breaks or the bytes of a UTF-8 character where no = stands for itself."""
-    equals = body.count("=")
-    if not equals:
-        return False
-    escapes = len(_ESCAPE.findall(body))
-    return escapes > 4 or escapes == equals and bool(_SOFT_BREAK.search(body) or _BYTES.search(body))
+def readings(text: str) -> list[tuple[list[str], list[int] | None]]:
+    """(words, how many words each stands for) of the ways a text reads: as it is (None: each for one), and, where letters
+    stand on both sides of an apostrophe, without it, as texts whose punctuation was dropped have it."""
+    out: list[tuple[list[str], list[int] | None]] = [(words_of(text), None)]
+    if _APOSTROPHE.search(text):
+        words = words_of(_APOSTROPHE.sub("ǃ", text))  # a letter without case, so that the word goes on
+        out.append(([w.replace("ǃ", "") for w in words], [1 + w.count("ǃ") for w in words]))
+    return out
 
 
 def readable(text: str) -> list[str]:
     """The parts of a mail as they read: quoted-printable decoded, markup taken off, base64 left out.
 
-    Where the part says nothing of its coding or kind, its look tells them.
+    A part that doesn't say its coding is read both ways if it holds anything like an escape of quoted-printable.
     """
     out = []
     for kind, coding, start, end in parts(text):
         if coding == "base64" or not (kind.startswith("text/") or kind == "message/rfc822"):
             continue
-        body = text[start:end]
-        if coding == "quoted-printable" or not coding and _quoted_printable(body):
-            body = quopri.decodestring(body.encode()).decode("utf-8", "replace")
-        if kind == "text/html" or not coding and "</p>" in body:
-            body = html.unescape(_MARKUP.sub(" ", _INLINE.sub("", body)))
-        out.append(body)
+        bodies = [text[start:end]]
+        if coding == "quoted-printable" or not coding and _ESCAPE.search(bodies[0]):
+            decoded = quopri.decodestring(bodies[0].encode()).decode("utf-8", "replace")
+            bodies = [decoded] if coding else [bodies[0], decoded]
+        for body in bodies:
+            if kind == "text/html" or not coding and _END_TAG.search(body):
+                body = html.unescape(_MARKUP.sub(" ", _INLINE.sub("", body)))
+            out.append(body)
     return out
 
 
-class Items:
-    """A block of test items: their words as numbers, the runs they need, and the seed table.
+class _Hashes(dict):
+    """64-bit hashes of words."""
 
-    For coverage seeds have SEED_WORDS words (an item of fewer words is one seed) and every place of a document is
-    looked up. Else only runs of `share` of an item matter, and a stride passes over the places they don't need.
-    """
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
 
-    def __init__(self, rows: list[tuple[int, str]], share: float, coverage: bool = False):
-        self.code: dict[str, int] = {}
-        self.words: dict[int, list[int]] = {}
-        for item, text in rows:
-            w = [self.code.setdefault(x, len(self.code) + 1) for x in words_of(text or "")]
-            if w:
-                self.words[item] = w
-        self.need = {i: max(1, ceil(share * len(w) - 1e-9)) for i, w in self.words.items()}
-        least = min(self.need.values(), default=1)
-        k = SEED_WORDS if coverage else min(SEED_WORDS, least)
-        self.coverage = coverage
-        self.stride = 1 if coverage else least - k + 1
-        self.k = {i: min(k, len(w)) for i, w in self.words.items()}
-        self.lengths = sorted(set(self.k.values()))
-        self.seeds: dict[tuple, list[tuple[int, int]]] = {}
-        for item, w in self.words.items():
-            n = self.k[item]
-            for p in range(len(w) - n + 1):
-                self.seeds.setdefault(tuple(w[p : p + n]), []).append((item, p))
-
-    def candidates(self, doc: list[int]) -> set[int]:
-        """Items that share a seed with the document at a multiple of the stride. Every run as long as the shortest
-        needed one holds a whole seed there, so those places are enough for unbroken runs."""
-        found: set[int] = set()
-        seeds = self.seeds
-        for k in self.lengths:
-            for p in range(0, len(doc) - k + 1, self.stride):
-                if doc[p] and (hit := seeds.get(tuple(doc[p : p + k]))):
-                    found.update(i for i, _ in hit)
-        return found
-
-    def runs(self, doc: list[int]) -> dict[int, list[tuple[int, int, int]]]:
-        """All longest matches with each item, as tiles_of takes them, from the seeds at every place of the document."""
-        out: dict[int, list[tuple[int, int, int]]] = {}
-        ends: dict[tuple[int, int], int] = {}  # end in doc of the last match on an item's diagonal
-        get = self.seeds.get
-        for k in self.lengths:
-            for q, seed in enumerate(zip(*(doc[j:] for j in range(k)))):
-                for item, p in get(seed, ()):
-                    if ends.get((item, q - p), 0) > q:
-                        continue
-                    n = _run_length(self.words[item], doc, p, q, k)
-                    ends[item, q - p] = q + n
-                    out.setdefault(item, []).append((-n, p, q))
-        return out
-
-
-_BASE, _MOD = 1_000_003, (1 << 61) - 1
-
-
-def _windows(words: list[int], k: int) -> list[int]:
-    """Karp-Rabin hashes of all windows of k words."""
-    if len(words) < k:
-        return []
-    top, h, out = pow(_BASE, k - 1, _MOD), 0, []
-    for i, w in enumerate(words):
-        if i >= k:
-            h = (h - words[i - k] * top) % _MOD
-        h = (h * _BASE + w) % _MOD
-        if i >= k - 1:
-            out.append(h)
-    return out
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
-def _run_length(item: list[int], doc: list[int], p: int, q: int, n: int = 0) -> int:
-    while p + n < len(item) and q + n < len(doc) and item[p + n] == doc[q + n]:
-        n += 1
-    return n
 
+def word_hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
-def tiles(item: list[int], doc: list[int], k: int) -> list[tuple[int, int, int]]:
-    """(place in item, place in doc, length) of greedy string tiling: the longest match first, none overlapping.
 
-    Matches of at least k words are found by running Karp-Rabin hashes and verified word by word.
-    """
-    at: dict[int, list[int]] = {}
-    for p, h in enumerate(_windows(item, k)):
-        at.setdefault(h, []).append(p)
-    matches, covered = [], {}  # covered: end in doc of the last match on a diagonal
-    for q, h in enumerate(_windows(doc, k)):
-        for p in at.get(h, ()):
-            if covered.get(q - p, 0) > q:
-                continue
-            n = _run_length(item, doc, p, q)
-            if n >= k:
-                covered[q - p] = q + n
-                matches.append((-n, p, q))
-    return tiles_of(matches, len(item), len(doc), k)
+def windows(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Karp-Rabin hashes of all windows of k words; windows of different lengths differ."""
+    n = len(hashes) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        h = np.full(n, k, np.uint64)
+        for j in range(k):
+            h = h * _BASE + hashes[j : j + n]
+    return h.view(np.int64)
+
+
+def least_run(weights: list[int], share: float) -> int:
+    """Words in the shortest run that can stand for `share` of an item."""
+    return max(1, ceil((share * sum(weights) - 1e-9) / max(weights)))
+
 
+def seed_words(weights: list[int], share: float) -> int:
+    """Words of an item's seeds: SEED_WORDS, or as many as its shortest needed run has."""
+    return min(SEED_WORDS, least_run(weights, share))
 
-def tiles_of(heap: list[tuple[int, int, int]], item_words: int, doc_words: int, k: int) -> list[tuple[int, int, int]]:
-    """The tiles among longest matches (-length, place in item, place in doc)."""
+
+def runs_of(hits: Iterable[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
+    """(place in item, place in doc, length) of the longest matches, from the places (doc, item) of shared seeds of k words."""
+    out, last, start, end = [], None, 0, -1
+    for d, q in sorted({(q - p, q) for q, p in hits}):
+        if d == last and q == end + 1:
+            end = q
+            continue
+        if last is not None:
+            out.append((start - last, start, end - start + k))
+        last, start, end = d, q, q
+    if last is not None:
+        out.append((start - last, start, end - start + k))
+    return out
+
+
+def tiles_of(runs: list[tuple[int, int, int]], weights: list[int], k: int) -> list[tuple[int, int, int, int]]:
+    """(place in item, place in doc, length, weight) of the tiles: again and again the longest match, none overlapping.
+
+    What others leave of a match counts if it has at least k words.
+    """
+    upto = np.concatenate([[0], np.cumsum(weights)]).tolist()
+    weigh = lambda p, n: upto[p + n] - upto[p]
+    heap = [(-weigh(p, n), p, q, n) for p, q, n in runs]
+    if len(heap) == 1:
+        w, p, q, n = heap[0]
+        return [(p, q, n, -w)]
     heapq.heapify(heap)
-    used_i, used_d, out = bytearray(item_words), bytearray(doc_words), []
+    used_i, used_d, out = bytearray(len(weights)), set(), []
     while heap:
-        n, p, q = heapq.heappop(heap)
-        free = _free(used_i, used_d, p, q, -n)
-        if len(free) == 1 and free[0][0] == -n:
-            used_i[p : p - n] = used_d[q : q - n] = b"\1" * -n
-            out.append((p, q, -n))
+        w, p, q, n = heapq.heappop(heap)
+        free = _free(used_i, used_d, p, q, n)
+        if len(free) == 1 and free[0][2] == n:
+            used_i[p : p + n] = b"\1" * n
+            used_d.update(range(q, q + n))
+            out.append((p, q, n, -w))
             continue
-        for m, p, q in free:  # partly taken: what is left waits its turn
-            if m >= k:
-                heapq.heappush(heap, (-m, p, q))
+        for p, q, n in free:  # partly taken: what is left waits its turn
+            if n >= k:
+                heapq.heappush(heap, (-weigh(p, n), p, q, n))
     return out
 
 
-def _free(used_i: bytearray, used_d: bytearray, p: int, q: int, n: int) -> list[tuple[int, int, int]]:
+def _free(used_i: bytearray, used_d: set[int], p: int, q: int, n: int) -> list[tuple[int, int, int]]:
     out, start = [], None
     for j in range(n + 1):
-        if j < n and not used_i[p + j] and not used_d[q + j]:
+        if j < n and not used_i[p + j] and q + j not in used_d:
             start = j if start is None else start
         elif start is not None:
-            out.append((j - start, p + start, q + start))
+            out.append((p + start, q + start, j - start))
             start = None
     return out
 
 
-def leaks_in(text: str | None, items: Items) -> list[tuple[int, int, int, int]]:
-    """(item, words in tiles, longest tile, words of the item) of every item that shares a seed with the text.
+def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)])
+    flat = np.concatenate(values) if values else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
-    A word of the item counts once, however many parts of the text it is tiled in.
-    """
-    tiled: dict[int, bytearray] = {}
-    best: dict[int, int] = {}
-    code = items.code.get
-    for body in readable(text) if text else ():
-        doc = [code(w, 0) for w in words_of(body)]  # 0: in no item
-        if items.coverage:
-            found = {i: tiles_of(m, len(items.words[i]), len(doc), items.k[i]) for i, m in items.runs(doc).items()}
-        else:
-            found = {i: tiles(items.words[i], [w or -1 for w in doc], items.k[i]) for i in items.candidates(doc)}
-        for item, own in found.items():
-            seen = tiled.setdefault(item, bytearray(len(items.words[item])))
-            for p, _, n in own:
-                seen[p : p + n] = b"\1" * n
-            best[item] = max([best.get(item, 0), *(n for _, _, n in own)])
-    return [(i, sum(seen), best[i], len(seen)) for i, seen in tiled.items()]
-
-
-def _run(rows: list[tuple[int, str]], share: float, coverage: bool):
-    kept: list[Items] = []
 
+def _doc_seeds(lengths: list[int]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Hashes()
+        rows: list[tuple[int, int, int]] = []
+        seeds: list[np.ndarray] = []
+        held = 0
+
+        def flush() -> pa.RecordBatch:
+            ids, marks, at = list(zip(*rows)) or [[]] * 3
+            cols = [pa.array(ids, pa.int64()), pa.array(marks, pa.int64()), pa.array(at, pa.int32()), _lists(seeds, pa.int64())]
+            return pa.RecordBatch.from_arrays(cols, ["doc_id", "mark", "at", "seeds"])
+
+        for batch in batches:
+            for doc, mark, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                at = 0
+                for body in readable(value.as_py()):
+                    for words, _ in readings(body):
+                        hashes = word_hashes(words, memo)
+                        for k in lengths:
+                            if len(found := windows(hashes, k)):
+                                rows.append((doc, mark, at))
+                                seeds.append(found)
+                                held += len(found)
+                        at += len(words) + 1  # no run goes on from one reading to the next
+                if held >= CHUNK_SEEDS:
+                    yield flush()
+                    rows, seeds, held = [], [], 0
+        yield flush()
+
+    return run
+
+
+def _item_rows(share: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not kept:
-            kept.append(Items(rows, share, coverage))
+        memo = _Hashes()
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out += [(doc, *x) for x in leaks_in(text, kept[0])]
-            cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.int32()) for c in cols[2:])],
-                ["doc_id", "item_id", "tiled", "longest", "words"],
-            )
+            for item, mark, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for v, (words, weights) in enumerate(readings(text)):
+                    if words:
+                        weights = weights or [1] * len(words)
+                        k = seed_words(weights, share)
+                        fewest = least_run(weights, share) - k + 1
+                        out.append((item, mark, v, k, fewest, weights, windows(word_hashes(words, memo), k).tolist()))
+            cols = list(zip(*out)) or [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["item_id", "own", "v", "k", "fewest", "weights", "seeds"])
 
     return run
 
 
-def _tiled(docs: DataFrame, items: DataFrame, share: float, coverage: bool) -> DataFrame:
-    """(doc_id, item_id, tiled, longest, words) from one pass over the corpus for each block of BLOCK_ITEMS items."""
-    rows = items.select("item_id", "text").where(F.col("item_id").isNotNull()).distinct()
-    total = rows.count()
-    blocks = max(1, -(-total // BLOCK_ITEMS))
-    keyed = rows.withColumn("b", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
-    found = None
-    for b in range(blocks):
-        own = [(r["item_id"], r["text"]) for r in keyed.where(F.col("b") == b).collect()]
-        one = docs.select("doc_id", "text").mapInArrow(
-            _run(own, share, coverage), "doc_id long, item_id long, tiled int, longest int, words int"
-        )
-        found = one if found is None else found.unionByName(one)
-    return found
+def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tiled, longest = [], []
+        hits = batch.column(batch.schema.get_field_index("hits"))
+        flat = hits.flatten()
+        places = list(zip(flat.field(0).to_pylist(), flat.field(1).to_pylist()))
+        ends = np.cumsum(np.array([0, *(x or 0 for x in hits.value_lengths().to_pylist())])).tolist()
+        for i, (weights, k) in enumerate(zip(batch.column(batch.schema.get_field_index("weights")).to_pylist(), batch.column(batch.schema.get_field_index("k")).to_pylist())):
+            found = tiles_of(runs_of(places[ends[i] : ends[i + 1]], k), weights, k)
+            tiled.append(sum(w for *_, w in found))
+            longest.append(max(w for *_, w in found))
+        cols = [batch.column(i) for i in range(5)]
+        words = pa.array([sum(w) for w in batch.column(batch.schema.get_field_index("weights")).to_pylist()], pa.int32())
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(tiled, pa.int32()), pa.array(longest, pa.int32()), words], ["doc_id", "mark", "item_id", "own", "v", "tiled", "longest", "words"])
+
+
+def _tiled(docs: DataFrame, items: DataFrame, share: float, unbroken: bool) -> DataFrame:
+    """(doc_id, item_id, tiled, longest, words) of the documents and items that share seeds.
+
+    unbroken leaves out pairs with fewer shared seeds than a run of `share` of the item has; they can't hold one.
+    """
+    known = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", F.xxhash64("text").alias("own"), "text").distinct()
+    ddl = "item_id long, own long, v int, k int, fewest int, weights array<int>, seeds array<long>"
+    rows = cut(known.mapInArrow(_item_rows(share), ddl))
+    lengths = [r["k"] for r in rows.select("k").distinct().collect()]  # at most SEED_WORDS numbers
+    seeds = rows.select("item_id", "own", "v", F.posexplode("seeds").alias("p", "seed"))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("mark"), "text")
+    at = texts.mapInArrow(_doc_seeds(lengths), "doc_id long, mark long, at int, seeds array<long>")
+    at = at.select("doc_id", "mark", "at", F.posexplode("seeds").alias("q", "seed"))
+    hits = at.join(sized(seeds), "seed").select("doc_id", "mark", "item_id", "own", "v", (F.col("at") + F.col("q")).alias("q"), "p")
+    pairs = hits.groupBy("doc_id", "mark", "item_id", "own", "v").agg(F.collect_list(F.struct("q", "p")).alias("hits"))
+    pairs = pairs.join(sized(rows.select("item_id", "own", "v", "k", "fewest", "weights"), 20_000), ["item_id", "own", "v"])
+    if unbroken:
+        pairs = pairs.where(F.size("hits") >= F.col("fewest"))
+    found = pairs.select("doc_id", "mark", "item_id", "own", "v", "k", "weights", "hits").mapInArrow(
+        _tile, "doc_id long, mark long, item_id long, own long, v int, tiled int, longest int, words int"
+    )
+    best = found.groupBy("doc_id", "mark", "item_id", "own").agg(F.max("tiled").alias("tiled"), F.max("longest").alias("longest"), F.max("words").alias("words"))
+    return best.drop("mark", "own")
 
 
 def _enough(words: str, share: float) -> Column:
@@ -254,20 +267,21 @@ def _enough(words: str, share: float) -> Column:
 def passages(docs: DataFrame, items: DataFrame, share: float = 0.4) -> DataFrame:
     """(doc_id, item_id, tiled, longest, words, covered) of the documents and items that share seeds of words.
 
-    tiled counts the item's words in non-overlapping matches (so reordered passages count), united over the parts of
-    the document; longest those in the longest unbroken run; covered says whether tiled reaches `share` of the item.
-    Seeds of SEED_WORDS words of all items make a table that goes to every task: the items are the stated query set,
-    read in blocks of BLOCK_ITEMS, one pass over the corpus each. Documents are read where they lie, in Arrow batches,
-    without a shuffle, and looked up at every word. An item of fewer words is one seed. NULL or empty texts and items
-    have no rows; repeated items give repeated pairs once; other columns are ignored.
+    tiled counts the item's words in non-overlapping matches, so that reordered passages count, over all parts of the
+    document; longest those in the longest unbroken run; covered says whether tiled reaches `share` of the item.
+
+    Every item of any number has its seeds, the hashes of all its windows of SEED_WORDS words (of fewer, if `share` of
+    it is a shorter run), and so has every document, at every word. They meet in one join, in one pass over the corpus;
+    the items' seeds are broadcast if they are few enough, else both sides are shuffled by seed. Shared seeds of a
+    document and an item that follow each other make its matches, which greedy string tiling takes longest first.
+    Matches are exact up to the equality of 64-bit hashes. Texts are read whole, as they are and without apostrophes
+    inside words; parts that don't declare their coding as stored and decoded. NULL or empty texts and items have no
+    rows; equal documents of one doc_id and equal items count once, differing ones each; other columns are ignored.
     """
-    return _tiled(docs, items, share, coverage=True).withColumn("covered", _enough("tiled", share))
+    return _tiled(docs, items, share, unbroken=False).withColumn("covered", _enough("tiled", share))
 
 
 def leaked(docs: DataFrame, items: DataFrame, share: float = 0.4) -> DataFrame:
-    """(doc_id, item_id): at least `share` of the item's words stand in one unbroken run of the document.
-
-    A document's seeds are looked up at such distances that no run of `share` of any item is passed over.
-    """
-    p = _tiled(docs, items, share, coverage=False)
-    return p.where(_enough("longest", share)).select("doc_id", "item_id").distinct()
+    """(doc_id, item_id): at least `share` of the item's words stand in one unbroken run of the document, so one of the
+    tiles of `passages` has as many words."""
+    return _tiled(docs, items, share, unbroken=True).where(_enough("longest", share)).select("doc_id", "item_id").distinct()

@@ -36,33 +36,76 @@ def test_reordered_passages_show_in_the_coverage(spark):
     assert r["tiled"] >= r["words"] - 2 and r["longest"] <= r["words"] // 2 + 2
 
 
-def test_undeclared_quoted_printable_is_decoded():
+def test_undeclared_quoted_printable_is_read_both_ways(spark):
     soft = ITEM.replace("ferry", "fer=\nry")
-    assert lk.readable(soft) == [ITEM] and lk.readable(soft.replace("\n", "\r\n")) == [ITEM] and lk.readable("caf=C3=A9 " + ITEM) == ["café " + ITEM]
-    late = "word " * 5000 + "a=3Db " * 5
-    assert lk.readable(late) == ["word " * 5000 + "a=b " * 5]
-    for plain in ("x=1 and y=\nz", "total =20", "a == b", "see ?q=AB", ITEM):
-        assert lk.readable(plain) == [plain]
+    assert lk.readable(soft) == [soft, ITEM] and lk.readable("caf=C3=A9") == ["caf=C3=A9", "café"]
+    assert lk.readable("a == b") == ["a == b"] and lk.readable("x=1") == ["x=1"]
+    late = "word " * 200_000 + ITEM.replace("e", "=65")
+    assert leaks(spark, [late, "x=AB " + ITEM, soft], [ITEM]) == [(0, 0), (1, 0), (2, 0)]
 
 
-def test_every_shared_seed_has_its_row():
+def test_apostrophes_may_be_dropped(spark):
+    item = "Quel fanal la guilde d'Omar déplaça-t-elle d'abord, si l'aqueduc n'exige qu'un métier de l'arbre?"
+    none = item.replace("'", "")
+    docs = [none, none.lower(), item.replace("'", "’"), item.replace("'", " "), item]
+    assert leaks(spark, docs, [item]) == [(i, 0) for i in range(5)]
+    ((_, weights),) = lk.readings(item)[1:]
+    assert sum(weights) == len(lk.words_of(item))
+
+
+def test_pieces_in_any_order_are_covered(spark):
+    rng = random.Random(3)
+    item = " ".join(f"w{rng.randint(0, 400)}" for _ in range(66))
+    docs = []
+    for i in range(40):
+        w = item.split()
+        pieces = [w[a : a + 11] for a in range(0, 66, 11)]
+        rng.shuffle(pieces)
+        docs.append((i, " ".join(" ".join(x) + " zz" * rng.randint(1, 30) for x in pieces), ""))
+    got = lk.passages(spark.createDataFrame(docs, D), spark.createDataFrame([(1, "en", item), (2, "en", "w1")], I_)).where("item_id = 1").collect()
+    assert len(got) == 40 and all(r["tiled"] == 66 and r["covered"] for r in got)
+
+
+def test_a_short_item_changes_no_other(spark):
+    far = "y " * 500_000 + ITEM
+    docs = [ITEM, far, "nothing", "ferry"]
+    assert leaks(spark, docs, [ITEM, "ferry", "qq b"]) == [(0, 0), (0, 1), (1, 0), (1, 1), (3, 1)]
+
+
+def test_pairs_and_tiles_against_brute_force(spark):
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(40)]
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 65, 80])))) for i in range(20)]
-    table = lk.Items(items, 0.4, coverage=True)
-    hits = 0
-    for _ in range(300):
-        w = rng.choice(items)[1].split()
+    items = [(i, "", " ".join(rng.choice(vocabulary) for _ in range(rng.choice([1, 2, 3, 9, 65, 80])))) for i in range(30)]
+    docs = []
+    for i in range(300):
+        w = rng.choice(items)[2].split()
         a = rng.randint(0, len(w))
-        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 30))] + w[a : a + rng.randint(0, 12)] + ["x"] * rng.randint(0, 30)
-        got = {i: (tiled, longest) for i, tiled, longest, _ in lk.leaks_in(" ".join(words), table)}
-        runs = {i: longest_common_run(t.split(), words) for i, t in items}
-        assert {i: longest for i, (_, longest) in got.items()} == {i: n for i, n in runs.items() if n >= min(4, len(table.words[i]))}
-        doc = [table.code.get(x, -1) for x in words]
-        for i, (tiled, _) in got.items():
-            assert tiled == sum(n for _, _, n in lk.tiles(table.words[i], doc, min(4, len(table.words[i]))))
-        hits += sum(n < table.need[i] for i, (_, n) in got.items())
-    assert hits > 100
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 30))] + w[a : a + rng.randint(0, 40)] + ["x"] * rng.randint(0, 30)
+        docs.append((i, " ".join(words), ""))
+    d, t = spark.createDataFrame(docs, D), spark.createDataFrame(items, I_)
+    got = {(r["doc_id"], r["item_id"]): r for r in lk.passages(d, t).collect()}
+    leaked = {tuple(r) for r in lk.leaked(d, t).collect()}
+    want, hits = set(), set()
+    for i, text, _ in docs:
+        for j, _, item in items:
+            x, y = item.split(), text.split()
+            run = longest_common_run(x, y)
+            k = lk.seed_words([1] * len(x), 0.4)
+            if run >= k:
+                hits.add((i, j))
+                seeds = {(q, p) for q in range(len(y) - k + 1) for p in range(len(x) - k + 1) if y[q : q + k] == x[p : p + k]}
+                assert got[i, j]["longest"] == run and got[i, j]["tiled"] == sum(w for *_, w in lk.tiles_of(lk.runs_of(seeds, k), [1] * len(x), k))
+            if run >= 0.4 * len(x):
+                want.add((i, j))
+    assert set(got) == hits and leaked == want and len(want) > 100
+
+
+def test_repeated_rows(spark):
+    rows = [(1, ITEM, ""), (1, ITEM, "b"), (1, "nothing", ""), (1, share(ITEM, 0, 0.5), ""), (None, ITEM, "")]
+    items = spark.createDataFrame([(1, "en", ITEM), (1, "de", ITEM), (1, "en", "other words"), (None, "en", ITEM)], I_)
+    d = spark.createDataFrame(rows, D)
+    assert {tuple(r) for r in lk.leaked(d, items).collect()} == {(1, 1), (None, 1)}
+    assert lk.passages(d, items).count() == 3
 
 
 def test_a_short_run_anywhere_has_a_row(spark):
@@ -100,31 +143,12 @@ def longest_common_run(a, b):
     return best
 
 
-def test_random_runs_against_brute_force():
-    rng = random.Random(4)
-    vocabulary = [f"w{i}" for i in range(30)]
-    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 60)))) for i in range(20)]
-    table = lk.Items(items, 0.4)
-    hits = 0
-    for _ in range(400):
-        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 40))]
-        if rng.random() < 0.7:
-            w = rng.choice(items)[1].split()
-            a = rng.randint(0, len(w))
-            words += w[a : a + rng.randint(0, 40)] + [rng.choice(vocabulary) for _ in range(10)]
-        text = " ".join(words)
-        got = {i for i, _, longest, n in lk.leaks_in(text, table) if longest >= table.need[i]}
-        want = {i for i, t in items if longest_common_run(t.split(), words) >= table.need[i]}
-        assert got == want
-        hits += len(want)
-    assert hits > 100
-
-
 def test_tiles_do_not_overlap():
     rng = random.Random(9)
     for _ in range(300):
-        a, b = ([rng.randint(1, 3) for _ in range(rng.randint(0, 25))] for _ in range(2))
-        out = lk.tiles(a, b, 3)
-        ia, ib = [x for p, _, n in out for x in range(p, p + n)], [x for _, q, n in out for x in range(q, q + n)]
-        assert len(ia) == len(set(ia)) and len(ib) == len(set(ib)) and all(a[p : p + n] == b[q : q + n] for p, q, n in out)
-        assert max([n for _, _, n in out], default=0) == (x if (x := longest_common_run(a, b)) >= 3 else 0)
+        a, b = ([rng.randint(1, 3) for _ in range(rng.randint(1, 25))] for _ in range(2))
+        hits = [(q, p) for q in range(len(b) - 2) for p in range(len(a) - 2) if b[q : q + 3] == a[p : p + 3]]
+        out = lk.tiles_of(lk.runs_of(hits, 3), [1] * len(a), 3)
+        ia, ib = [x for p, _, n, _ in out for x in range(p, p + n)], [x for _, q, n, _ in out for x in range(q, q + n)]
+        assert len(ia) == len(set(ia)) and len(ib) == len(set(ib)) and all(a[p : p + n] == b[q : q + n] for p, q, n, _ in out)
+        assert max([n for _, _, n, _ in out], default=0) == (x if (x := longest_common_run(a, b)) >= 3 else 0)
