@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
@@ -24,8 +23,6 @@ TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: UTF-8 bytes of text per block; a longer text is a block of its own.
 BLOCK_BYTES = 8 << 20
-#: Distinct words that a task remembers; beyond, it forgets them all and encodes anew.
-MEMO_WORDS = 2_000_000
 
 
 def load_ranks(name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> bytes:
@@ -71,12 +68,13 @@ def _unpack(data: bytes) -> np.ndarray:
 BLOCKS = pa.schema(
     [
         ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("codes", pa.binary()),
-        ("n_others", pa.int32()), ("words", pa.list_(pa.struct([("bucket", pa.int32()), ("places", pa.binary()), ("words", pa.binary())]))),
+        ("n_others", pa.int32()), ("words", pa.list_(pa.binary())),
     ]
 )
+_BLOCKS_DDL = "block long, doc_ids array<bigint>, lengths binary, codes binary, n_others int, words array<binary>"
 
 
-def _block(number: int, ids: list, texts: list, ranks: dict[bytes, int], buckets: int, find) -> pa.RecordBatch:
+def _block(number: int, ids: list, texts: list, ranks: dict[bytes, int], find) -> pa.RecordBatch:
     words, codes, lengths = _Words(ranks), array("i"), []
     code = words.__getitem__
     for text in texts:
@@ -84,24 +82,14 @@ def _block(number: int, ids: list, texts: list, ranks: dict[bytes, int], buckets
         if text:
             codes.extend(map(code, find(text)))
         lengths.append(len(codes) - before)
-    by: dict[int, list[int]] = {}
-    raw = [w.encode() for w in words.others]
-    for place, w in enumerate(raw):
-        by.setdefault(zlib.crc32(w) % buckets, []).append(place)
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    parts = []
-    for bucket, places in by.items():
-        sizes = np.array([len(raw[p]) for p in places], "<i4").tobytes()
-        body = len(places).to_bytes(4, "little") + sizes + b"".join([raw[p] for p in places])
-        parts.append({"bucket": bucket, "places": _pack(np.array(places)), "words": squeeze(body)})
     row = {
         "block": number, "doc_ids": ids, "lengths": _pack(np.array(lengths)), "codes": _pack(np.frombuffer(codes, np.int32)),
-        "n_others": len(raw), "words": parts,
+        "n_others": len(words.others), "words": [w.encode() for w in words.others],
     }
     return pa.RecordBatch.from_pylist([row], BLOCKS)
 
 
-def _blocks(lines: bytes, buckets: int):
+def _blocks(lines: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, find = ranks_of(lines), regex.compile(PATTERN).findall
         number = TaskContext.get().partitionId() << 32
@@ -113,59 +101,50 @@ def _blocks(lines: bytes, buckets: int):
                 texts.append(text)
                 size += t.as_buffer().size if text else 0
                 if size >= BLOCK_BYTES:
-                    yield _block(number, ids, texts, ranks, buckets, find)
+                    yield _block(number, ids, texts, ranks, find)
                     number, ids, texts, size = number + 1, [], [], 0
         if ids:
-            yield _block(number, ids, texts, ranks, buckets, find)
+            yield _block(number, ids, texts, ranks, find)
 
     return run
 
 
 def _encode(lines: bytes):
-    """(block, bucket, places, words) to (block, places, counts, ids): every distinct word of the task encoded once."""
+    """(block, place, word) in the order of the words to (block, place, ids): every distinct word of the task encoded once."""
+    kind = id_type(ranks_of(lines))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, memo = encoder(lines)._core_bpe.encode_single_piece, {}
-        open_ = zstandard.ZstdDecompressor().decompress
+        one, last, ids = encoder(lines)._core_bpe.encode_single_piece, None, b""
         for batch in batches:
             out = []
-            for row in batch.to_pylist():
-                body = open_(row["words"])
-                n = int.from_bytes(body[:4], "little")
-                at, ids, counts = 4 + 4 * n, array("i"), []
-                for size in np.frombuffer(body, "<i4", n, 4).tolist():
-                    word, at = body[at : at + size], at + size
-                    if (found := memo.get(word)) is None:
-                        if len(memo) >= MEMO_WORDS:
-                            memo.clear()
-                        found = memo[word] = one(word)
-                    ids.extend(found)
-                    counts.append(len(found))
-                out.append((row["block"], row["places"], _pack(np.array(counts)), _pack(np.frombuffer(ids, np.int32))))
-            cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), *(pa.array(c, pa.binary()) for c in cols[1:])],
-                ["block", "places", "counts", "ids"],
-            )
+            for word in batch.column(2).to_pylist():
+                if word != last:
+                    last, ids = word, np.array(one(word), kind).tobytes()
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "place", "ids"])
 
     return run
 
 
-def _reassemble(base: int):
+def id_type(ranks: dict[bytes, int]) -> str:
+    """The least number type that holds every id."""
+    return "<u2" if max(ranks.values()) < 1 << 16 else "<i4"
+
+
+def _reassemble(base: int, kind: str):
     def run(block: pa.Table, parts: pa.Table) -> pa.Table:
         row = block.to_pylist()[0]
         codes, lengths = _unpack(row["codes"]), _unpack(row["lengths"])
         counts = np.ones(base + row["n_others"], np.int64)
-        pieces = [np.arange(base, dtype=np.int32)]
         starts = np.arange(base + row["n_others"], dtype=np.int64)
-        at = base
-        for p in parts.to_pylist():
-            places, n, ids = _unpack(p["places"]), _unpack(p["counts"]), _unpack(p["ids"])
-            counts[base + places] = n
-            starts[base + places] = at + np.concatenate([[0], np.cumsum(n)[:-1]])
-            pieces.append(ids)
-            at += len(ids)
-        flat = np.concatenate(pieces)
+        places = base + parts.column("place").to_numpy().astype(np.int64)
+        found = parts.column("ids").combine_chunks()
+        sizes = np.diff(np.frombuffer(found.buffers()[1], "<i4", len(found) + 1, 4 * found.offset)) if len(found) else np.zeros(0, np.int64)
+        own = np.frombuffer(b"".join(found.to_pylist()), kind).astype(np.int32)
+        n = sizes // np.dtype(kind).itemsize
+        counts[places] = n
+        starts[places] = base + np.cumsum(n) - n
+        flat = np.concatenate([np.arange(base, dtype=np.int32), own])
         n = counts[codes]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
@@ -183,30 +162,21 @@ def encode_corpus(docs: DataFrame, text: str = "text", name: str = "byte_bpe_50k
 
     Texts are split into pre-tokens once, block by block. A word that is one token has its id at once, so that the words
     that are hot in any corpus (blanks, commas, articles) never reach a shuffle. Of the others each block sends its
-    distinct ones into a global shuffle by word, where each distinct word meets all its blocks in one task
-    and is encoded once; a word's load is bounded by the number of blocks. The ids go back to the blocks,
-    whose documents are reassembled by position with array arithmetic. Only compressed arrays cross the shuffles.
+    distinct ones, one row (word, block, place) each, into a global shuffle by word, so rows grow with the text
+    alone. In every task the words come in their order, so that each distinct word is encoded once in the whole corpus
+    and nothing is remembered but the last one; a word has at most one row for each block. The ids go back to the
+    blocks, whose documents are reassembled by position with array arithmetic.
     The blocks are cut (checkpoint), as both ways read them. Every row gives a row, also repeated or NULL
     doc_ids; extra columns are ignored; an empty table gives no rows. Strings of special tokens are ordinary text.
     """
-    spark = docs.sparkSession
     lines = load_ranks(name, folder)
-    base = max(ranks_of(lines).values()) + 1
-    size = int(str(docs.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= 1 << 50:  # Spark doesn't know; then as many as the input has partitions of the usual size
-        size = docs.rdd.getNumPartitions() * (32 << 20)
-    buckets = min(50_000, max(spark.sparkContext.defaultParallelism, size // (32 << 20)))
-    ddl = (
-        "block long, doc_ids array<bigint>, lengths binary, codes binary, n_others int, "
-        "words array<struct<bucket:int,places:binary,words:binary>>"
-    )
-    blocks = cut(docs.select("doc_id", text).mapInArrow(_blocks(lines, buckets), ddl))
-    words = blocks.select("block", F.explode("words").alias("w")).select("block", "w.*")
-    encoded = words.repartition(buckets, "bucket").mapInArrow(_encode(lines), "block long, places binary, counts binary, ids binary")
+    ranks = ranks_of(lines)
+    blocks = cut(docs.select("doc_id", text).mapInArrow(_blocks(lines), _BLOCKS_DDL))
+    words = blocks.select("block", F.posexplode("words").alias("place", "word")).repartition("word").sortWithinPartitions("word")
+    encoded = words.mapInArrow(_encode(lines), "block long, place int, ids binary")
     bodies = blocks.select("block", "doc_ids", "lengths", "codes", "n_others")
-    return (
-        bodies.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(_reassemble(base), "doc_id long, ids array<int>")
-    )
+    again = _reassemble(max(ranks.values()) + 1, id_type(ranks))
+    return bodies.groupBy("block").cogroup(encoded.groupBy("block")).applyInArrow(again, "doc_id long, ids array<int>")
 
 
 def token_table(spark, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:

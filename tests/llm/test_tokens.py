@@ -48,5 +48,26 @@ def test_small_blocks(reference):
     lines = tokens.load_ranks()
     import regex
 
-    block = tokens._block(5, [1, 2], ["some Zqxwv words", "Zqxwv"], tokens.ranks_of(lines), 3, regex.compile(tokens.PATTERN).findall)
+    block = tokens._block(5, [1, 2], ["some Zqxwv words", "Zqxwv"], tokens.ranks_of(lines), regex.compile(tokens.PATTERN).findall)
     assert block.num_rows == 1 and block.column(4)[0].as_py() == 2  # " Zqxwv" and "Zqxwv"
+
+
+def test_every_distinct_word_is_encoded_once():
+    import pyarrow as pa
+
+    words = sorted([b" Zqxwv", b"Qzzv"] * 3 + [b"xyzzyx"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int64()), pa.array([0] * 7, pa.int32()), pa.array(words)], ["block", "place", "word"])
+    (out,) = tokens._encode(tokens.load_ranks())([batch])
+    one = tokens.encoder(tokens.load_ranks())._core_bpe.encode_single_piece
+    import numpy as np
+
+    assert [np.frombuffer(x, "<u2").tolist() for x in out.column(2).to_pylist()] == [one(w) for w in words]
+
+
+def test_rows_of_the_word_shuffle_grow_with_the_text(spark, monkeypatch):
+    import regex
+
+    ranks, find = tokens.ranks_of(tokens.load_ranks()), regex.compile(tokens.PATTERN).findall
+    rows = lambda texts: sum(tokens._block(0, [0], [t], ranks, find).column(4)[0].as_py() for t in texts)
+    texts = [" ".join(f"zq{i}x{j}v" for j in range(200)) for i in range(40)]
+    assert rows(texts) == 4 * rows(texts[:10])
