@@ -6,6 +6,7 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,37 @@ def test_copies_against_brute_force(spark, share):
     assert len(found) == len(set(found)) and set(found) == brute_differences(entries, pairs)
 
 
+@pytest.mark.parametrize("bound", [500_000, 0])
+def test_rows_repeated_any_number_of_times(spark, monkeypatch, bound):
+    monkeypatch.setattr(reconcile, "CELLS", 6)
+    monkeypatch.setattr(reconcile, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(reconcile, "BROADCAST_ROWS", bound)
+    rng = random.Random(11)
+    entries = []
+    for i in range(3000):
+        kind = rng.random()
+        for scan in (1, 2):
+            if kind < 0.05 and scan == 2 or 0.05 <= kind < 0.1 and scan == 1:
+                continue
+            size = i + (scan if 0.1 <= kind < 0.15 else 0)
+            entries += [(scan, f"p{i}", size, 1, f"h{i}", "")] * rng.randint(1, 4)
+    pairs = [(1, 1, 2)]
+    got = reconcile.copy_differences(spark.createDataFrame(entries, ENTRIES), spark.createDataFrame(pairs, "pair_id long, left_scan_id long, right_scan_id long"))
+    assert {tuple(r) for r in got.collect()} == brute_differences(entries, pairs)
+
+
+def test_tables_open_whatever_the_repeats():
+    rng, cells = np.random.default_rng(5), []
+    rows = [(int(k), int(h), int(n)) for k, h, n in zip(rng.integers(-(2**63), 2**63, 12), rng.integers(-(2**63), 2**63, 12), [2, -2, 1, -1, 3, -3, 4, -4, 2, 2, -2, 1])]
+    for k, h, n in rows:
+        c = int(reconcile.xxhash64_longs(np.array([k]), np.array([h]))[0])
+        for t in range(3):
+            at = t * reconcile.CELLS + (c >> 20 * t) % reconcile.CELLS
+            cells.append((1, 0, at, n, *(n * x for v in (k, h, c) for x in (v >> 32, v & 0xFFFFFFFF))))
+    df = pd.DataFrame(cells, columns=["pair_id", "bucket", "cell", *reconcile.SUMS]).groupby(["pair_id", "bucket", "cell"], as_index=False).sum()
+    assert sorted(reconcile.open_tables(df)["k"].tolist()) == sorted(k for k, _, _ in rows)
+
+
 def test_copies_of_nothing(spark):
     p = spark.createDataFrame([], "pair_id long, left_scan_id long, right_scan_id long")
     assert reconcile.copy_differences(spark.createDataFrame([], ENTRIES), p).count() == 0
