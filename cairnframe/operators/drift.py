@@ -1,190 +1,131 @@
-"""Schemas that drift between the files of a feed: one table of all records, and a log of every change."""
+"""Schemas that drift between the files of a feed: one table of all records, and a log of every change.
 
-from __future__ import annotations
+The headers of all files are read in parallel, the kinds of every field fold in a lattice of promotions to one union
+schema, and the files' records are cast to it.
+"""
 
-import json
-import re
-from collections import defaultdict
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairnframe.functions.exec import cut, sized
+from cairnframe.functions.jsontext import get, kind_of, text_of, with_members
 from cairnframe.functions.sequence import with_previous
 
-# Words that give a field its meaning, looked for in its letters and digits in lower case, in this order.
-MEANINGS = {
-    "http_status_code": ("http",),
-    "error_code": ("err", "fehler", "fail", "fault"),
-    "result_message": ("result", "message", "msg", "text", "ergebnis", "meldung", "nachricht"),
-    "task_status": ("taskstatus", "taskstate"),
-}
-# Whole names, in the same form.
-NAMES = {
-    "bucket": "bucket", "bucketname": "bucket", "key": "object_key", "objectkey": "object_key",
-    "versionid": "version_id", "version": "version_id", "statuscode": "http_status_code", "status": "http_status_code",
-}
+# Patterns that give a field its meaning, looked for in its letters and digits in lower case, in this order.
+MEANINGS = (
+    ("bucket", "^bucket(name)?$"),
+    ("object_key", "^(object)?key$"),
+    ("version_id", "^version(id)?$"),
+    ("task_status", "taskstat(us|e)"),
+    ("http_status_code", "http|^status(code)?$"),
+    ("error_code", "err|fehler|fail|fault"),
+    ("result_message", "result|message|msg|text|ergebnis|meldung|nachricht"),
+    ("http_status_code", "status"),
+)
 #: Fields of a report row that a record can carry.
 FIELDS = ("bucket", "object_key", "version_id", "task_status", "error_code", "http_status_code", "result_message")
-#: Type promotion: the kinds that each kind can be widened to, itself first; string takes every kind as JSON text.
-LATTICE = {
-    "integer": ("integer", "decimal number", "string"),
-    "decimal number": ("decimal number", "string"),
-    "boolean": ("boolean", "string"),
-    "array": ("array", "string"),
-    "object": ("object", "string"),
-    "string": ("string",),
-}
-_CODE = re.compile(r"[A-Z][a-z]+(?:[A-Z][a-z]*)+")
-
-
-def kind_of(value: object) -> str | None:
-    """string, integer, decimal number, boolean, array or object; null has no kind."""
-    if value is None:
-        return None
-    if isinstance(value, bool):
-        return "boolean"
-    return {str: "string", int: "integer", float: "decimal number", list: "array", dict: "object"}[type(value)]
-
-
-def promote(a: str | None, b: str | None) -> str | None:
-    """The least kind that holds both; None is below every kind."""
-    if a is None or b is None:
-        return a or b
-    return next(k for k in LATTICE[a] if k in LATTICE[b])
-
-
-def meaning(name: str) -> str:
+#: Kinds in the order of their bits.
+KINDS = ("array", "boolean", "decimal number", "integer", "object", "string")
+#: Share of a field's values that have to look like a message's, so that a name that says nothing means the message;
+#: of codes and statuses all have to.
+MESSAGES = 0.3
+#: Files whose schemas may be broadcast: a kilobyte each.
+BROADCAST_FILES = 50_000
+
+_KEYS = ["feed_id", "file_id"]
+
+
+def promote(kinds: str) -> str:
+    """SQL of the least kind of the lattice that holds all of an array of kinds, NULL for none: an integer is a decimal
+    number, and everything is a string (as JSON text)."""
+    return (
+        f"CASE size({kinds}) WHEN 0 THEN NULL WHEN 1 THEN {kinds}[0] ELSE "
+        f"IF(forall({kinds}, k -> k IN ('integer', 'decimal number')), 'decimal number', 'string') END"
+    )
+
+
+def meaning(name: Column) -> Column:
     """What a field name stands for: one of FIELDS, or the name itself without case and separators."""
-    plain = "".join(x for x in name.lower() if x.isalnum())
-    if plain in NAMES:
-        return NAMES[plain]
-    for field, words in MEANINGS.items():
-        if any(w in plain for w in words):
-            return field
-    return "http_status_code" if "status" in plain else plain or name
-
-
-def _inner(value: object) -> object:
-    if isinstance(value, list) and len(value) == 1:
-        value = value[0]
-    return value["code"] if isinstance(value, dict) and "code" in value else value
-
-
-def looks_like(value: object) -> str | None:
-    """The field that a value could belong to, for names that say nothing."""
-    if isinstance(value, bool) or value is None:
-        return None
-    x = _inner(value)
-    if "checksumAlgorithm" in (x if isinstance(x, (str, dict)) else ()):
-        return "result_message"
-    if isinstance(x, str):
-        if _CODE.fullmatch(x):
-            return "error_code"
-        x = int(x) if x.strip().isdigit() and len(x) < 9 else None
-    if isinstance(x, (int, float)) and not isinstance(x, bool) and 100 <= x <= 599 and x == int(x):
-        return "http_status_code"
-    return None
-
-
-def parse(record: object) -> dict | None:
-    """A record's fields, or None for what isn't a JSON object."""
-    if not isinstance(record, str):
-        return None
-    try:
-        value = json.loads(record)
-    except (ValueError, RecursionError):
-        return None
-    return value if isinstance(value, dict) else None
-
-
-def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        seen: dict[tuple, dict[str, int]] = defaultdict(lambda: defaultdict(int))
-        for feed, file, at, record in zip(pdf["feed_id"], pdf["file_id"], pdf["written_at"], pdf["record"]):
-            for name, value in (parse(record) or {}).items():
-                n = seen[feed, file, at, name, kind_of(value)]
-                n["n"] += value is not None
-                if (like := looks_like(value)) is not None:
-                    n[like] += 1
-        rows = [(*k, n["n"], n["error_code"], n["http_status_code"], n["result_message"]) for k, n in seen.items()]
-        yield pd.DataFrame(rows, columns=["feed_id", "file_id", "written_at", "field", "kind", "n", "e", "h", "r"])
+    plain = F.lower(F.regexp_replace(name, r"[^\p{L}\p{N}]", ""))
+    found = F.lit(None).cast("string")
+    for field, pattern in reversed(MEANINGS):
+        found = F.when(plain.rlike(pattern), field).otherwise(found)
+    return F.coalesce(found, F.nullif(plain, F.lit("")), name)
+
+
+def _content(x: Column) -> Column:
+    """A value out of an array of one and an object with a code."""
+    one = F.when(get(x, "$[1]").isNull(), get(x, "$[0]"))
+    x = F.coalesce(one, x)
+    return F.coalesce(get(x, "$.code"), x)
+
+
+def _looks(x: Column) -> dict[str, Column]:
+    """Which fields a value could belong to, for names that say nothing."""
+    x = _content(x)
+    s, kind = get(x, "$", "string"), kind_of(x)
+    text = kind == "string"
+    numeric = kind.isin("integer", "decimal number") | (text & F.trim(s).rlike("^[0-9]{1,8}$"))
+    number = F.when(numeric, F.trim(s).try_cast("double"))
+    return {
+        "error_code": text & s.rlike("^[A-Z][a-z]+(?:[A-Z][a-z]*)+$"),
+        "http_status_code": (number >= 100) & (number <= 599) & (number == F.floor(number)),
+        "result_message": F.contains(s, F.lit("checksumAlgorithm")) & (text | (kind == "object")),
+    }
 
 
 def file_schemas(records: DataFrame) -> DataFrame:
-    """(feed_id, file_id, written_at, schema): every file's fields with their kinds and what their values look like.
+    """(feed_id, file_id, written_at, schema): every file's fields in the order of their names, each with its kinds and meaning.
 
-    Files are read in parallel, in Arrow batches; each batch sends one row per file, field and kind, whatever its
-    number of records. A file without a single readable record has no row.
+    Headers are read in parallel in the JVM and folded map-side to one row per task, file and field, whatever the
+    number of records. A file without a single readable record has no row. A field means what its name says, and if
+    that says nothing what its values look like, unless another field of the file has that name.
     """
-    heads = records.select("feed_id", "file_id", "written_at", "record").mapInPandas(
-        _headers,
-        "feed_id long, file_id long, written_at timestamp, field string, kind string, n long, e long, h long, r long",
+    rows = with_members(records.select(*_KEYS, "written_at", "record"), "record", "members")
+    rows = rows.where(F.col("members").isNotNull()).select(*_KEYS, "written_at", F.explode_outer("members").alias("field", "x"))
+    opaque = ~meaning(F.col("field")).isin(*FIELDS)
+    kind = kind_of(F.col("x"))
+    bits = F.lit(0)
+    for i, k in enumerate(KINDS):
+        bits = F.when(kind == k, 1 << i).otherwise(bits)
+    heads = rows.select(
+        *_KEYS, "written_at", "field", bits.alias("bits"), *(F.coalesce(opaque & c, F.lit(False)).alias(f) for f, c in _looks(F.col("x")).items())
     )
-    kinds = heads.groupBy("feed_id", "file_id", "field").agg(
-        F.max("written_at").alias("written_at"),
-        F.sort_array(F.collect_set("kind")).alias("kinds"),
-        *(F.sum(x).alias(x) for x in "nehr"),
-    )
-    return kinds.groupBy("feed_id", "file_id").agg(
-        F.max("written_at").alias("written_at"),
-        F.sort_array(F.collect_list(F.struct("field", "kinds", *"nehr"))).alias("schema"),
+    per_field = heads.groupBy(*_KEYS, "field").agg(
+        F.max("written_at").alias("written_at"), F.bit_or("bits").alias("bits"), F.count_if(F.col("bits") > 0).alias("n"),
+        *(F.count_if(f).alias(f) for f in ("error_code", "http_status_code", "result_message")),
+    )
+    some = F.col("n") > 0
+    seen = (
+        F.when(some & (F.col("http_status_code") == F.col("n")), "http_status_code")
+        .when(some & (F.col("error_code") == F.col("n")), "error_code")
+        .when(some & (F.col("result_message") > MESSAGES * F.col("n")), "result_message")
     )
+    kinds = F.array_compact(F.array(*(F.when(F.col("bits").bitwiseAND(1 << i) > 0, F.lit(k)) for i, k in enumerate(KINDS))))
+    one = F.when(F.col("field").isNotNull(), F.struct("field", kinds.alias("kinds"), meaning(F.col("field")).alias("m"), seen.alias("seen")))
+    files = per_field.groupBy(*_KEYS).agg(F.max("written_at").alias("written_at"), F.array_sort(F.collect_list(one)).alias("s"))
+    told = "IF(x.seen IS NOT NULL AND NOT exists(s, y -> y.m = x.seen), x.seen, x.m)"
+    return files.select(*_KEYS, "written_at", F.expr(f"transform(s, x -> named_struct('field', x.field, 'kinds', x.kinds, 'm', {told}))").alias("schema"))
+
+
+_CHANGES = f"""
+    array_sort(concat(
+        transform(renamed, x -> named_struct('field', x.b.field, 'change', 'renamed', 'old_field', x.a.field, 'old', x.a.kinds, 'new', x.b.kinds)),
+        transform(filter(concat(renamed, same), x -> size(x.a.kinds) > 0 AND size(x.b.kinds) > 0 AND x.a.kinds <> x.b.kinds),
+                  x -> named_struct('field', x.b.field, 'change', 'retyped', 'old_field', x.a.field, 'old', x.a.kinds, 'new', x.b.kinds)),
+        transform(filter(came, b -> NOT exists(gone, a -> a.m = b.m AND a.i = b.i)),
+                  b -> named_struct('field', b.field, 'change', 'added', 'old_field', CAST(NULL AS STRING), 'old', CAST(array() AS ARRAY<STRING>), 'new', b.kinds)),
+        transform(filter(gone, a -> NOT exists(came, b -> a.m = b.m AND a.i = b.i)),
+                  a -> named_struct('field', a.field, 'change', 'removed', 'old_field', a.field, 'old', a.kinds, 'new', CAST(array() AS ARRAY<STRING>)))
+    ))"""
 
 
-def _meanings(schema: list) -> dict[str, tuple[str, list[str]]]:
-    """field: (meaning, kinds)."""
-    out = {}
-    for f in schema:
-        m = meaning(f["field"])
-        if m not in FIELDS and f["n"]:
-            for field, count in (("result_message", f["r"]), ("error_code", f["e"]), ("http_status_code", f["h"])):
-                if count > 0.3 * f["n"] if field == "result_message" else count == f["n"]:
-                    m = field
-        out[f["field"]] = (m, list(f["kinds"]))
-    return out
-
-
-def compare_schemas(before: list, after: list) -> list[tuple]:
-    """Ordered changes (field, change, old_field, old_kind, new_kind, promoted)."""
-    old, new = _meanings(before), _meanings(after)
-    gone = sorted(x for x in old if x not in new)
-    came = sorted(x for x in new if x not in old)
-    fold = lambda kinds: _fold(kinds)
-    rows, pairs = [], [(x, x) for x in sorted(new) if x in old]
-    for a in list(gone):
-        same = [b for b in came if new[b][0] == old[a][0]]
-        if same:
-            b = min(same, key=lambda b: (set(old[a][1]) != set(new[b][1]), b))
-            gone.remove(a)
-            came.remove(b)
-            pairs.append((a, b))
-            rows.append((b, "renamed", a, fold(old[a][1]), fold(new[b][1]), promote(fold(old[a][1]), fold(new[b][1]))))
-    rows += [(x, "added", None, None, fold(new[x][1]), fold(new[x][1])) for x in came]
-    rows += [(x, "removed", x, fold(old[x][1]), None, fold(old[x][1])) for x in gone]
-    for a, b in pairs:
-        ka, kb = old[a][1], new[b][1]
-        if ka and kb and set(ka) != set(kb):
-            rows.append((b, "retyped", a, fold(ka), fold(kb), promote(fold(ka), fold(kb))))
-    return sorted(rows, key=lambda r: (r[0], r[1]))
-
-
-def _fold(kinds: list[str]) -> str | None:
-    out = None
-    for k in kinds:
-        out = promote(out, k)
-    return out
-
-
-def _differences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cols = ["feed_id", "file_id", "written_at", "ord", "field", "change", "old_field", "old_kind", "new_kind", "promoted"]
-    for pdf in batches:
-        rows = []
-        for feed, file, at, schema, before in zip(*(pdf[c] for c in ("feed_id", "file_id", "written_at", "schema", "before"))):
-            if before is not None:
-                rows += [(feed, file, at, i, *r) for i, r in enumerate(compare_schemas(list(before), list(schema)), 1)]
-        yield pd.DataFrame(rows, columns=cols)
+def _ranked(a: str, b: str) -> str:
+    """SQL of the fields of schema a that b lacks, with their place i among those of their meaning."""
+    only = f"filter({a}, x -> NOT exists({b}, y -> y.field = x.field))"
+    return f"transform({only}, x -> named_struct('field', x.field, 'kinds', x.kinds, 'm', x.m, 'i', size(filter({only}, y -> y.m = x.m AND y.field < x.field))))"
 
 
 def schema_changes(records: DataFrame) -> DataFrame:
@@ -192,76 +133,91 @@ def schema_changes(records: DataFrame) -> DataFrame:
 
     Each file is compared with the file before it in its feed by (written_at, file_id); a feed's first file has no
     rows. change is added, removed, renamed or retyped; field is the name in this file, for removed the old one. A field
-    whose values are all null has no kind and isn't retyped. A name is renamed if one that goes and one that comes mean
-    the same: by the words in them, and for names that say nothing by their values. promoted is the kind in
-    the lattice that holds both. Records that are no JSON objects give no fields; NULL feeds are one feed; repeated
+    whose values are all null has no kind and isn't retyped. Of names that go and names that come, those that mean
+    the same are renamed, in the order of the names if there are several. promoted is the kind in the lattice that holds
+    the values of both files. Records that are no JSON objects give no fields; NULL feeds are one feed; repeated
     records change nothing; other columns are ignored; an empty table gives no rows.
     """
-    files = with_previous(file_schemas(records), "feed_id", "written_at", "file_id", "schema", "before")
-    return files.mapInPandas(
-        _differences,
-        "feed_id long, file_id long, written_at timestamp, ord int, field string, change string, old_field string, "
-        "old_kind string, new_kind string, promoted string",
-    )
-
-
-def as_text(value: object) -> str | None:
-    """A value as the text of a report row: strings as they are, a list or code object of one by its content."""
-    value = _inner(value)
-    if value is None or isinstance(value, str):
-        return value
-    if isinstance(value, float) and value == value and abs(value) < 2**53 and value == int(value):
-        value = int(value)
-    return json.dumps(value, ensure_ascii=False)
-
-
-def _whole(value: object, text: str | None) -> bool:
-    """Whether as_text gave all of a value: no member beside the code, no null that was in a list or object."""
-    if isinstance(value, list) and len(value) == 1:
-        value = value[0]
-    if isinstance(value, dict) and "code" in value and len(value) > 1:
-        return False
-    return text is not None
-
-
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    keys = ["feed_id", "file_id", "rec_no"]
-    for pdf in batches:
-        rows = []
-        for feed, file, no, record in zip(*(pdf[c] for c in [*keys, "record"])):
-            fields, out, extra, status = parse(record), dict.fromkeys(FIELDS), {}, {}
-            for name, value in (fields or {}).items():
-                m, text = meaning(name), json.dumps(value, ensure_ascii=False)
-                if m in out and out[m] is None:
-                    keep = m == "result_message" and isinstance(value, dict)
-                    out[m] = text if keep else as_text(value)
-                    if not keep and value is not None and not _whole(value, out[m]):
-                        extra[name] = text
-                    elif m == "http_status_code" and value is not None:
-                        status = {name: text}
-                else:
-                    extra[name] = text
-            rows.append((feed, file, no, *out.values(), extra, status, None if fields is not None else "not a JSON object"))
-        yield pd.DataFrame(rows, columns=[*keys, *FIELDS, "extra", "status", "err"])
+    files = with_previous(file_schemas(records), "feed_id", "written_at", "file_id", "schema", "before").where(F.col("before").isNotNull())
+    at = files.select(*_KEYS, "written_at", "schema", "before", F.expr(_ranked("schema", "before")).alias("came"), F.expr(_ranked("before", "schema")).alias("gone"))
+    pair = "named_struct('a', get(filter({0}, y -> {1}), 0), 'b', x)"
+    renamed = f"transform(filter(came, x -> exists(gone, y -> y.m = x.m AND y.i = x.i)), x -> {pair.format('gone', 'y.m = x.m AND y.i = x.i')})"
+    same = f"transform(filter(schema, x -> exists(before, y -> y.field = x.field)), x -> {pair.format('before', 'y.field = x.field')})"
+    shape = "transform({0}, x -> named_struct('a', named_struct('field', x.a.field, 'kinds', x.a.kinds), 'b', named_struct('field', x.b.field, 'kinds', x.b.kinds)))"
+    at = at.withColumn("renamed", F.expr(renamed)).withColumn("same", F.expr(same))
+    at = at.withColumn("renamed", F.expr(shape.format("renamed"))).withColumn("same", F.expr(shape.format("same")))
+    rows = at.select(*_KEYS, "written_at", F.posexplode(F.expr(_CHANGES)).alias("ord", "c"))
+    return rows.select(
+        *_KEYS, "written_at", (F.col("ord") + 1).alias("ord"), "c.field", "c.change", "c.old_field",
+        F.expr(promote("c.old")).alias("old_kind"), F.expr(promote("c.new")).alias("new_kind"),
+        F.expr(promote("array_distinct(concat(c.old, c.new))")).alias("promoted"),
+    )
+
+
+def _folded(files: DataFrame) -> DataFrame:
+    rows = files.select(*_KEYS, F.explode("schema").alias("f")).select(*_KEYS, "f.*")
+    return rows.groupBy("m").agg(
+        F.min("field").alias("field"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("kinds"),
+        F.count_distinct(*_KEYS).alias("files"), F.count_distinct("field").alias("spellings"),
+    )
+
+
+def union_schema(records: DataFrame) -> DataFrame:
+    """(meaning, field, kind, files, spellings): the schema that all files of all feeds fold into.
+
+    One row for each meaning: its least spelling, the least kind of the lattice that holds its values everywhere (NULL if
+    they are all null), the number of files that have it and of its spellings.
+    """
+    return _folded(file_schemas(records)).select(F.col("m").alias("meaning"), "field", F.expr(promote("kinds")).alias("kind"), "files", "spellings")
 
 
 def unified_records(records: DataFrame) -> DataFrame:
-    """All records under the union schema: feed_id, file_id, rec_no, the FIELDS of a report row, extra, err.
-
-    Every spelling of a field lands in its column, cast to the column's type: codes in lists or objects are unwrapped,
-    http_status_code becomes a long (NULL where it is no integer), result_message keeps JSON objects as JSON text.
-    Fields of no column stand in `extra`, a JSON object of their JSON texts. So does the whole value of a field whose
-    column can't hold all of it: a code with further members, or a status that is no integer. A record that is no JSON
-    object keeps its row with err. Equal records of one (feed, file, rec_no) count once.
+    """All records in one table: feed_id, file_id, rec_no, the FIELDS of a report row, extra, err.
+
+    What a field means is told file by file, as in schema_changes, so names that say nothing land in the column their
+    values belong to. Every spelling of a field of a report row is cast to its column: codes in arrays of one or
+    in objects are unwrapped, http_status_code becomes a long, result_message keeps objects as JSON text; of several
+    fields of one meaning the first not null by name counts. All other fields stand in `extra`, a JSON object in the
+    order of the names, cast to the kind of the union schema: where files disagree beyond numbers, all values are strings.
+    So does, as it came, the value of a field whose column can't hold all of it: a code with further members, or
+    a status that is no integer. Nulls have no place in it. A record that is no JSON object keeps its row with err.
+    Equal records of one (feed, file, rec_no) count once; empty tables give no rows.
     """
-    texts = records.select("feed_id", "file_id", "rec_no", "record").mapInPandas(
-        _rows,
-        "feed_id long, file_id long, rec_no int, " + "".join(f"{f} string, " for f in FIELDS) + "extra map<string,string>, status map<string,string>, err string",
+    files = cut(file_schemas(records))
+    union = _folded(files).select("m", F.expr(promote("kinds")).alias("kind"))
+    fields = files.select(*_KEYS, F.explode("schema").alias("f")).select(*_KEYS, "f.field", "f.m")
+    typed = fields.join(sized(union, BROADCAST_FILES), "m", "left").groupBy(*_KEYS)
+    plan = typed.agg(
+        F.map_from_entries(F.collect_list(F.when((F.col("kind") == "string") & ~F.col("m").isin(*FIELDS), F.struct("field", F.lit(True))))).alias("texts"),
+        *(F.array_sort(F.collect_list(F.when(F.col("m") == f, F.col("field")))).alias(f"{f}_names") for f in FIELDS),
     )
-    typed = texts.withColumn("http_status_code", F.expr("try_cast(trim(http_status_code) as bigint)"))
-    uncast = F.col("http_status_code").isNull() & (F.size("status") > 0)
-    typed = typed.withColumn("extra", F.when(uncast, F.map_concat("extra", "status")).otherwise(F.col("extra"))).drop("status")
-    cols = [c for c in typed.columns if c != "extra"]
-    return (
-        typed.withColumn("extra", F.to_json("extra")).select(*cols, "extra").distinct()
+    plan = cut(plan.select(F.col("feed_id").alias("__feed"), F.col("file_id").alias("__file"), "texts", *(f"{f}_names" for f in FIELDS)))
+    once = with_members(records.select(*_KEYS, "rec_no", "record").distinct(), "record", "members")
+    same = F.col("feed_id").eqNullSafe(F.col("__feed")) & F.col("file_id").eqNullSafe(F.col("__file"))
+    rows = once.join(sized(plan, BROADCAST_FILES), same, "left").withColumn("members", F.expr("map_filter(members, (n, x) -> NOT is_variant_null(x))"))
+    chosen = "get(filter({0}_names, n -> map_contains_key(members, n)), 0)"
+    rows = rows.select(*_KEYS, "rec_no", "members", "texts", *(F.expr(chosen.format(f)).alias(f"{f}_name") for f in FIELDS))
+    values = {f: F.try_element_at("members", F.col(f"{f}_name")) for f in FIELDS}
+    rows = rows.select("*", *(x.alias(f"{f}_x") for f, x in values.items()))
+    cols: dict[str, Column] = {}
+    whole: dict[str, Column] = {}
+    for f in FIELDS:
+        x = F.col(f"{f}_x")
+        kind, one = kind_of(x), F.when(get(x, "$[1]").isNull(), get(x, "$[0]"))
+        inner = F.coalesce(one, x)
+        more = get(inner, "$.code").isNotNull() & (F.size(F.map_keys(get(inner, "$", "map<string,variant>"))) > 1)
+        text = text_of(_content(x))
+        keep = (kind == "object") if f == "result_message" else F.lit(False)
+        cols[f] = F.when(keep, F.to_json(x)).otherwise(text)
+        whole[f] = keep | (~F.coalesce(more, F.lit(False)) & text.isNotNull())
+    cols["http_status_code"] = F.trim(cols["http_status_code"]).try_cast("bigint")
+    whole["http_status_code"] &= cols["http_status_code"].isNotNull()
+    held = F.array_compact(F.array(*(F.when(whole[f], F.col(f"{f}_name")) for f in FIELDS)))
+    rows = rows.select(*_KEYS, "rec_no", "members", "texts", *(c.alias(f) for f, c in cols.items()), held.alias("held"))
+    extra = F.expr(
+        "transform_values(map_filter(members, (n, x) -> NOT array_contains(held, n)), (n, x) -> "
+        "IF(map_contains_key(texts, n) AND schema_of_variant(x) <> 'STRING', CAST(to_json(x) AS VARIANT), x))"
     )
+    err = F.when(F.col("members").isNull(), F.lit("not a JSON object"))
+    ordered = F.map_from_entries(F.array_sort(F.map_entries(extra), lambda a, b: F.when(a["key"] < b["key"], -1).otherwise(1)))
+    return rows.select(*_KEYS, "rec_no", *FIELDS, err.alias("err"), F.coalesce(F.to_json(ordered), F.lit("{}")).alias("extra"))

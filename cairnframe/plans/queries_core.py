@@ -15,6 +15,10 @@ def p1_rows(spark, d):
     return drift.unified_records(table(spark, d, "report_records"))
 
 
+def p1_schema(spark, d):
+    return drift.union_schema(table(spark, d, "report_records"))
+
+
 def p2_found(spark, d):
     return badrows.failed_lines(table(spark, d, "raw_report_lines"))
 
@@ -40,7 +44,7 @@ def p6_places(spark, d):
 
 
 QUERIES = {
-    f.__name__: f for f in (p1_found, p1_rows, p2_found, p2_rows, p4_found, p5_found, p6_found, p6_places)
+    f.__name__: f for f in (p1_found, p1_rows, p1_schema, p2_found, p2_rows, p4_found, p5_found, p6_found, p6_places)
 }
 
 _ENTRIES = "SELECT DISTINCT scan_id, rel_path, size, mtime_ns, COALESCE(LOWER(sha256), '') AS sha FROM entries"
@@ -65,7 +69,40 @@ _LINES = f"""r AS (SELECT DISTINCT report_id, line_no, regexp_replace(coalesce(r
           WHEN lower(f[4]) = 'succeeded' AND NOT (json_valid(f[7]) AND coalesce(json_type(TRY_CAST(f[7] AS JSON)), '') = 'OBJECT'
                AND NOT regexp_matches(bare, ',\\s*[}}\\]]|NaN|Inf')) THEN 'result_message' END AS reason FROM k)"""
 
+_VALUES = f"""d AS (SELECT DISTINCT feed_id, file_id, rec_no, record FROM report_records),
+    f AS (SELECT *, unnest(json_keys(record)) AS field FROM d WHERE json_valid(record) AND json_type(record) = 'OBJECT'),
+    x AS (SELECT *, json_extract(record, '$."' || field || '"') AS x, lower(regexp_replace(field, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS p FROM f),
+    v AS (SELECT feed_id, file_id, rec_no, record, field, x, {_MEANING} AS m, CASE json_type(x) WHEN 'VARCHAR' THEN 'string'
+          WHEN 'DOUBLE' THEN 'decimal number' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object'
+          WHEN 'NULL' THEN NULL ELSE 'integer' END AS kind FROM x),
+    u AS (SELECT m, min(field) AS field, count(DISTINCT (feed_id, file_id)) AS files, count(DISTINCT field) AS spellings,
+          CASE WHEN count(DISTINCT kind) < 2 THEN max(kind) WHEN count(DISTINCT kind) = 2 AND bool_and(kind IN ('integer', 'decimal number'))
+          THEN 'decimal number' ELSE 'string' END AS kind FROM v GROUP BY 1)"""
+_ROW_FIELDS = ("bucket", "object_key", "version_id", "task_status", "error_code", "http_status_code", "result_message")
+_LIST = ", ".join(f"'{x}'" for x in _ROW_FIELDS)
+
 SQL = {
+    "p1_schema": f"WITH {_VALUES} SELECT m AS meaning, field, kind, files, spellings FROM u",
+    "p1_rows": f"""
+        WITH {_VALUES},
+        c AS (SELECT *, CASE WHEN m IN ({_LIST}) THEN
+                  row_number() OVER (PARTITION BY feed_id, file_id, rec_no, record, m ORDER BY field) END AS nth,
+              CASE WHEN v.kind = 'array' AND json_array_length(x) = 1 THEN x->0 ELSE x END AS one
+              FROM v JOIN (SELECT m, kind AS union_kind FROM u) USING (m) WHERE kind IS NOT NULL),
+        i AS (SELECT *, CASE WHEN json_type(one) = 'OBJECT' AND json_exists(one, '$.code') THEN one->'code' ELSE one END AS inner_,
+              json_type(one) = 'OBJECT' AND json_exists(one, '$.code') AND len(json_keys(one)) > 1 AS more FROM c),
+        t AS (SELECT *, m = 'result_message' AND kind = 'object' AS keep, CASE WHEN m = 'result_message' AND kind = 'object' THEN x::VARCHAR
+              WHEN json_type(inner_) = 'VARCHAR' THEN inner_->>'$' WHEN json_type(inner_) <> 'NULL' THEN
+              CASE WHEN json_type(inner_) = 'DOUBLE' THEN regexp_replace(inner_::VARCHAR, '[.]0$', '') ELSE inner_::VARCHAR END END AS text FROM i),
+        h AS (SELECT *, nth = 1 AND (keep OR NOT more AND text IS NOT NULL AND (m <> 'http_status_code' OR TRY_CAST(trim(text) AS BIGINT) IS NOT NULL)) AS held FROM t),
+        e AS (SELECT feed_id, file_id, rec_no, record, {", ".join(f"max(text) FILTER (nth = 1 AND m = '{x}') AS {x}" for x in _ROW_FIELDS)},
+              string_agg('"' || field || '":' || CASE WHEN m NOT IN ({_LIST}) AND union_kind = 'string' AND kind <> 'string' THEN to_json(x::VARCHAR)::VARCHAR
+                         WHEN kind = 'object' THEN '{{' || list_aggregate(list_sort(list_transform(json_keys(x), lambda k: '"' || k || '":' || json_extract(x, '$."' || k || '"')::VARCHAR)), 'string_agg', ',') || '}}'
+                         WHEN kind = 'decimal number' THEN regexp_replace(x::VARCHAR, '[.]0$', '') ELSE x::VARCHAR END, ',' ORDER BY field) FILTER (NOT coalesce(held, false)) AS extra FROM h GROUP BY 1, 2, 3, 4)
+        SELECT feed_id, file_id, rec_no, {", ".join(x for x in _ROW_FIELDS if x != "http_status_code")},
+            TRY_CAST(trim(http_status_code) AS BIGINT) AS http_status_code, '{{' || coalesce(extra, '') || '}}' AS extra,
+            CASE WHEN NOT (json_valid(record) AND json_type(record) = 'OBJECT') THEN 'not a JSON object' END AS err
+        FROM d LEFT JOIN e USING (feed_id, file_id, rec_no, record)""",
     "p1_found": f"""
         WITH a AS (SELECT feed_id, file_id, written_at, record, unnest(json_keys(record)) AS field FROM report_records
                    WHERE json_valid(record) AND json_type(record) = 'OBJECT'),

@@ -199,7 +199,7 @@ def test_unified_table(spark):
     df = feed(spark, [{"Key": "k", "http": {"code": 404}, "ErrCode": ["A"], "Result": {"note": "x"}, "Parts": [1]}, "bad"], [{"Key": "k", "HTTPStatusCode": "200 ", "errcode": 1005, "Message": ["m"]}, {"HttpStatus": 500.0}])
     got = {(r["file_id"], r["rec_no"]): r for r in drift.unified_records(df.unionByName(df)).collect()}
     a, b = got[100, 1], got[99, 1]
-    assert (a["http_status_code"], a["error_code"], a["result_message"], a["extra"]) == (404, "A", '{"note": "x"}', '{"Parts":"[1]"}')
+    assert (a["http_status_code"], a["error_code"], a["result_message"], a["extra"]) == (404, "A", '{"note":"x"}', '{"Parts":[1]}')
     assert (b["http_status_code"], b["error_code"], b["result_message"]) == (200, "1005", "m") and got[99, 2]["http_status_code"] == 500
     assert got[100, 2]["err"] and len(got) == 4
 
@@ -211,7 +211,7 @@ def test_unified_table_drops_nothing(spark):
         [{"ErrorCode": code, "HTTPStatusCode": "503 Slow Down"}, {"ErrorCode": [code], "HTTPStatusCode": 404.5}, {"ErrorCode": {"code": "A"}, "http": {"code": "x", "n": 1}},
          {"Message": [{"code": "A", "note": "x"}], "http": {"code": "404", "n": 1}}, {"ErrorCode": None, "http": [None]}, {"ErrorCode": [], "http": 1e30, "status": "200"}, {"http": True, "Message": {"code": 1, "n": 2}}],
     )
-    got = {r["rec_no"]: (r["error_code"], r["http_status_code"], r["result_message"], {k: json.loads(v) for k, v in json.loads(r["extra"]).items()}) for r in drift.unified_records(df).collect()}
+    got = {r["rec_no"]: (r["error_code"], r["http_status_code"], r["result_message"], json.loads(r["extra"])) for r in drift.unified_records(df).collect()}
     assert got == {
         1: ("SlowLane", None, None, {"ErrorCode": code, "HTTPStatusCode": "503 Slow Down"}),
         2: ("SlowLane", None, None, {"ErrorCode": [code], "HTTPStatusCode": 404.5}),
@@ -219,13 +219,42 @@ def test_unified_table_drops_nothing(spark):
         4: (None, 404, "A", {"Message": [{"code": "A", "note": "x"}], "http": {"code": "404", "n": 1}}),
         5: (None, None, None, {"http": [None]}),
         6: ("[]", None, None, {"http": 1e30, "status": "200"}),
-        7: (None, None, '{"code": 1, "n": 2}', {"http": True}),
+        7: (None, None, '{"code":1,"n":2}', {"http": True}),
     }
 
 
-@pytest.mark.parametrize("a,b,want", [("integer", "decimal number", "decimal number"), ("boolean", "integer", "string"), (None, "array", "array"), ("object", "array", "string")])
-def test_lattice(a, b, want):
-    assert drift.promote(a, b) == drift.promote(b, a) == want
+@pytest.mark.parametrize(
+    "kinds,want",
+    [(["decimal number", "integer"], "decimal number"), (["boolean", "integer"], "string"), (["array"], "array"), (["array", "object"], "string"), ([], None)],
+)
+def test_lattice(spark, kinds, want):
+    df = spark.createDataFrame([(kinds,)], "kinds array<string>")
+    assert df.select(F.expr(drift.promote("kinds"))).first()[0] == want
+
+
+def test_files_are_cast_to_the_union_of_all(spark):
+    df = feed(spark, [{"Size": 1, "Tag": "a", "Flag": True}], [{"size": 2.5, "tag": 5, "Flag": None}], [{"Size": 3, "Tag": {"x": [1]}}])
+    schema = {r["meaning"]: (r["field"], r["kind"], r["files"], r["spellings"]) for r in drift.union_schema(df).collect()}
+    assert schema == {"size": ("Size", "decimal number", 3, 2), "tag": ("Tag", "string", 3, 2), "flag": ("Flag", "boolean", 2, 1)}
+    extra = {r["file_id"]: json.loads(r["extra"]) for r in drift.unified_records(df).collect()}
+    assert extra == {100: {"Size": 1, "Tag": "a", "Flag": True}, 99: {"size": 2.5, "tag": "5"}, 98: {"Size": 3, "Tag": '{"x":[1]}'}}
+
+
+def test_names_that_say_nothing_land_in_the_column_of_their_values(spark):
+    df = feed(spark, [{"ErrorCode": "KeyGone", "http": 404}, {"ErrorCode": "SlowLane", "http": 200}], [{"c7": "AclBlocked", "http": 404, "ms": 300}, {"c7": "KeyGone", "http": 500, "ms": 200}])
+    assert changes(df) == sorted([(99, "c7", "renamed"), (99, "ms", "added")])
+    got = sorted((r["file_id"], r["rec_no"], r["error_code"], r["http_status_code"], r["extra"]) for r in drift.unified_records(df).collect())
+    assert got == [(99, 1, "AclBlocked", 404, '{"ms":300}'), (99, 2, "KeyGone", 500, '{"ms":200}'), (100, 1, "KeyGone", 404, "{}"), (100, 2, "SlowLane", 200, "{}")]
+
+
+def test_records_that_are_hard_to_read(spark):
+    texts = ['{"a":1} x', '{"a":1},"b":2}', '{"a":1,"a":2}', '{"a":NaN}', "{'a':1}", '{"a":' + "[" * 5000 + "]" * 5000 + "}", '{"a":12345678901234567890}', ' {"a": 1} \n', "{}", '{"a\'b.c$[0]": 1}']
+    got = {r["rec_no"]: (r["err"], r["extra"]) for r in drift.unified_records(feed(spark, texts)).collect()}
+    bad = ("not a JSON object", "{}")
+    assert {i: x for i, x in got.items() if i != 6} == {
+        1: bad, 2: bad, 3: (None, '{"a":2}'), 4: bad, 5: bad, 7: (None, '{"a":12345678901234567890}'), 8: (None, '{"a":1}'), 9: (None, "{}"), 10: (None, '{"a\'b.c$[0]":1}'),
+    }
+    assert drift.unified_records(spark.createDataFrame([], REC)).count() == drift.union_schema(spark.createDataFrame([], REC)).count() == 0
 
 
 # ---- rows that fail to parse (p2)
