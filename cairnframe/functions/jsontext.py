@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 MEMBERS = "map<string,variant>"
 
 
-def _members(text: Column) -> Column:
+def members(text: Column) -> Column:
     """The members of one JSON object and nothing after it; NULL for anything else, also for a name that stands twice.
 
     The parser ignores what follows a value, so the text is read as a member of an object that ends with a member
@@ -47,9 +47,9 @@ def with_members(df: DataFrame, text: str, out: str) -> DataFrame:
 
     Only texts that the JVM's parser refuses go to Python, which tells objects with repeated names from broken ones.
     """
-    df = df.withColumn("__m", _members(F.col(text)))
+    df = df.withColumn("__m", members(F.col(text)))
     df = df.withColumn("__again", _last_names(F.when(F.col("__m").isNull(), F.col(text))))
-    return df.withColumn(out, F.coalesce("__m", _members(F.col("__again")))).drop("__m", "__again")
+    return df.withColumn(out, F.coalesce("__m", members(F.col("__again")))).drop("__m", "__again")
 
 
 def kind_of(x: Column) -> Column:

@@ -4,40 +4,45 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from cairnframe.functions.jsontext import members
 
 #: The columns of a checksum report.
 COLUMNS = ("Bucket", "Key", "VersionId", "TaskStatus", "ErrorCode", "HTTPStatusCode", "ResultMessage")
-_SCHEMA = ", ".join(f"f{i} string" for i in range(len(COLUMNS)))
-_QUOTED = re.compile(r'"([^"]*(?:""[^"]*)*)"')
-_PLAIN = re.compile(r"[^,]*")
-_BLANKS = re.compile(r"[ \t]*")
-
-
-def split_record(raw: str) -> list[str] | None:
-    """The fields of one record after RFC 4180 with blanks before a field dropped; None for broken quoting."""
-    fields, at, end = [], 0, len(raw)
-    while end and raw[end - 1] in "\r\n":  # the record's own line end
-        end -= 1
-    while True:
-        at = _BLANKS.match(raw, at, end).end()
-        if at < end and raw[at] == '"':
-            m = _QUOTED.match(raw, at, end)
-            if m is None or (m.end() < end and raw[m.end()] != ","):
-                return None
-            fields.append(m[1].replace('""', '"'))
-        else:
-            m = _PLAIN.match(raw, at, end)
-            if '"' in m[0]:
-                return None
-            fields.append(m[0])
-        if m.end() >= end:
-            return fields
-        at = m.end() + 1
+FIELDS = [f"f{i}" for i in range(len(COLUMNS))]
+_SCHEMA = ", ".join(f"{f} string" for f in FIELDS)
+#: A record's own end never ends a line for the reader, so that line breaks inside quotes stay as they are.
+_READER = {
+    "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken", "ignoreLeadingWhiteSpace": "true", "escape": '"', "emptyValue": "", "nullValue": "\u0000",
+    "maxCharsPerColumn": "-1", "lineSep": "\u0001", "multiLine": "true",
+}
+#: Columns that the reader may meet; records with more commas are counted by pattern.
+MOST_COLUMNS = 20_000
+
+# possessive, so that matching needs no stack however long a field is
+_FIELD = r'[ \t]*+("[^"]*+(?:""[^"]*+)*+"|[^",]*+)'
+_RECORD = rf"\A{_FIELD}(?:,{_FIELD})*+\z"
+
+
+def without_end(raw: Column) -> Column:
+    """A record without its own line end; NULL is an empty record."""
+    return F.regexp_replace(F.coalesce(raw, F.lit("")), r"[\r\n]+\z", "")
+
+
+def sound_quotes(record: Column) -> Column:
+    """Whether the quoting of a record follows RFC 4180, blanks before a field aside."""
+    return record.rlike(_RECORD)
+
+
+def split_record(record: Column) -> Column:
+    """The fields of a soundly quoted record, unquoted, without the blanks before them."""
+    fields = F.regexp_extract_all(F.concat(F.lit(","), record), F.lit("," + _FIELD), F.lit(1))
+    return F.transform(fields, lambda x: F.when(F.startswith(x, F.lit('"')), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x))
 
 
 def _refuse(name: str) -> None:
@@ -106,65 +111,49 @@ def _strict_deep(text: str) -> bool:
     return want == "comma" and not stack
 
 
-def judge(raw: str | None) -> tuple[str | None, list[str] | None]:
-    """(reason, fields): header, quoting, column_count, task_status, result_message, or None for a sound record."""
-    fields = split_record(raw or "")
-    if fields is None:
-        return "quoting", None
-    if len(fields) != len(COLUMNS):
-        return "column_count", None
-    if all(fields[i].lower() == COLUMNS[i].lower() for i in (0, 1, 6)):
-        return "header", fields
-    status = fields[3].lower()
-    if status not in ("succeeded", "failed"):
-        return "task_status", fields
-    if status == "succeeded" and not strict_object(fields[6]):
-        return "result_message", fields
-    return None, fields
-
-
-def _reclassify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for report, line, raw in zip(pdf["report_id"], pdf["line_no"], pdf["raw"]):
-            reason, fields = judge(raw)
-            rows.append((report, line, reason, *(fields or [None] * len(COLUMNS))))
-        yield pd.DataFrame(rows, columns=["report_id", "line_no", "reason", *(f"f{i}" for i in range(len(COLUMNS)))])
+@F.pandas_udf(BooleanType())
+def _strict(texts: pd.Series) -> pd.Series:
+    return texts.map(strict_object, na_action="ignore")
+
+
+def judged(lines: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, reason, f0 .. f6) of the records in column raw, row by row, as read_lines has it; for streams too."""
+    rows = lines.select(*keep, without_end(F.col("raw")).alias("r"))
+    commas = F.length("r") - F.length(F.replace("r", F.lit(","), F.lit("")))
+    # the reader takes any control character before a field for a blank
+    odd = F.col("r").rlike(r"(?:\A|,)[ \t]*+[\x00-\x08\x0a-\x1f]") | (commas > MOST_COLUMNS)
+    rows = rows.withColumns({"sound": sound_quotes(F.col("r")), "odd": odd})
+    read = F.from_csv(F.when(F.col("sound") & ~F.col("odd"), F.col("r")), _SCHEMA + ", broken string", _READER)
+    by_pattern = F.when(F.col("sound") & F.col("odd"), split_record(F.col("r")))
+    rows = rows.withColumns({"p": read, "q": by_pattern})
+    whole = F.when(F.col("odd"), F.size("q") == len(COLUMNS)).otherwise(F.col("p.broken").isNull() & (F.col("r") != ""))
+    whole = F.coalesce(F.col("sound") & whole, F.lit(False))
+    field = lambda i: F.coalesce(F.when(F.col("odd"), F.get("q", F.lit(i))).otherwise(F.col(f"p.f{i}")), F.lit(""))
+    rows = rows.select(*keep, "sound", whole.alias("whole"), *(F.when(whole, field(i)).alias(f) for i, f in enumerate(FIELDS)))
+    head = F.lit(True)
+    for i in (0, 1, 6):
+        head &= F.lower(FIELDS[i]) == COLUMNS[i].lower()
+    status = F.lower("f3")
+    rows = rows.withColumn("reason", F.when(~F.col("sound"), "quoting").when(~F.col("whole"), "column_count").when(head, "header").when(~status.isin("succeeded", "failed"), "task_status"))
+    doubt = F.col("reason").isNull() & (status == "succeeded") & members(F.col("f6")).isNull()
+    rows = rows.withColumn("doubt", doubt)
+    # what the JVM's parser refuses is looked at again: it also refuses repeated names and deep nesting
+    refused = ~_strict(F.when(F.col("doubt"), F.col("f6")))
+    return rows.select(*keep, F.when(F.col("doubt") & refused, "result_message").otherwise(F.col("reason")).alias("reason"), *FIELDS)
 
 
 def read_lines(lines: DataFrame) -> DataFrame:
     """(report_id, line_no, reason, f0 .. f6): every delivered record read, or the first reason why not.
 
-    Records are read permissively in the JVM under the explicit schema of seven strings, keeping corrupt text. What came
-    out clean, without any quote or brace, is judged there; all else (corrupt text, quotes) goes to the
-    reclassification: quoting by RFC 4180, then column count, then TaskStatus, then ResultMessage as strict JSON.
+    Records are read permissively in the JVM under the explicit schema of seven strings, keeping corrupt text, and
+    classified there in one pass: quoting by the pattern of RFC 4180, then column count (what the reader found corrupt),
+    then TaskStatus, then ResultMessage by a strict parser of JSON. Python sees only messages which that refuses.
     reason is NULL for sound rows and `header` for header records (first, second and last name, in any case).
     NULL or empty raw is a record of one empty field. Records repeated under one (report_id, line_no) count once;
-    differing ones each keep a row.
+    differing ones each keep a row. The fields of records with broken quoting or another number of columns are NULL.
     """
-    parsed = F.from_csv(
-        "raw",
-        _SCHEMA + ", broken string",
-        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken", "ignoreLeadingWhiteSpace": "true", "escape": '"', "emptyValue": "", "nullValue": "\u0000", "maxCharsPerColumn": "-1"},
-    )
-    once = lines.select("report_id", "line_no", "raw").distinct().withColumn("p", parsed)
-    clean = F.coalesce(F.col("p.broken").isNull() & ~F.col("raw").rlike(r'["{\t\r\n]') & (F.length("raw") > 0), F.lit(False))
-    clean &= F.size(F.split("raw", ",", -1)) == len(COLUMNS)
-    fields = [F.coalesce(F.col(f"p.f{i}"), F.lit("")).alias(f"f{i}") for i in range(len(COLUMNS))]
-    status = F.lower(F.coalesce(F.col("p.f3"), F.lit("")))
-    head = F.lit(True)
-    for i in (0, 1, 6):
-        head &= F.lower(F.coalesce(F.col(f"p.f{i}"), F.lit(""))) == COLUMNS[i].lower()
-    reason = (
-        F.when(head, F.lit("header"))
-        .when(~status.isin("succeeded", "failed"), F.lit("task_status"))
-        .when(status == "succeeded", F.lit("result_message"))
-    )
-    easy = once.where(clean).select("report_id", "line_no", reason.alias("reason"), *fields)
-    hard = once.where(~clean).select("report_id", "line_no", "raw").mapInPandas(
-        _reclassify, "report_id long, line_no int, reason string, " + _SCHEMA
-    )
-    return easy.unionByName(hard)
+    keep = ["report_id", "line_no"]
+    return judged(lines.select(*keep, "raw").distinct(), keep)
 
 
 def failed_lines(lines: DataFrame) -> DataFrame:

@@ -132,8 +132,8 @@ SQL = {
             CASE WHEN json_type(v, '$.checksum_hex') = 'VARCHAR' THEN nullif(lower(trim(v->>'$.checksum_hex')), '') END AS hex,
             CASE WHEN json_type(v, '$.checksum_base64') = 'VARCHAR' THEN nullif(trim(v->>'$.checksum_base64'), '') END AS b64,
             CASE WHEN json_type(v, '$.etag') = 'VARCHAR' THEN nullif(trim(v->>'$.etag'), '') END AS etag,
-            CASE WHEN json_type(v, '$.checksumAlgorithm') = 'VARCHAR' THEN nullif(trim(v->>'$.checksumAlgorithm'), '') END AS alg,
-            CASE WHEN json_type(v, '$.checksumType') = 'VARCHAR' THEN nullif(trim(v->>'$.checksumType'), '') END AS typ FROM w),
+            CASE WHEN json_type(v, '$.checksumAlgorithm') = 'VARCHAR' THEN nullif(upper(trim(v->>'$.checksumAlgorithm')), '') END AS alg,
+            CASE WHEN json_type(v, '$.checksumType') = 'VARCHAR' THEN nullif(upper(trim(v->>'$.checksumType')), '') END AS typ FROM w),
         y AS (SELECT *, CASE WHEN NOT ok THEN 'task did not succeed' WHEN coalesce(upper(alg), '') <> 'SHA256'
               THEN 'unsupported checksum algorithm' WHEN coalesce(upper(typ), '') <> 'FULL_OBJECT' THEN 'unsupported checksum type'
               WHEN NOT regexp_full_match(coalesce(hex, lower(hex(from_base64(b64))), ''), '[0-9a-f]{{64}}') THEN 'no SHA-256 checksum' END AS err

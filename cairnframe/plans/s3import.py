@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import gzip
 import json
 import os
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairnframe.functions.paths import base_name, extension, sparse_nfc
-from cairnframe.operators.badrows import COLUMNS, split_record
+from cairnframe.operators.badrows import judged, sound_quotes, split_record, without_end
 from cairnframe.sources.reports import report_rows
 
 
@@ -24,15 +20,9 @@ def load_json(path: str) -> dict:
 
 
 def find_file(name: str, roots: list[str]) -> str:
-    """The one file of that base name below the roots; FileNotFoundError for none, ValueError for several."""
+    """The one file of that base name below any of the roots; FileNotFoundError for none, ValueError for several."""
     base = os.path.basename(name.replace("\\", "/"))
-    found: set[str] = set()
-    for root in roots:
-        for folder, _, files in os.walk(root):
-            if base in files:
-                found.add(os.path.realpath(os.path.join(folder, base)))
-        if found:
-            break
+    found = {os.path.realpath(os.path.join(folder, base)) for root in roots for folder, _, files in os.walk(root) if base in files}
     if not found:
         raise FileNotFoundError(f"{base} isn't below {roots}")
     if len(found) > 1:
@@ -70,39 +60,39 @@ def inventory_manifest(path: str) -> InventoryManifest:
     return InventoryManifest(list(dict.fromkeys(find_file(k, roots) for k in keys)), columns)
 
 
-#: Records that a reader hands on at a time.
-CHUNK = 10_000
+def _records(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file_no, block, line, raw) of CSV files, .gz included; (block, line) is a record's order in its file.
 
-
-def _records(lines: Iterable[str]) -> Iterator[str]:
-    """Records of CSV lines; a line whose quotes are still open goes on in the next one. Empty records are passed over."""
-    held, quotes = [], 0
-    for line in lines:
-        held.append(line)
-        quotes += line.count('"')
-        if quotes % 2 == 0:
-            if record := "".join(held).rstrip("\r\n"):
-                yield record
-            held, quotes = [], 0
-    if held and (record := "".join(held).rstrip("\r\n")):
-        yield record
-
-
-def _lines(spark: SparkSession, files: list[str]) -> DataFrame:
-    """(file_no, line_no, raw) of CSV files, .gz in any case included; a task streams through whole files."""
-    listed = spark.createDataFrame(list(enumerate(files)), "file_no int, path string")
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for no, path in zip(pdf["file_no"], pdf["path"]):
-                opened = gzip.open if path.lower().endswith(".gz") else open
-                with opened(path, "rt", encoding="utf-8", newline="\n") as f:
-                    records, first = _records(f), 1
-                    while rows := list(islice(records, CHUNK)):
-                        yield pd.DataFrame({"file_no": no, "line_no": range(first, first + len(rows)), "raw": rows})
-                        first += len(rows)
-
-    return listed.repartition(max(1, len(files)), "file_no").mapInPandas(read, "file_no int, line_no long, raw string")
+    Files are read as lines by Spark's own reader, which splits large ones. Only files in which a line has an odd
+    number of quotes have records of several lines; those are stitched, file by file. Empty records are passed over.
+    """
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9+.-]+):/+", "$1:/")  # file:/x and file:///x are one
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    uris = []
+    for f in files:
+        p = path(f)
+        uris.append(p.getFileSystem(conf).makeQualified(p).toUri().toString())
+    numbers = F.broadcast(spark.createDataFrame([(u, i) for i, u in enumerate(uris)], "__uri string, file_no int")).withColumn("__uri", plain("__uri"))  # as many as the manifest names
+    lines = spark.read.option("lineSep", "\n").text(files)
+    lines = lines.select(plain("_metadata.file_path").alias("__uri"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("raw"))
+    lines = lines.join(numbers, "__uri").drop("__uri")
+    odd = (F.length("raw") - F.length(F.replace("raw", F.lit('"'), F.lit("")))) % 2
+    broken = [r["file_no"] for r in lines.where(odd == 1).select("file_no").distinct().collect()]  # numbers of files
+    records = lines
+    if broken:
+        at = Window.partitionBy("file_no").orderBy("block", "line")
+        inside = F.coalesce(F.sum(odd).over(at.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) % 2
+        own = lines.where(F.col("file_no").isin(broken)).withColumn("__start", 1 - inside)
+        own = own.withColumn("__record", F.sum("__start").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+        parts = own.groupBy("file_no", "__record").agg(F.array_sort(F.collect_list(F.struct("block", "line", "raw"))).alias("x"))
+        own = parts.select("file_no", F.col("x")[0]["block"].alias("block"), F.col("x")[0]["line"].alias("line"), F.array_join("x.raw", "\n").alias("raw"))
+        records = lines.where(~F.col("file_no").isin(broken)).unionByName(own.select(*lines.columns))
+    return records.where(without_end(F.col("raw")) != "")
+
+
+def _raise_unless(sound, message: str, record):
+    return F.when(sound, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(message + ": "), F.substring(record, 1, 200))).cast("boolean"))
 
 
 def read_report(spark: SparkSession, files: list[str]) -> DataFrame:
@@ -110,60 +100,39 @@ def read_report(spark: SparkSession, files: list[str]) -> DataFrame:
 
     A record that isn't seven soundly quoted columns raises; a status or message that is unsound only makes its row unusable.
     """
-    lines = _lines(spark, files)
-    n = len(COLUMNS)
-
-    def split(batches):
-        for pdf in batches:
-            rows = []
-            for file_no, line_no, raw in zip(pdf["file_no"], pdf["line_no"], pdf["raw"]):
-                f = split_record(raw)
-                if f is None or len(f) != n:
-                    raise ValueError(f"record {line_no} of file {file_no} isn't a row of {n} columns")
-                if not all(f[i].lower() == COLUMNS[i].lower() for i in (0, 1, 6)):
-                    rows.append((file_no, line_no, None, *f))
-            yield pd.DataFrame(rows, columns=["file_no", "line_no", "reason", *(f"f{i}" for i in range(n))])
-
-    ddl = "file_no int, line_no long, reason string, " + ", ".join(f"f{i} string" for i in range(n))
-    fields = lines.mapInPandas(split, ddl)
-    return number_rows(report_rows(fields, ["file_no", "line_no"]))
+    rows = judged(_records(spark, files), ["file_no", "block", "line", "raw"])
+    sound = F.coalesce(~F.col("reason").isin("quoting", "column_count"), F.lit(True))
+    rows = rows.where(_raise_unless(sound, "not a row of seven columns", F.col("raw"))).where(F.col("reason").isNull() | (F.col("reason") != "header"))
+    return number_rows(report_rows(rows.withColumn("reason", F.lit(None).cast("string")), ["file_no", "block", "line"]))
 
 
 def number_rows(rows: DataFrame) -> DataFrame:
-    """row_index over (file_no, line_no): numbered inside files, plus the rows of the files before."""
-    from pyspark.sql import Window
-
-    inside = F.row_number().over(Window.partitionBy("file_no").orderBy("line_no"))
-    sizes = rows.groupBy("file_no").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sizes.select("file_no", before.alias("__base"))
-    return rows.withColumn("__i", inside).join(base, "file_no").withColumn("row_index", (F.col("__i") + F.col("__base")).cast("int")).drop("__i", "__base", "file_no", "line_no")
+    """row_index over (file_no, block, line): numbered inside the blocks of files, plus the rows of the blocks before."""
+    inside = F.row_number().over(Window.partitionBy("file_no", "block").orderBy("line"))
+    sizes = rows.groupBy("file_no", "block").count()  # a row for each block of a file
+    before = F.coalesce(F.sum("count").over(Window.orderBy("file_no", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sizes.select("file_no", "block", before.alias("__base"))
+    joined = rows.withColumn("__i", inside).join(base, ["file_no", "block"])
+    return joined.withColumn("row_index", (F.col("__i") + F.col("__base")).cast("int")).drop("__i", "__base", "file_no", "block", "line")
 
 
 def read_inventory(spark: SparkSession, manifest: InventoryManifest) -> DataFrame:
-    """(bucket, key, version, size, mtime_ns, ord) of an object inventory; keys unescaped, an unsound escape raises."""
+    """(bucket, key, version, size, mtime_ns, ord) of an object inventory; keys unescaped.
+
+    Broken quoting, too few columns, a size that is no integer or an unsound escape raises.
+    """
     c = manifest.columns
     width = max(c[n] for n in ("bucket", "key", "size")) + 1
-
-    def split(batches):
-        for pdf in batches:
-            rows = []
-            for file_no, line_no, raw in zip(pdf["file_no"], pdf["line_no"], pdf["raw"]):
-                f = split_record(raw)
-                if f is None or len(f) < width:
-                    raise ValueError(f"inventory record {line_no} of file {file_no} has too few columns")
-                at = lambda n: f[c[n]] if n in c and c[n] < len(f) else None  # noqa: B023, E731
-                rows.append((file_no, line_no, at("bucket"), at("key"), at("versionid") or "", at("size"), at("lastmodifieddate")))
-            yield pd.DataFrame(rows, columns=["file_no", "line_no", "bucket", "key", "version", "size", "modified"])
-
-    rows = _lines(spark, manifest.files).mapInPandas(
-        split, "file_no int, line_no long, bucket string, key string, version string, size string, modified string"
-    )
-    whole = F.trim("size").rlike("^[0-9]{1,18}$")
-    key = F.coalesce(F.try_url_decode("key"), F.raise_error(F.concat(F.lit("bad key escape: "), "key")).cast("string"))
+    rows = _records(spark, manifest.files).withColumn("r", without_end(F.col("raw")))
+    rows = rows.withColumn("f", F.when(sound_quotes(F.col("r")), split_record(F.col("r"))))
+    rows = rows.where(_raise_unless(F.coalesce(F.size("f") >= width, F.lit(False)), "not an inventory record", F.col("r")))
+    at = lambda n: F.get("f", F.lit(c[n])) if n in c else F.lit(None).cast("string")
+    size = F.trim(at("size")).try_cast("bigint")
+    size = F.coalesce(size, F.raise_error(F.concat(F.lit("inventory size isn't a number: "), at("size"))).cast("long"))
+    key = F.coalesce(F.try_url_decode(at("key")), F.raise_error(F.concat(F.lit("bad key escape: "), at("key"))).cast("string"))
     return rows.select(
-        "bucket", key.alias("key"), "version", F.when(whole, F.trim("size").cast("long")).otherwise(0).alias("size"),
-        timestamp_ns(F.col("modified")).alias("mtime_ns"), F.struct("file_no", "line_no").alias("ord"),
+        at("bucket").alias("bucket"), key.alias("key"), F.coalesce(at("versionid"), F.lit("")).alias("version"), size.alias("size"),
+        timestamp_ns(at("lastmodifieddate")).alias("mtime_ns"), F.struct("file_no", "block", "line").alias("ord"),
     )
 
 
@@ -206,18 +175,37 @@ def with_metadata(rows: DataFrame, lookup: DataFrame) -> DataFrame:
     return joined.select(*rows.columns, hit["size"].alias("size"), hit["mtime_ns"].alias("mtime_ns"), hit.isNotNull().alias("sized"))
 
 
-def counters(rows: DataFrame) -> DataFrame:
-    """(import_id, buckets, rows_total, rows_succeeded, rows_usable, rows_failed) of loaded report rows, each once, in one pass."""
-    done = F.coalesce(F.lower("task_status"), F.lit("")) == "succeeded"
+def with_markers(rows: DataFrame) -> DataFrame:
+    """rows (of with_metadata) with marker: a usable row that only stands for a folder, as its key ends in a slash and
+    its size is 0 or unknown. It was sized, if it was, but isn't usable any more; only usable rows count as sized."""
+    marker = (F.col("usable") == 1) & F.endswith("object_key", F.lit("/")) & (F.coalesce("size", F.lit(0)) == 0)
     return (
-        rows.distinct()
-        .groupBy("import_id")
-        .agg(
-            F.count(F.lit(1)).alias("rows_total"), F.count_if(done).alias("rows_succeeded"),
-            F.count_if(F.col("usable") == 1).alias("rows_usable"), F.count_if(~done).alias("rows_failed"),
-            F.count_distinct("bucket").alias("buckets"),
-        )
-    )
+        rows.withColumn("marker", marker)
+        .withColumn("sized", F.col("sized") & (F.col("usable") == 1))
+        .withColumn("err", F.when(F.col("marker"), "marks a folder").otherwise(F.col("err")))
+        .withColumn("usable", F.when(F.col("marker"), 0).otherwise(F.col("usable")))
+    )
+
+
+def _counts() -> list:
+    done = F.coalesce(F.lower("task_status"), F.lit("")) == "succeeded"
+    return [
+        F.count(F.lit(1)).alias("rows_total"), F.count_if(done).alias("rows_succeeded"), F.count_if(F.col("usable") == 1).alias("rows_usable"),
+        F.count_if(~done).alias("rows_failed"), F.count_if(done & (F.col("usable") == 0) & ~F.col("marker")).alias("rows_unsupported"),
+        F.count_if("sized").alias("rows_with_size"), F.count_if("marker").alias("rows_folder_markers"),
+    ]
+
+
+def counters(rows: DataFrame) -> DataFrame:
+    """(import_id, buckets, rows_total, rows_succeeded, rows_usable, rows_failed, rows_unsupported, rows_with_size,
+    rows_folder_markers) of rows of with_markers, in one pass; repeated rows have to be taken out before."""
+    return rows.groupBy("import_id").agg(*_counts(), F.count_distinct("bucket").alias("buckets"))
+
+
+def bucket_summaries(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, bucket, root, entries) of rows of with_markers: every bucket seen, also without entries, in the order of root."""
+    g = rows.groupBy(*keys, "bucket").agg(F.count_if(F.col("usable") == 1).alias("entries"))
+    return g.select(*keys, "bucket", F.concat(F.lit("s3://"), "bucket").alias("root"), "entries").orderBy(*keys, "root")
 
 
 def duplicate_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -259,19 +247,8 @@ def import_report(spark: SparkSession, manifest: str, inventory: str | None = No
     else:
         rows = rows.withColumns({"size": F.lit(0).cast("long"), "mtime_ns": F.lit(0).cast("long"), "sized": F.lit(False)})
     size = F.coalesce("size", F.lit(0))
-    marker = (F.col("usable") == 1) & F.endswith("object_key", F.lit("/")) & (size == 0)
-    rows = cut(
-        rows.withColumn("marker", marker)
-        .withColumn("sized", F.col("sized") & (F.col("usable") == 1))
-        .withColumn("usable", F.when(marker, 0).otherwise(F.col("usable")))
-        .withColumn("err", F.when(marker, "folder marker skipped").otherwise(F.col("err")))
-    )
-    done = F.lower("task_status") == "succeeded"
-    s = rows.agg(
-        F.count(F.lit(1)).alias("rows_total"), F.count_if(done).alias("rows_succeeded"), F.count_if(~done).alias("rows_failed"),
-        F.count_if(F.col("usable") == 1).alias("rows_usable"), F.count_if(done & (F.col("usable") == 0) & ~F.col("marker")).alias("rows_unsupported"),
-        F.count_if("sized").alias("rows_with_size"), F.count_if("marker").alias("rows_folder_markers"),
-    ).first().asDict()
+    rows = cut(with_markers(rows))
+    s = rows.agg(*_counts()).first().asDict()
     buckets = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())
     if not all(b and b.strip() for b in buckets):
         raise ValueError("a report row has no bucket")

@@ -6,6 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Names of the members of a result message, the first one found counts.
+MEMBERS = {
+    "etag": ("etag", "ETag"),
+    "base64": ("checksum_base64", "checksumBase64", "ChecksumBase64"),
+    "hex": ("checksum_hex", "checksumHex", "ChecksumHex"),
+    "algorithm": ("checksumAlgorithm", "checksum_algorithm", "ChecksumAlgorithm"),
+    "type": ("checksumType", "checksum_type", "ChecksumType"),
+}
+
+
 def text_or_null(c: Column) -> Column:
     """Trimmed text; blank or `null` in any case is NULL."""
     t = F.trim(c)
@@ -32,8 +42,8 @@ def base64_hex(c: Column) -> Column:
 
 
 def whole_number(c: Column) -> Column:
-    """A field that is an integer; blanks around it are dropped."""
-    return F.when(F.trim(c).rlike(r"^[+-]?[0-9]{1,18}$"), F.trim(c).cast("bigint"))
+    """A field that is a 64-bit integer; blanks around it are dropped."""
+    return F.trim(c).try_cast("bigint")
 
 
 def report_rows(fields: DataFrame, keep: list[str]) -> DataFrame:
@@ -56,17 +66,17 @@ def report_rows(fields: DataFrame, keep: list[str]) -> DataFrame:
         text_or_null(F.when(swapped, c(5)).otherwise(c(4))).alias("error_code"),
         F.when(swapped, whole_number(c(4))).otherwise(whole_number(c(5))).alias("http_status_code"),
         text_or_null(c(6)).alias("result_message"),
-        json_text(F.col("v"), "etag", "ETag").alias("etag"),
-        json_text(F.col("v"), "checksum_base64", "checksumBase64", "ChecksumBase64").alias("checksum_base64"),
-        F.lower(json_text(F.col("v"), "checksum_hex", "checksumHex", "ChecksumHex")).alias("hex"),
-        json_text(F.col("v"), "checksumAlgorithm", "checksum_algorithm", "ChecksumAlgorithm").alias("checksum_algorithm"),
-        json_text(F.col("v"), "checksumType", "checksum_type", "ChecksumType").alias("checksum_type"),
+        json_text(F.col("v"), *MEMBERS["etag"]).alias("etag"),
+        json_text(F.col("v"), *MEMBERS["base64"]).alias("checksum_base64"),
+        F.lower(json_text(F.col("v"), *MEMBERS["hex"])).alias("hex"),
+        F.upper(json_text(F.col("v"), *MEMBERS["algorithm"])).alias("checksum_algorithm"),
+        F.upper(json_text(F.col("v"), *MEMBERS["type"])).alias("checksum_type"),
     )
     rows = rows.withColumn("checksum_hex", F.coalesce("hex", base64_hex(F.col("checksum_base64")))).drop("hex")
     err = (
         F.when(F.lower("task_status") != "succeeded", F.lit("task did not succeed"))
-        .when(F.coalesce(F.upper("checksum_algorithm"), F.lit("")) != "SHA256", F.lit("unsupported checksum algorithm"))
-        .when(F.coalesce(F.upper("checksum_type"), F.lit("")) != "FULL_OBJECT", F.lit("unsupported checksum type"))
+        .when(F.coalesce("checksum_algorithm", F.lit("")) != "SHA256", F.lit("unsupported checksum algorithm"))
+        .when(F.coalesce("checksum_type", F.lit("")) != "FULL_OBJECT", F.lit("unsupported checksum type"))
         .when(~F.coalesce(F.col("checksum_hex").rlike("^[0-9a-f]{64}$"), F.lit(False)), F.lit("no SHA-256 checksum"))
     )
     return rows.withColumn("err", err).withColumn("usable", F.col("err").isNull().cast("int"))

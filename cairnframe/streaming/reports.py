@@ -5,11 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairnframe.operators.badrows import COLUMNS, _reclassify
+from cairnframe.operators.badrows import judged
 from cairnframe.sources.reports import report_rows
 
-_FIELDS = ", ".join(f"f{i} string" for i in range(len(COLUMNS)))
-
 
 def line_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Arriving Parquet files of (report_id, line_no, loaded_at, raw)."""
@@ -19,9 +17,7 @@ def line_stream(spark: SparkSession, folder: str) -> DataFrame:
 def judged_lines(lines: DataFrame, late: str = "7 days") -> DataFrame:
     """(report_id, line_no, reason, f0 .. f6) of a stream; a record delivered again within `late` counts once."""
     once = lines.withWatermark("loaded_at", late).dropDuplicatesWithinWatermark(["report_id", "line_no", "raw"])
-    return once.select("report_id", "line_no", "raw").mapInPandas(
-        _reclassify, "report_id long, line_no int, reason string, " + _FIELDS
-    )
+    return judged(once, ["report_id", "line_no"])
 
 
 def sound_rows(judged: DataFrame) -> DataFrame:

@@ -292,6 +292,21 @@ def test_fields_are_those_of_a_csv_reader(spark):
             assert [r[f"f{i}"] for i in range(7)] == want
 
 
+def test_records_that_only_look_odd(spark):
+    long = '"' + 'a""' * 300_000 + '",k,,failed,E,404,t'
+    cases = [
+        ('b,k,,succeeded,200,,"{""a"":1,""a"":2}"', None, None), ('b,k,,succeeded,200,,"{""a"":1} x"', "result_message", None),
+        ('b,k,,succeeded,200,,"{""a"":1},""b"":0}"', "result_message", None), ("," * 30_000, "column_count", None), ('"' + "," * 30_000 + '",k,,failed,E,404,t', None, "," * 30_000),
+        (long, None, 'a"' * 300_000), ("\x0bb,k,,failed,E,404,t", None, "\x0bb"), ('"a\nb\r\nc",k,,failed,E,404,t\r\n', None, "a\nb\r\nc"), ("\nb,k,,failed,E,404,t", None, "\nb"),
+        ('b,k,,succeeded,200,,' + '"' + '{""a"":' + "[" * 3000 + "]" * 3000 + '}"', None, "b"), (long[:-19], "quoting", None), ('b,k,,succeeded,200,,"{""a"":NaN}"', "result_message", None),
+    ]
+    df = spark.createDataFrame([(1, i, None, raw) for i, (raw, _, _) in enumerate(cases)], RAW)
+    for r in badrows.read_lines(df).collect():
+        _, reason, first = cases[r["line_no"]]
+        assert r["reason"] == reason, r["line_no"]
+        assert first is None or r["f0"] == first
+
+
 def test_strict_json_scan_agrees_with_the_parser():
     rng = random.Random(3)
     parts = ["{", "}", "[", "]", ",", ":", '"a"', '"\\u00e9"', '"\\x"', "1", "-0.5e3", "01", "true", "nul", "null", " ", "\n"]

@@ -81,8 +81,50 @@ def test_inventory_lookup_and_times(spark, rows, tmp_path):
         inventory_manifest(str(tmp_path / "i.json"))
 
 
-def test_records_of_lines():
-    from cairnframe.plans.s3import import _records
-
-    text = 'a,"x\ny",b\r\n\nc,d\n"open\nto the end'
-    assert list(_records(text.splitlines(keepends=True))) == ['a,"x\ny",b', "c,d", '"open\nto the end']
+def test_records_of_lines(spark, tmp_path):
+    import gzip
+
+    from cairnframe.plans.s3import import _records, number_rows
+
+    (tmp_path / "a b.csv").write_bytes(b'a,"x\ny",b\r\n\nc,d\n"open\nto the end')
+    (tmp_path / "ä.csv").write_bytes(b'1,2\n3,"4"\n')
+    with gzip.open(tmp_path / "z.csv.gz", "wb") as f:
+        f.write(b"5\n6\n")
+    files = [str(tmp_path / n) for n in ("ä.csv", "z.csv.gz", "a b.csv")]
+    got = [r["raw"] for r in number_rows(_records(spark, files)).orderBy("row_index").collect()]
+    assert got == ["1,2", '3,"4"', "5", "6", 'a,"x\ny",b\r', "c,d", '"open\nto the end']
+
+
+def test_a_report_of_many_blocks_keeps_its_order(spark, tmp_path):
+    from cairnframe.plans.s3import import _records, number_rows
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        for n in (0, 1):
+            (tmp_path / f"{n}.csv").write_text("".join(f"{n},{i}\n" for i in range(5000)))
+        records = _records(spark, [str(tmp_path / f"{n}.csv") for n in (1, 0)])
+        assert records.select("file_no", "block").distinct().count() > 4
+        rows = number_rows(records)
+        assert [r["raw"] for r in rows.orderBy("row_index").collect()] == [f"{n},{i}" for n in (1, 0) for i in range(5000)]
+        assert {r["row_index"] for r in rows.collect()} == set(range(1, 10_001))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_inventory_and_files_that_are_unsound(spark, tmp_path):
+    from cairnframe.plans.s3import import find_file, read_inventory
+
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "i.json").write_text('{"fileFormat": "csv", "fileSchema": "Bucket, Key, Size", "files": [{"key": "x/i.csv"}]}')
+    for text in ("b,k,\n", "b,k,1.5\n", "b,k\n", 'b,"k"x,1\n', "b,%zz,1\n"):
+        (tmp_path / "m" / "i.csv").write_text("b,ok,9223372036854775807\n" + text)
+        with pytest.raises(Exception):  # noqa: B017
+            read_inventory(spark, inventory_manifest(str(tmp_path / "m" / "i.json"))).collect()
+    (tmp_path / "m" / "i.csv").write_text("b,ok%20x, 9223372036854775807\n")
+    (r,) = read_inventory(spark, inventory_manifest(str(tmp_path / "m" / "i.json"))).collect()
+    assert (r["key"], r["size"]) == ("ok x", 2**63 - 1)
+    (tmp_path / "i.csv").write_text("b,ok,1\n")
+    with pytest.raises(ValueError, match="ambiguous"):
+        inventory_manifest(str(tmp_path / "m" / "i.json"))
+    with pytest.raises(FileNotFoundError):
+        find_file("none.csv", [str(tmp_path)])
