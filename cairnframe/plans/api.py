@@ -67,7 +67,7 @@ class Browser:
         raise LookupError(f"no scan for {machine_id}:{root}")
 
     def entries(self, machine_id: str, root: str) -> DataFrame:
-        return self.store.entries(self.scan_id(machine_id, root))
+        return self.store.entries(self.scan_id(machine_id, root), self.manifest)
 
     def roots(self) -> list[dict]:
         """Roots whose scan exists, by hostname and root."""
@@ -90,7 +90,7 @@ class Browser:
     def summary(self, machine_id: str, root: str) -> dict:
         """Scan id, number of files and their number by state."""
         scan = self.scan_id(machine_id, root)
-        states = {r["state"]: r["files"] for r in browse.scan_summary(self.store.entries(scan)).collect()}
+        states = {r["state"]: r["files"] for r in browse.scan_summary(self.store.entries(scan, self.manifest)).collect()}
         return {"scan_id": scan, "files": sum(states.values()), "states": dict(sorted(states.items()))}
 
     def compare(

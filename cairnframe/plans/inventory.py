@@ -54,6 +54,7 @@ def inventory(
     walked = read_tree(store.spark, root, exclude, skip=[store.path])
     machine, host = identity or local_identity(store.path)
     with store.guard(), store.root_lock(machine, root):
+        store.adopt_orphans(machine, root)  # whose owner is gone, as the root is free
         m = store.manifest()
         scans = {s["scan_id"]: s for s in m["scans"] if s["machine_id"] == machine}
         current = {r["root"]: r["current_scan_id"] for r in m["roots"] if r["machine_id"] == machine}
@@ -61,13 +62,13 @@ def inventory(
         cols = ["rel_path", "size", "mtime_ns", "fingerprint", "sha256"]
         exact = store.spark.createDataFrame([], "rel_path string, size long, mtime_ns long, fingerprint string, sha256 string")
         if root in current:
-            exact = exact.unionByName(exact_candidates(store.entries(current[root]), trusted_only).select(*cols))
+            exact = exact.unionByName(exact_candidates(store.entries(current[root], m), trusted_only).select(*cols))
         if failed is not None:
-            exact = exact.unionByName(exact_candidates(store.entries(failed), True).select(*cols))
+            exact = exact.unionByName(exact_candidates(store.entries(failed, m), True).select(*cols))
         overlap = None
         for r, i in current.items():
             if r != root and overlapping(r, root):
-                rows = overlap_candidates(root, store.entries(i).withColumn("root", F.lit(r))).select(*cols)
+                rows = overlap_candidates(root, store.entries(i, m).withColumn("root", F.lit(r))).select(*cols)
                 overlap = rows if overlap is None else overlap.unionByName(rows)
         kind, case = volume_facts(root)
         facts = {"goos": platform.system().lower(), "goarch": platform.machine(), "fs_type": kind, "case_sensitive": case}

@@ -26,16 +26,24 @@ from pyspark.sql import functions as F
 from cairnframe.functions.exec import ship_package, sized
 from cairnframe.schemas import ENTRIES, S3_IMPORTS, S3_REPORT_ROWS, SCANS, TABLES, upgrade
 
-EMPTY = {"version": 0, "next_scan_id": 1, "next_import_id": 1, "metadata": {}, "roots": [], "scans": [], "s3_imports": []}
+EMPTY = {"retired": [], "version": 0, "next_scan_id": 1, "next_import_id": 1, "metadata": {}, "roots": [], "scans": [], "s3_imports": []}
 
 
 class Overlap(RuntimeError):
     """Another scan of the same machine works on an overlapping root."""
 
 
+class SnapshotGone(LookupError):
+    """The scan was replaced and its files were removed; open the store anew."""
+
+
+#: Seconds that the files of a replaced scan stay for readers of an older manifest.
+RETAIN_SECONDS = 24 * 3600
+
+
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, os.path.abspath(path)
+    def __init__(self, spark: SparkSession, path: str, retain_seconds: float = RETAIN_SECONDS):
+        self.spark, self.path, self.retain_seconds = spark, os.path.abspath(path), retain_seconds
         ship_package(spark)
         os.makedirs(os.path.join(self.path, "locks"), exist_ok=True)
 
@@ -43,7 +51,7 @@ class Store:
     def manifest(self) -> dict:
         try:
             with open(os.path.join(self.path, "manifest.json"), encoding="utf-8") as f:
-                return json.load(f)
+                return json.loads(json.dumps(EMPTY)) | json.load(f)
         except FileNotFoundError:
             return json.loads(json.dumps(EMPTY))
 
@@ -66,29 +74,43 @@ class Store:
         """A table of the manifest's newest version."""
         m = self.manifest()
         if name == "entries":
-            return self._parquet("entries", "scan_id", [s["scan_id"] for s in m["scans"]], ENTRIES)
+            return self._parquet("entries", "scan_id", m["scans"], ENTRIES)
         if name == "s3_report_rows":
-            return self._parquet("s3_report_rows", "import_id", [i["import_id"] for i in m["s3_imports"]], S3_REPORT_ROWS)
+            return self._parquet("s3_report_rows", "import_id", m["s3_imports"], S3_REPORT_ROWS)
         if name == "metadata":
             return self.spark.createDataFrame(list(m["metadata"].items()), TABLES["metadata"])
         schema = TABLES[name]
         return self.spark.createDataFrame([tuple(r.get(f.name) for f in schema.fields) for r in m[name]], schema)
 
-    def entries(self, scan_id: int) -> DataFrame:
-        """One scan: the id is a literal of the path, so no other partition is listed."""
-        return self._parquet("entries", "scan_id", [scan_id], ENTRIES)
+    def entries(self, scan_id: int, manifest: dict | None = None) -> DataFrame:
+        """One scan of a manifest (the newest one): the id is a literal of the path, so no other partition is listed.
 
-    def _parquet(self, name: str, key: str, ids: list[int], schema) -> DataFrame:
-        base = os.path.join(self.path, name)
-        paths = [p for i in ids if os.path.isdir(p := os.path.join(base, f"{key}={i}"))]
+        SnapshotGone if the manifest doesn't know the scan, or names files of it that aren't there any more.
+        """
+        found = [s for s in (manifest or self.manifest())["scans"] if s["scan_id"] == scan_id]
+        if not found:
+            raise SnapshotGone(f"scan {scan_id} isn't in the manifest")
+        return self._parquet("entries", "scan_id", found, ENTRIES)
+
+    def _folder(self, name: str, key: str, number: int) -> str:
+        return os.path.join(self.path, name, f"{key}={number}")
+
+    def _parquet(self, name: str, key: str, owners: list[dict], schema) -> DataFrame:
+        """Rows of the owners (scans or imports); those without `stored` may have no files."""
+        paths = []
+        for o in owners:
+            path = self._folder(name, key, o[key])
+            if os.path.isdir(path):
+                paths.append(path)
+            elif o.get("stored"):
+                raise SnapshotGone(f"the files of {key} {o[key]} were removed")
         if not paths:
             return self.spark.createDataFrame([], schema)
-        read = self.spark.read.schema(schema).option("basePath", base).parquet(*paths)
+        read = self.spark.read.schema(schema).option("basePath", os.path.join(self.path, name)).parquet(*paths)
         return read.select(*schema.names)
 
     def _write(self, name: str, key: str, number: int, rows: DataFrame, sort: str) -> None:
-        final = os.path.join(self.path, name, f"{key}={number}")
-        rows.drop(key).sortWithinPartitions(sort).write.mode("overwrite").parquet(final)
+        rows.drop(key).sortWithinPartitions(sort).write.mode("overwrite").parquet(self._folder(name, key, number))
 
     # ---- life of a scan
     def create_scan(self, machine_id: str, hostname: str, root: str, **facts) -> int:
@@ -105,50 +127,62 @@ class Store:
         self._write("entries", "scan_id", scan_id, upgrade(rows.withColumn("scan_id", F.lit(scan_id)), "entries"), "rel_path")
 
     def publish(self, scan_id: int) -> None:
-        """The scan becomes its root's authority and the root's other scans go; their files are removed after the commit."""
+        """The scan becomes its root's authority and the root's other scans go; their files stay for a while."""
 
-        def change(m: dict) -> list[int]:
+        def change(m: dict) -> None:
             s = next(s for s in m["scans"] if s["scan_id"] == scan_id)
             m["scans"].remove(s)
-            return self._replace(m, [s | {"status": "complete", "finished_at": time.time_ns()}])
+            self._replace(m, [s | {"status": "complete", "finished_at": time.time_ns()}])
 
-        self.vacuum("entries", "scan_id", self.commit(change))
+        self.commit(change)
+        self.vacuum()
 
     def fail(self, scan_id: int) -> None:
         """Keep what was staged; it may be reused."""
+        self._end(lambda s: s["scan_id"] == scan_id)
 
-        def change(m: dict) -> None:
-            for s in m["scans"]:
-                if s["scan_id"] == scan_id and s["status"] == "running":
-                    s |= {"status": "failed", "finished_at": time.time_ns()}
-
-        self.commit(change)
+    def adopt_orphans(self, machine_id: str, root: str) -> int:
+        """The running scans of a root that nobody works on any more become failed; the caller has to hold its root_lock.
 
-    def adopt_orphans(self) -> int:
-        """running scans that nobody works on any more become failed; a finished_at that is there stays."""
+        A finished_at that is there stays. Their number.
+        """
+        return self._end(lambda s: s["machine_id"] == machine_id and s["root"] == root)
 
+    def _end(self, which: Callable[[dict], bool]) -> int:
         def change(m: dict) -> int:
-            found = [s for s in m["scans"] if s["status"] == "running"]
+            found = [s for s in m["scans"] if s["status"] == "running" and which(s)]
             for s in found:
-                s |= {"status": "failed", "finished_at": s["finished_at"] or time.time_ns()}
+                s |= {"status": "failed", "finished_at": s["finished_at"] or time.time_ns(), "stored": self._stored(s)}
             return len(found)
 
         return self.commit(change)
 
-    def vacuum(self, name: str, key: str, ids: list[int]) -> None:
-        for i in ids:
-            shutil.rmtree(os.path.join(self.path, name, f"{key}={i}"), ignore_errors=True)
+    def _stored(self, scan: dict) -> bool:
+        return os.path.isdir(self._folder("entries", "scan_id", scan["scan_id"]))
+
+    def vacuum(self, retain_seconds: float | None = None) -> None:
+        """Remove the files of scans that were replaced at least so many seconds ago (the store's retain_seconds)."""
+        before = time.time() - (self.retain_seconds if retain_seconds is None else retain_seconds)
+        old = [r for r in self.manifest()["retired"] if r["at"] <= before]
+        for r in old:
+            shutil.rmtree(self._folder("entries", "scan_id", r["scan_id"]), ignore_errors=True)
+        if old:
+            self.commit(lambda m: m.update(retired=[r for r in m["retired"] if r not in old]))
+
+    @staticmethod
+    def _retire(m: dict, scans: list[dict]) -> None:
+        m["retired"] += [{"scan_id": s["scan_id"], "at": time.time()} for s in scans]
 
     def delete_machines(self, machines: list[str]) -> None:
         ids = {x for x in machines if x}
 
-        def change(m: dict) -> list[int]:
-            gone = [s["scan_id"] for s in m["scans"] if s["machine_id"] in ids]
+        def change(m: dict) -> None:
+            self._retire(m, [s for s in m["scans"] if s["machine_id"] in ids])
             m["scans"] = [s for s in m["scans"] if s["machine_id"] not in ids]
             m["roots"] = [r for r in m["roots"] if r["machine_id"] not in ids]
-            return gone
 
-        self.vacuum("entries", "scan_id", self.commit(change))
+        self.commit(change)
+        self.vacuum()
 
     def set_metadata(self, **values: str) -> None:
         self.commit(lambda m: m["metadata"].update(values))
@@ -175,24 +209,21 @@ class Store:
         first = self.commit(lambda m: m.update(next_scan_id=m["next_scan_id"] + len(taken)) or m["next_scan_id"] - len(taken))
         new = {s["scan_id"]: first + i for i, s in enumerate(taken)}
         ids = self.spark.createDataFrame(list(new.items()), "old long, scan_id long")
-        rows = other._parquet("entries", "scan_id", list(new), ENTRIES).withColumnRenamed("scan_id", "old")
+        rows = other._parquet("entries", "scan_id", taken, ENTRIES).withColumnRenamed("scan_id", "old")
         self._write_scans(backfill(rows), ids, "old")
 
-        def change(m: dict) -> list[int]:
-            return self._replace(m, [s | {"scan_id": new[s["scan_id"]]} for s in taken])
-
-        self.vacuum("entries", "scan_id", self.commit(change))
+        self.commit(lambda m: self._replace(m, [s | {"scan_id": new[s["scan_id"]]} for s in taken]))
+        self.vacuum()
         return sorted({m for m, _, _ in live})
 
-    @staticmethod
-    def _replace(m: dict, scans: list[dict]) -> list[int]:
-        """Put complete scans in place of all others of their roots; the ids that went."""
+    def _replace(self, m: dict, scans: list[dict]) -> None:
+        """Put complete scans in place of all others of their roots."""
         roots = {(s["machine_id"], s["root"]) for s in scans}
-        gone = [s["scan_id"] for s in m["scans"] if (s["machine_id"], s["root"]) in roots]
-        m["scans"] = [s for s in m["scans"] if s["scan_id"] not in set(gone)] + scans
+        of = lambda s: (s["machine_id"], s["root"]) in roots
+        self._retire(m, [s for s in m["scans"] if of(s)])
+        m["scans"] = [s for s in m["scans"] if not of(s)] + [s | {"stored": self._stored(s)} for s in scans]
         m["roots"] = [r for r in m["roots"] if (r["machine_id"], r["root"]) not in roots]
         m["roots"] += [{"machine_id": s["machine_id"], "root": s["root"], "current_scan_id": s["scan_id"]} for s in scans]
-        return gone
 
     def import_s3(self, manifest: str, inventory: str | None = None, machine_id: str = "s3") -> dict[str, int]:
         """Import a checksum report as one commit: everything is staged and checked first, then all buckets change at once."""
@@ -213,17 +244,17 @@ class Store:
         mapped = self.spark.createDataFrame(list(ids.items()), "bucket string, scan_id long")
         self._write_scans(found.entries, mapped, "bucket")
 
-        def change(m: dict) -> list[int]:
+        def change(m: dict) -> None:
             scans = [
                 dict.fromkeys(SCANS.names)
                 | {"scan_id": i, "machine_id": machine_id, "hostname": machine_id, "root": f"s3://{b}", "started_at": now, "finished_at": time.time_ns(), "status": "complete"}
                 for b, i in sorted(ids.items())
             ]
-            gone = self._replace(m, scans)
+            self._replace(m, scans)
             m["s3_imports"].append({f.name: None for f in S3_IMPORTS.fields} | found.summary | {"import_id": number, "manifest_path": manifest, "report_schema": found.report_schema, "imported_at": now})
-            return gone
 
-        self.vacuum("entries", "scan_id", self.commit(change))
+        self.commit(change)
+        self.vacuum()
         return found.summary
 
     # ---- locks

@@ -21,6 +21,15 @@ def extension_of(name: str) -> str:
     return name[dot:].lower() if dot >= 0 else ""
 
 
+def shown(path: str) -> str | None:
+    """A path that isn't UTF-8 with its odd bytes escaped (`\\xff`); None for any other."""
+    try:
+        path.encode()
+        return None
+    except UnicodeEncodeError:
+        return path.encode("utf-8", "surrogateescape").decode("utf-8", "backslashreplace")
+
+
 class Folders(InputPartition):
     def __init__(self, folders: list[tuple[str, bool]]):
         self.folders = folders  # (path relative to the root, whether to descend)
@@ -36,7 +45,7 @@ class TreeReader(DataSourceReader):
             raise FileNotFoundError(f"no directory {self.root}")
 
     def _enter(self, name: str, path: str) -> bool:
-        return name not in self.dirs and os.path.realpath(path) not in self.skip
+        return name not in self.dirs and path not in self.skip
 
     def _children(self, rel: str) -> list[str]:
         try:
@@ -47,7 +56,7 @@ class TreeReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """Folders are opened level by level until there are enough to share out; those opened give their files only."""
-        if not self._enter(os.path.basename(self.root), self.root):
+        if not self._enter(os.path.basename(self.root), self.root):  # links aren't followed below the real root, so paths are real
             return [Folders([])]
         flat, deep = [], [""]
         while deep and len(deep) < self.wanted:
@@ -78,9 +87,14 @@ class TreeReader(DataSourceReader):
                         continue
                     facts = e.stat(follow_symlinks=False)
                 except OSError as x:
-                    yield (path, e.name, extension_of(e.name), 0, 0, "error", str(x))
+                    name = shown(e.name) or e.name
+                    yield (shown(path) or path, name, extension_of(name), 0, 0, "error", shown(str(x)) or str(x))
                     continue
-                if stat.S_ISREG(facts.st_mode) and e.name not in self.files and os.path.realpath(e.path) not in self.skip:
+                if stat.S_ISREG(facts.st_mode) and e.name not in self.files and e.path not in self.skip:
+                    if (text := shown(path)) is not None:
+                        name = text.rsplit("/", 1)[-1]
+                        yield (text, name, extension_of(name), facts.st_size, facts.st_mtime_ns, "error", "the name isn't UTF-8")
+                        continue
                     yield (path, e.name, extension_of(e.name), facts.st_size, facts.st_mtime_ns, "pending", None)
 
 
@@ -99,7 +113,10 @@ class TreeSource(DataSource):
 
 
 def read_tree(spark: SparkSession, root: str, exclude: list[str] | None = None, skip: list[str] | None = None, partitions: int = 32) -> DataFrame:
-    """Rows of a tree; symbolic links and devices are passed over, excluded folders aren't entered. A missing root raises."""
+    """Rows of a tree; symbolic links and devices are passed over, excluded folders aren't entered. A missing root raises.
+
+    A name that isn't UTF-8 gives a row of state error with its odd bytes escaped.
+    """
     spark.dataSource.register(TreeSource)
     split_patterns(exclude or [])
     if not os.path.isdir(root):

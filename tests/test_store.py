@@ -5,7 +5,7 @@ import os
 import pytest
 
 from cairnframe.plans import inventory as inv
-from cairnframe.plans.store import Overlap, Store, local_identity, new_store_name, remote_names
+from cairnframe.plans.store import Overlap, SnapshotGone, Store, local_identity, new_store_name, remote_names
 from cairnframe.sources.tree import read_tree
 
 ME = ("m1", "host-1")
@@ -50,6 +50,7 @@ def test_inventory_reuses_and_replaces(spark, tmp_path):
     assert seen.get == {"discovered": 2, "reused": 1, "hashed": 1, "failed": 0}
     assert states(store, second) == {"hello": "ok", "sub/deep/file": "reused"}
     assert [s["scan_id"] for s in store.manifest()["scans"]] == [second]
+    store.vacuum(0)  # replaced files stay for a while for the readers of older versions
     assert not os.path.exists(os.path.join(store.path, "entries", f"scan_id={first}"))
 
 
@@ -71,10 +72,47 @@ def test_failed_scan_is_kept_for_reuse(spark, tmp_path):
     rows.cache().count()
     lost = store.create_scan(*ME, str(tree))
     store.write_entries(lost, rows.where("rel_path = 'a'"))
-    assert store.adopt_orphans() == 1
     store.commit(lambda m: m.update(roots=[], scans=[s for s in m["scans"] if s["scan_id"] == lost]))
-    again = inv.inventory(store, str(tree), identity=ME)
+    again = inv.inventory(store, str(tree), identity=ME)  # adopts the scan that nobody works on any more
     assert states(store, again) == {"a": "reused", "b": "ok"}
+    assert store.adopt_orphans(ME[0], str(tree)) == 0
+
+
+def test_only_a_roots_own_scans_are_adopted(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for machine, root in (("m1", "/a"), ("m1", "/b"), ("m2", "/a")):
+        store.create_scan(machine, "h", root)
+    assert store.adopt_orphans("m1", "/a") == 1
+    assert [s["status"] for s in store.manifest()["scans"]] == ["failed", "running", "running"]
+
+
+def test_readers_of_an_older_version(spark, tmp_path):
+    from cairnframe.plans.api import Browser
+
+    tree, store = tmp_path / "tree", Store(spark, str(tmp_path / "store"))
+    put(tree, a="1", b="2")
+    inv.inventory(store, str(tree), identity=ME)
+    browser, at = Browser(store), (ME[0], str(tree))
+    put(tree, c="3")
+    inv.inventory(store, str(tree), identity=ME)
+    assert browser.summary(*at)["files"] == 2 and Browser(store).summary(*at)["files"] == 3
+    store.vacuum(0)
+    assert store.manifest()["retired"] == []
+    with pytest.raises(SnapshotGone):
+        browser.summary(*at)
+    assert Browser(store).summary(*at)["files"] == 3
+    with pytest.raises(SnapshotGone):
+        store.entries(10**6)
+
+
+def test_names_that_are_not_utf8(spark, tmp_path):
+    put(tmp_path, a="1")
+    os.mkdir(os.fsencode(tmp_path) + b"/d\xff")
+    for name in (b"/x\xfe.txt", b"/d\xff/y"):
+        with open(os.fsencode(tmp_path) + name, "w") as f:
+            f.write("1")
+    got = {(r["rel_path"], r["state"]) for r in read_tree(spark, str(tmp_path)).collect()}
+    assert got == {("a", "pending"), ("x\\xfe.txt", "error"), ("d\\xff/y", "error")}
 
 
 def test_anything_wrong_leaves_a_failed_scan(spark, tmp_path, monkeypatch):
