@@ -9,19 +9,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-MEMBERS = "map<string,variant>"
 
+def with_strict(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """df with the variant of the one JSON object that a text is; NULL for anything else, also for objects in which a name
+    stands twice or that nest too deeply.
 
-def members(text: Column) -> Column:
-    """The members of one JSON object and nothing after it; NULL for anything else, also for a name that stands twice.
-
-    The parser ignores what follows a value, so the text is read as a member of an object that ends with a member
-    named by the text's own hash: it's only there if the text ended where its object did.
+    The parser ignores what follows a value, so the text is read as the first of an array whose second member is the
+    text's own hash: that's only there if the text ended where its value did. The steps are columns of their own, as an
+    expression that is named twice is computed twice.
     """
-    end = F.concat(F.lit("~"), F.hex(F.xxhash64(text)))
-    whole = F.concat(F.lit('{"v":'), text, F.lit(',"'), end, F.lit('":0}'))
-    outer = F.try_variant_get(F.try_parse_json(whole), "$", MEMBERS)
-    return F.when((F.size(outer) == 2) & F.map_contains_key(outer, end), F.try_variant_get(F.try_element_at(outer, F.lit("v")), "$", MEMBERS))
+    object_ = F.when(F.startswith(F.ltrim(text, F.lit(" \t\r\n")), F.lit("{")), text)
+    df = df.withColumn("__t", object_).withColumn("__h", F.hex(F.xxhash64("__t")))
+    df = df.withColumn("__a", F.try_parse_json(F.concat(F.lit("["), F.col("__t"), F.lit(',"'), F.col("__h"), F.lit('"]'))))
+    ended = F.try_variant_get("__a", "$[1]", "string") == F.col("__h")
+    return df.withColumn(out, F.when(ended, F.try_variant_get("__a", "$[0]", "variant"))).drop("__t", "__h", "__a")
 
 
 def _refuse(name: str) -> None:
@@ -42,20 +43,21 @@ def _last_names(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore")
 
 
-def with_members(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the members (map<string,variant>) of the JSON object in a column; NULL where it isn't one.
+def with_object(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with the variant of the JSON object in a column; NULL where it isn't one.
 
     Only texts that the JVM's parser refuses go to Python, which tells objects with repeated names from broken ones.
     """
-    df = df.withColumn("__m", members(F.col(text)))
+    df = with_strict(df, F.col(text), "__m")
     df = df.withColumn("__again", _last_names(F.when(F.col("__m").isNull(), F.col(text))))
-    return df.withColumn(out, F.coalesce("__m", members(F.col("__again")))).drop("__m", "__again")
+    df = with_strict(df, F.col("__again"), "__n")
+    return df.withColumn(out, F.coalesce("__m", "__n")).drop("__m", "__again", "__n")
 
 
-def kind_of(x: Column) -> Column:
+def kind_of(x: Column, schema: Column | None = None) -> Column:
     """string, integer, decimal number, boolean, array or object; NULL for null. An integer of more than 38 digits counts
-    as a decimal number, a number of 19 or more digits without a fraction as an integer."""
-    s = F.schema_of_variant(x)
+    as a decimal number, a number of 19 or more digits without a fraction as an integer. schema is schema_of_variant of x where that's a column already."""
+    s = F.schema_of_variant(x) if schema is None else schema
     return (
         F.when(s == "VOID", F.lit(None))
         .when(s == "STRING", "string")
@@ -68,6 +70,12 @@ def kind_of(x: Column) -> Column:
     )
 
 
+def exploded(df: DataFrame, x: str, name: str, value: str) -> DataFrame:
+    """df with a row for every member of the object x, instead of x; an object without members keeps one row of NULLs."""
+    rows = df.where(F.col(x).isNotNull()).lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col(x).outer()))
+    return rows.select(*(c for c in df.columns if c != x), F.col("key").alias(name), F.col("value").alias(value))
+
+
 def get(x: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(x, path, kind)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from cairnframe.functions.jsontext import members
+from cairnframe.functions.jsontext import with_strict
 
 #: The columns of a checksum report.
 COLUMNS = ("Bucket", "Key", "VersionId", "TaskStatus", "ErrorCode", "HTTPStatusCode", "ResultMessage")
@@ -31,7 +31,7 @@ _RECORD = rf"\A{_FIELD}(?:,{_FIELD})*+\z"
 
 def without_end(raw: Column) -> Column:
     """A record without its own line end; NULL is an empty record."""
-    return F.regexp_replace(F.coalesce(raw, F.lit("")), r"[\r\n]+\z", "")
+    return F.rtrim(F.coalesce(raw, F.lit("")), F.lit("\r\n"))
 
 
 def sound_quotes(record: Column) -> Column:
@@ -121,7 +121,7 @@ def judged(lines: DataFrame, keep: list[str]) -> DataFrame:
     rows = lines.select(*keep, without_end(F.col("raw")).alias("r"))
     commas = F.length("r") - F.length(F.replace("r", F.lit(","), F.lit("")))
     # the reader takes any control character before a field for a blank
-    odd = F.col("r").rlike(r"(?:\A|,)[ \t]*+[\x00-\x08\x0a-\x1f]") | (commas > MOST_COLUMNS)
+    odd = (F.col("r").rlike(r"[\x00-\x08\x0a-\x1f]") & F.col("r").rlike(r"(?:\A|,)[ \t]*+[\x00-\x08\x0a-\x1f]")) | (commas > MOST_COLUMNS)
     rows = rows.withColumns({"sound": sound_quotes(F.col("r")), "odd": odd})
     read = F.from_csv(F.when(F.col("sound") & ~F.col("odd"), F.col("r")), _SCHEMA + ", broken string", _READER)
     by_pattern = F.when(F.col("sound") & F.col("odd"), split_record(F.col("r")))
@@ -135,8 +135,9 @@ def judged(lines: DataFrame, keep: list[str]) -> DataFrame:
         head &= F.lower(FIELDS[i]) == COLUMNS[i].lower()
     status = F.lower("f3")
     rows = rows.withColumn("reason", F.when(~F.col("sound"), "quoting").when(~F.col("whole"), "column_count").when(head, "header").when(~status.isin("succeeded", "failed"), "task_status"))
-    doubt = F.col("reason").isNull() & (status == "succeeded") & members(F.col("f6")).isNull()
-    rows = rows.withColumn("doubt", doubt)
+    rows = rows.withColumn("__json", F.when(F.col("reason").isNull() & (status == "succeeded"), F.col("f6")))
+    rows = with_strict(rows, F.col("__json"), "__m")
+    rows = rows.withColumn("doubt", F.col("__json").isNotNull() & F.col("__m").isNull())
     # what the JVM's parser refuses is looked at again: it also refuses repeated names and deep nesting
     refused = ~_strict(F.when(F.col("doubt"), F.col("f6")))
     return rows.select(*keep, F.when(F.col("doubt") & refused, "result_message").otherwise(F.col("reason")).alias("reason"), *FIELDS)

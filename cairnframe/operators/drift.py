@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cairnframe.functions.exec import cut, sized
-from cairnframe.functions.jsontext import get, kind_of, text_of, with_members
+from cairnframe.functions.jsontext import exploded, get, kind_of, text_of, with_object
 from cairnframe.functions.sequence import with_previous
 
 # Patterns that give a field its meaning, looked for in its letters and digits in lower case, in this order.
@@ -46,9 +46,13 @@ def promote(kinds: str) -> str:
     )
 
 
+def _plain(name: Column) -> Column:
+    return F.lower(F.regexp_replace(name, r"[^\p{L}\p{N}]", ""))
+
+
 def meaning(name: Column) -> Column:
     """What a field name stands for: one of FIELDS, or the name itself without case and separators."""
-    plain = F.lower(F.regexp_replace(name, r"[^\p{L}\p{N}]", ""))
+    plain = _plain(name)
     found = F.lit(None).cast("string")
     for field, pattern in reversed(MEANINGS):
         found = F.when(plain.rlike(pattern), field).otherwise(found)
@@ -62,10 +66,9 @@ def _content(x: Column) -> Column:
     return F.coalesce(get(x, "$.code"), x)
 
 
-def _looks(x: Column) -> dict[str, Column]:
-    """Which fields a value could belong to, for names that say nothing."""
-    x = _content(x)
-    s, kind = get(x, "$", "string"), kind_of(x)
+def _looks(x: Column, schema: Column) -> dict[str, Column]:
+    """Which fields a value (of _content) could belong to, for names that say nothing."""
+    s, kind = get(x, "$", "string"), kind_of(x, schema)
     text = kind == "string"
     numeric = kind.isin("integer", "decimal number") | (text & F.trim(s).rlike("^[0-9]{1,8}$"))
     number = F.when(numeric, F.trim(s).try_cast("double"))
@@ -83,16 +86,18 @@ def file_schemas(records: DataFrame) -> DataFrame:
     number of records. A file without a single readable record has no row. A field means what its name says, and if
     that says nothing what its values look like, unless another field of the file has that name.
     """
-    rows = with_members(records.select(*_KEYS, "written_at", "record"), "record", "members")
-    rows = rows.where(F.col("members").isNotNull()).select(*_KEYS, "written_at", F.explode_outer("members").alias("field", "x"))
-    opaque = ~meaning(F.col("field")).isin(*FIELDS)
-    kind = kind_of(F.col("x"))
+    rows = with_object(records.select(*_KEYS, "written_at", "record"), "record", "o").drop("record")
+    rows = exploded(rows, "o", "field", "x")
+    opaque = ~_plain(F.col("field")).rlike("|".join(p for _, p in MEANINGS))
+    rows = rows.withColumn("schema", F.schema_of_variant("x")).withColumn("y", F.when(opaque, _content(F.col("x"))))
+    rows = rows.withColumn("own", F.when(F.col("y").isNotNull(), F.schema_of_variant("y")))
+    kind = kind_of(F.col("x"), F.col("schema"))
     bits = F.lit(0)
     for i, k in enumerate(KINDS):
-        bits = F.when(kind == k, 1 << i).otherwise(bits)
-    heads = rows.select(
-        *_KEYS, "written_at", "field", bits.alias("bits"), *(F.coalesce(opaque & c, F.lit(False)).alias(f) for f, c in _looks(F.col("x")).items())
-    )
+        bits = F.when(F.col("kind") == k, 1 << i).otherwise(bits)
+    looks = _looks(F.col("y"), F.col("own"))
+    rows = rows.select(*_KEYS, "written_at", "field", kind.alias("kind"), *(F.coalesce(c, F.lit(False)).alias(f) for f, c in looks.items()))
+    heads = rows.select(*_KEYS, "written_at", "field", bits.alias("bits"), *looks)
     per_field = heads.groupBy(*_KEYS, "field").agg(
         F.max("written_at").alias("written_at"), F.bit_or("bits").alias("bits"), F.count_if(F.col("bits") > 0).alias("n"),
         *(F.count_if(f).alias(f) for f in ("error_code", "http_status_code", "result_message")),
@@ -192,26 +197,30 @@ def unified_records(records: DataFrame) -> DataFrame:
         *(F.array_sort(F.collect_list(F.when(F.col("m") == f, F.col("field")))).alias(f"{f}_names") for f in FIELDS),
     )
     plan = cut(plan.select(F.col("feed_id").alias("__feed"), F.col("file_id").alias("__file"), "texts", *(f"{f}_names" for f in FIELDS)))
-    once = with_members(records.select(*_KEYS, "rec_no", "record").distinct(), "record", "members")
+    once = with_object(records.select(*_KEYS, "rec_no", "record").distinct(), "record", "o")
     same = F.col("feed_id").eqNullSafe(F.col("__feed")) & F.col("file_id").eqNullSafe(F.col("__file"))
-    rows = once.join(sized(plan, BROADCAST_FILES), same, "left").withColumn("members", F.expr("map_filter(members, (n, x) -> NOT is_variant_null(x))"))
+    rows = once.join(sized(plan, BROADCAST_FILES), same, "left").withColumn("all", get(F.col("o"), "$", "map<string,variant>"))
+    rows = rows.withColumn("members", F.expr("map_filter(all, (n, x) -> NOT is_variant_null(x))"))
     chosen = "get(filter({0}_names, n -> map_contains_key(members, n)), 0)"
     rows = rows.select(*_KEYS, "rec_no", "members", "texts", *(F.expr(chosen.format(f)).alias(f"{f}_name") for f in FIELDS))
     values = {f: F.try_element_at("members", F.col(f"{f}_name")) for f in FIELDS}
     rows = rows.select("*", *(x.alias(f"{f}_x") for f, x in values.items()))
-    cols: dict[str, Column] = {}
-    whole: dict[str, Column] = {}
-    for f in FIELDS:
-        x = F.col(f"{f}_x")
-        kind, one = kind_of(x), F.when(get(x, "$[1]").isNull(), get(x, "$[0]"))
-        inner = F.coalesce(one, x)
-        more = get(inner, "$.code").isNotNull() & (F.size(F.map_keys(get(inner, "$", "map<string,variant>"))) > 1)
-        text = text_of(_content(x))
-        keep = (kind == "object") if f == "result_message" else F.lit(False)
-        cols[f] = F.when(keep, F.to_json(x)).otherwise(text)
-        whole[f] = keep | (~F.coalesce(more, F.lit(False)) & text.isNotNull())
-    cols["http_status_code"] = F.trim(cols["http_status_code"]).try_cast("bigint")
-    whole["http_status_code"] &= cols["http_status_code"].isNotNull()
+    # step by step, as an expression that is named twice is computed twice
+    at = lambda p: {f: F.col(f"{f}_{p}") for f in FIELDS}
+    rows = rows.withColumns({f"{f}_one": get(x, "$[0]") for f, x in at("x").items()})
+    rows = rows.withColumns({f"{f}_y": F.when(one.isNull() | get(F.col(f"{f}_x"), "$[1]").isNotNull(), F.col(f"{f}_x")).otherwise(one) for f, one in at("one").items()})
+    rows = rows.withColumns({f"{f}_code": get(y, "$.code") for f, y in at("y").items()})
+    rows = rows.withColumns({f"{f}_more": code.isNotNull() & (F.size(F.map_keys(get(F.col(f"{f}_y"), "$", "map<string,variant>"))) > 1) for f, code in at("code").items()})
+    rows = rows.withColumns({f"{f}_y": F.coalesce(code, F.col(f"{f}_y")) for f, code in at("code").items()})
+    rows = rows.withColumns({f"{f}_text": text_of(y) for f, y in at("y").items()})
+    x = F.col("result_message_x")
+    rows = rows.withColumn("keep", F.coalesce(F.schema_of_variant(x).startswith("OBJECT"), F.lit(False)))
+    rows = rows.withColumn("result_message_text", F.when(F.col("keep"), F.to_json(x)).otherwise(F.col("result_message_text")))
+    rows = rows.withColumn("status", F.trim("http_status_code_text").try_cast("bigint"))
+    whole = {f: ~F.col(f"{f}_more") & text.isNotNull() for f, text in at("text").items()}
+    whole["result_message"] |= F.col("keep")
+    whole["http_status_code"] &= F.col("status").isNotNull()
+    cols = {f: F.col("status") if f == "http_status_code" else text for f, text in at("text").items()}
     held = F.array_compact(F.array(*(F.when(whole[f], F.col(f"{f}_name")) for f in FIELDS)))
     rows = rows.select(*_KEYS, "rec_no", "members", "texts", *(c.alias(f) for f, c in cols.items()), held.alias("held"))
     extra = F.expr(
