@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import string
 import sys
 import unicodedata
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from cairnframe.functions.exec import cut, sized
+from cairnframe.functions.exec import BROADCAST_ROWS, cut, sized
 
-# Letters of other scripts with the shape of a Latin letter.
+# Letters of other scripts with the shape of a Latin letter, where fonts agree.
 SAME_SHAPE = {
     # Cyrillic
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
@@ -34,10 +35,38 @@ NOTHING = "͏ᅟᅠ឴឵᠋᠌᠍᠏ㅤﾠ"
 SHOWN = "؀؁؂؃؄؅۝܏࢐࢑࣢\U000110bd\U000110cd"
 
 
+#: Scripts (first words of their letters' names) of which every letter counts that Unicode's data of confusable
+#: characters gives the shape of a Latin letter; of Cyrillic, Greek and Armenian only SAME_SHAPE counts.
+SHAPED_SCRIPTS = (
+    "CARIAN", "CHEROKEE", "COPTIC", "DESERET", "ELBASAN", "LISU", "LYCIAN", "MIAO", "OLD", "OSAGE", "RUNIC", "TIFINAGH", "WARANG",
+)
+
+
+def confusables(spark: SparkSession) -> dict[str, str]:
+    """The letters of SHAPED_SCRIPTS with the shape of a Latin letter, by the data of the library that Spark's collations use.
+
+    A letter counts if it alone of its script has that shape, as two letters of one script never read the same.
+    """
+    skeletons = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    letters = [c for c in map(chr, range(0x370, sys.maxunicode + 1)) if unicodedata.category(c)[0] == "L" and unicodedata.name(c, "?").split()[0] in SHAPED_SCRIPTS]
+    shapes = skeletons.getSkeleton("\n".join(letters)).split("\n")
+    latin = {skeletons.getSkeleton(x): x for x in string.ascii_letters if x != "I"}  # I and l are one there
+    found: dict[tuple[str, str], list[str]] = {}
+    for letter, shape in zip(letters, shapes):
+        if shape in latin:
+            as_ = "I" if latin[shape] == "l" and unicodedata.category(letter) != "Ll" else latin[shape]
+            found.setdefault((unicodedata.name(letter).split()[0], as_), []).append(letter)
+    return {c[0]: as_ for (_, as_), c in found.items() if len(c) == 1}
+
+
 @cache
 def table() -> dict[str, str]:
-    """Every character that another stands for, and '' for those that show nothing; made by rule from Unicode data."""
-    out: dict[str, str] = {}
+    """Every character that another stands for, and '' for those that show nothing; made by rule from Unicode data, in the
+    driver of a running session."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("the table of look-alikes needs a running session")
+    out: dict[str, str] = confusables(spark)
     for code in range(sys.maxunicode + 1):
         ch = chr(code)
         kind = unicodedata.category(ch)
@@ -89,32 +118,53 @@ def reading_key(text: Column) -> Column:
     return F.when(other, visual_form_column(F.when(other, text))).otherwise(text)
 
 
-def spellings(rows: DataFrame, group: str, text: str) -> DataFrame:
-    """(group, text, canonical): every text that shares its group with another that reads the same.
+_CLASSES = """
+    WITH classes AS (
+        SELECT g, min(t) AS canonical, count(*) AS spellings, min(k) AS least, max(k) AS most
+        FROM {members} GROUP BY g, k COLLATE UNICODE
+    )
+    SELECT m.g, m.t, m.k, c.canonical, c.spellings, c.least = c.most AS exact
+    FROM {members} m JOIN classes c ON m.g = c.g AND m.k COLLATE UNICODE = c.least COLLATE UNICODE
+"""
+
 
-    Texts are grouped by their consistent form itself, so composed and combining accents meet for every letter; a class
-    whose least and greatest member are one has a single spelling and ends there. The class's least member in code
-    point order is canonical, and it is joined back to the members. The grouped columns alone are shuffled; a group
-    with a third of all rows is spread by the texts.
+def spellings(rows: DataFrame, group: str, text: str) -> DataFrame:
+    """(group, text, canonical, spellings): every text that shares its group with another that reads the same.
+
+    Candidates are found by the hash of their consistent form: of a group's form only the least and the greatest hash of
+    its texts are kept, so that longs cross the shuffle and a group with a third of all rows is spread by its forms.
+    Where they differ, there are several spellings. The candidates' consistent forms are then grouped
+    under the accent-sensitive collation UNICODE in SQL; a class's least text in code point order is canonical, and it
+    is joined back to the members with the class's number of texts. As a check, a class whose forms aren't one code
+    point for code point (the collation weighs some letters alike) is divided by its forms.
     """
-    keyed = rows.select(F.col(group), F.col(text)).where(F.col(text).isNotNull() & F.col(group).isNotNull())
-    keyed = keyed.withColumn("k", reading_key(F.col(text)))
-    classes = (
-        keyed.groupBy(group, "k")
-        .agg(F.min(text).alias("canonical"), F.max(text).alias("most"))
-        .where(F.col("canonical") != F.col("most"))
-        .select(group, "k", "canonical")
-    )
-    return keyed.join(sized(cut(classes), 200_000), [group, "k"]).select(group, text, "canonical").distinct()
+    keyed = rows.select(F.col(group).alias("g"), F.col(text).alias("t")).where(F.col(text).isNotNull() & F.col(group).isNotNull())
+    keyed = keyed.withColumn("k", reading_key(F.col("t"))).withColumn("h", F.xxhash64("k"))
+    hashes = keyed.select("g", "h", F.xxhash64("t").alias("own")).groupBy("g", "h").agg(F.min("own").alias("least"), F.max("own").alias("most"))
+    several = cut(hashes.where(F.col("least") != F.col("most")).select("g", "h"))
+    members = cut(keyed.join(sized(several, BROADCAST_ROWS), ["g", "h"]).select("g", "t", "k").distinct())
+    found = rows.sparkSession.sql(_CLASSES, members=members)
+    parted = found.where("NOT exact").select("g", "t", "k")
+    again = parted.groupBy("g", "k").agg(F.min("t").alias("canonical"), F.count(F.lit(1)).alias("spellings")).where(F.col("spellings") > 1)
+    parted = parted.join(again, ["g", "k"])
+    out = found.where("exact").select("g", "t", "canonical", "spellings").unionByName(parted.select("g", "t", "canonical", "spellings"))
+    return out.select(F.col("g").alias(group), F.col("t").alias(text), "canonical", "spellings")
+
+
+def reading_classes(entries: DataFrame) -> DataFrame:
+    """(scan_id, rel_path, canonical, links): the paths that read like others of their scan, with their class and the number
+    of others in it. Pairs are those of a class's paths; edges as in same_reading_pairs."""
+    return spellings(entries, "scan_id", "rel_path").select("scan_id", "rel_path", "canonical", (F.col("spellings") - 1).alias("links"))
 
 
 def same_reading_pairs(entries: DataFrame) -> DataFrame:
     """(scan_id, rel_path_a, rel_path_b): different paths of one scan that read the same, a before b by code points.
 
     Repeated rows count once; NULL scan_id or rel_path have no pairs; an empty path reads as '' only; other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows. The classes of reading_classes meet themselves; adaptive execution splits a
+    large one.
     """
-    s = cut(spellings(entries, "scan_id", "rel_path"))
+    s = cut(reading_classes(entries))
     a = s.select("scan_id", "canonical", F.col("rel_path").alias("rel_path_a"))
     b = s.select("scan_id", "canonical", F.col("rel_path").alias("rel_path_b"))
     pairs = a.join(b, ["scan_id", "canonical"]).where(F.col("rel_path_a") < F.col("rel_path_b"))

@@ -17,6 +17,11 @@ APART = [
 ]
 
 
+@pytest.fixture(autouse=True)
+def session(spark):
+    """The table is made in a running session."""
+
+
 def pairs(spark, paths, scan=1):
     df = spark.createDataFrame([(scan, p, "clash") for p in paths], E)
     return {(r["rel_path_a"], r["rel_path_b"]) for r in la.same_reading_pairs(df).collect()}
@@ -81,3 +86,20 @@ def test_consistent_paths(spark):
 def test_table_is_made_by_rule():
     t = la.table()
     assert len(la.SAME_SHAPE) < 200 and t["​"] == "" and t["　"] == " " and t["Ａ"] == "A" and all(len(v) <= 1 for v in t.values())
+    assert (t["Ꭰ"], t["ꓮ"], t["Ⲟ"], t["ⲟ"], t["𐐄"], t["ꓲ"]) == ("D", "A", "O", "o", "O", "I") and "ס" not in t and "σ" not in t and "α" not in t
+    for script in la.SHAPED_SCRIPTS:  # two letters of one script never read the same
+        own = [v for k, v in la.confusables(la.SparkSession.getActiveSession()).items() if unicodedata.name(k).split()[0] == script]
+        assert len(own) == len(set(own))
+
+
+def test_classes_and_links(spark):
+    df = spark.createDataFrame([(1, p, "") for p in ("ab", "аb", "ａb", "ab", "c", "ꓮ", "A")] + [(2, "ab", "")], E)
+    got = sorted(tuple(r) for r in la.reading_classes(df).collect())
+    assert got == sorted([(1, "ab", "ab", 2), (1, "аb", "ab", 2), (1, "ａb", "ab", 2), (1, "ꓮ", "A", 1), (1, "A", "A", 1)])
+
+
+def test_forms_that_the_collation_weighs_alike(spark):
+    # the class is divided by the forms themselves
+    m = spark.createDataFrame([(1, p, "") for p in ("x\u0f77", "x\u0f78", "\u1d2c", "A", "ab", "аb")], E)
+    got = {tuple(r)[:3] for r in la.reading_classes(m).collect()}
+    assert got == {(1, "ab", "ab"), (1, "аb", "ab")}
