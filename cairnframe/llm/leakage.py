@@ -8,6 +8,7 @@ import quopri
 import re
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
+from itertools import accumulate
 from math import ceil
 
 import numpy as np
@@ -124,19 +125,22 @@ def runs_of(hits: Iterable[tuple[int, int]], k: int) -> list[tuple[int, int, int
     return out
 
 
-def tiles_of(runs: list[tuple[int, int, int]], weights: list[int], k: int) -> list[tuple[int, int, int, int]]:
+def tiles_of(runs: list[tuple[int, int, int]], weights: list[int] | None, words: int, k: int) -> list[tuple[int, int, int, int]]:
     """(place in item, place in doc, length, weight) of the tiles: again and again the longest match, none overlapping.
 
-    What others leave of a match counts if it has at least k words.
+    What others leave of a match counts if it has at least k words. Words weigh 1 where weights is None.
     """
-    upto = np.concatenate([[0], np.cumsum(weights)]).tolist()
-    weigh = lambda p, n: upto[p + n] - upto[p]
+    if weights is None:
+        weigh = lambda p, n: n
+    else:
+        upto = [0, *accumulate(weights)]
+        weigh = lambda p, n: upto[p + n] - upto[p]
     heap = [(-weigh(p, n), p, q, n) for p, q, n in runs]
     if len(heap) == 1:
         w, p, q, n = heap[0]
         return [(p, q, n, -w)]
     heapq.heapify(heap)
-    used_i, used_d, out = bytearray(len(weights)), set(), []
+    used_i, used_d, out = bytearray(words), set(), []
     while heap:
         w, p, q, n = heapq.heappop(heap)
         free = _free(used_i, used_d, p, q, n)
@@ -208,31 +212,32 @@ def _item_rows(share: float) -> Callable:
             for item, mark, text in zip(*(c.to_pylist() for c in batch.columns)):
                 for v, (words, weights) in enumerate(readings(text)):
                     if words:
-                        weights = weights or [1] * len(words)
-                        k = seed_words(weights, share)
-                        fewest = least_run(weights, share) - k + 1
-                        out.append((item, mark, v, k, fewest, weights, windows(word_hashes(words, memo), k).tolist()))
-            cols = list(zip(*out)) or [[]] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["item_id", "own", "v", "k", "fewest", "weights", "seeds"])
+                        each = weights or [1] * len(words)
+                        k = seed_words(each, share)
+                        fewest = least_run(each, share) - k + 1
+                        out.append((item, mark, v, k, fewest, len(words), sum(each), weights, windows(word_hashes(words, memo), k).tolist()))
+            cols = list(zip(*out)) or [[]] * 9
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.list_(pa.int32()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["item_id", "own", "v", "k", "fewest", "tokens", "words", "weights", "seeds"])
 
     return run
 
 
 def _tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        tiled, longest = [], []
-        hits = batch.column(batch.schema.get_field_index("hits"))
+        at = {name: i for i, name in enumerate(batch.schema.names)}
+        hits = batch.column(at["hits"])
         flat = hits.flatten()
         places = list(zip(flat.field(0).to_pylist(), flat.field(1).to_pylist()))
-        ends = np.cumsum(np.array([0, *(x or 0 for x in hits.value_lengths().to_pylist())])).tolist()
-        for i, (weights, k) in enumerate(zip(batch.column(batch.schema.get_field_index("weights")).to_pylist(), batch.column(batch.schema.get_field_index("k")).to_pylist())):
-            found = tiles_of(runs_of(places[ends[i] : ends[i + 1]], k), weights, k)
-            tiled.append(sum(w for *_, w in found))
-            longest.append(max(w for *_, w in found))
-        cols = [batch.column(i) for i in range(5)]
-        words = pa.array([sum(w) for w in batch.column(batch.schema.get_field_index("weights")).to_pylist()], pa.int32())
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(tiled, pa.int32()), pa.array(longest, pa.int32()), words], ["doc_id", "mark", "item_id", "own", "v", "tiled", "longest", "words"])
+        ends = [0, *accumulate(hits.value_lengths().to_pylist())]
+        tiled, longest = [], []
+        rest = (batch.column(at[c]).to_pylist() for c in ("k", "tokens", "weights"))
+        for i, (k, tokens, weights) in enumerate(zip(*rest)):
+            found = tiles_of(runs_of(places[ends[i] : ends[i + 1]], k), weights, tokens, k)
+            tiled.append(sum(t[3] for t in found))
+            longest.append(max(t[3] for t in found))
+        cols = [batch.column(at[c]) for c in ("doc_id", "mark", "item_id", "own", "v", "words")]
+        yield pa.RecordBatch.from_arrays([*cols, pa.array(tiled, pa.int32()), pa.array(longest, pa.int32())], ["doc_id", "mark", "item_id", "own", "v", "words", "tiled", "longest"])
 
 
 def _tiled(docs: DataFrame, items: DataFrame, share: float, unbroken: bool) -> DataFrame:
@@ -241,7 +246,7 @@ def _tiled(docs: DataFrame, items: DataFrame, share: float, unbroken: bool) -> D
     unbroken leaves out pairs with fewer shared seeds than a run of `share` of the item has; they can't hold one.
     """
     known = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", F.xxhash64("text").alias("own"), "text").distinct()
-    ddl = "item_id long, own long, v int, k int, fewest int, weights array<int>, seeds array<long>"
+    ddl = "item_id long, own long, v int, k int, fewest int, tokens int, words int, weights array<int>, seeds array<long>"
     rows = cut(known.mapInArrow(_item_rows(share), ddl))
     lengths = [r["k"] for r in rows.select("k").distinct().collect()]  # at most SEED_WORDS numbers
     seeds = rows.select("item_id", "own", "v", F.posexplode("seeds").alias("p", "seed"))
@@ -250,12 +255,10 @@ def _tiled(docs: DataFrame, items: DataFrame, share: float, unbroken: bool) -> D
     at = at.select("doc_id", "mark", "at", F.posexplode("seeds").alias("q", "seed"))
     hits = at.join(sized(seeds), "seed").select("doc_id", "mark", "item_id", "own", "v", (F.col("at") + F.col("q")).alias("q"), "p")
     pairs = hits.groupBy("doc_id", "mark", "item_id", "own", "v").agg(F.collect_list(F.struct("q", "p")).alias("hits"))
-    pairs = pairs.join(sized(rows.select("item_id", "own", "v", "k", "fewest", "weights"), 20_000), ["item_id", "own", "v"])
+    pairs = pairs.join(sized(rows.drop("seeds"), 20_000), ["item_id", "own", "v"])
     if unbroken:
         pairs = pairs.where(F.size("hits") >= F.col("fewest"))
-    found = pairs.select("doc_id", "mark", "item_id", "own", "v", "k", "weights", "hits").mapInArrow(
-        _tile, "doc_id long, mark long, item_id long, own long, v int, tiled int, longest int, words int"
-    )
+    found = pairs.drop("fewest").mapInArrow(_tile, "doc_id long, mark long, item_id long, own long, v int, words int, tiled int, longest int")
     best = found.groupBy("doc_id", "mark", "item_id", "own").agg(F.max("tiled").alias("tiled"), F.max("longest").alias("longest"), F.max("words").alias("words"))
     return best.drop("mark", "own")
 

@@ -94,7 +94,7 @@ def test_pairs_and_tiles_against_brute_force(spark):
             if run >= k:
                 hits.add((i, j))
                 seeds = {(q, p) for q in range(len(y) - k + 1) for p in range(len(x) - k + 1) if y[q : q + k] == x[p : p + k]}
-                assert got[i, j]["longest"] == run and got[i, j]["tiled"] == sum(w for *_, w in lk.tiles_of(lk.runs_of(seeds, k), [1] * len(x), k))
+                assert got[i, j]["longest"] == run and got[i, j]["tiled"] == sum(w for *_, w in lk.tiles_of(lk.runs_of(seeds, k), rng.choice([None, [1] * len(x)]), len(x), k))
             if run >= 0.4 * len(x):
                 want.add((i, j))
     assert set(got) == hits and leaked == want and len(want) > 100
@@ -148,7 +148,7 @@ def test_tiles_do_not_overlap():
     for _ in range(300):
         a, b = ([rng.randint(1, 3) for _ in range(rng.randint(1, 25))] for _ in range(2))
         hits = [(q, p) for q in range(len(b) - 2) for p in range(len(a) - 2) if b[q : q + 3] == a[p : p + 3]]
-        out = lk.tiles_of(lk.runs_of(hits, 3), [1] * len(a), 3)
+        out = lk.tiles_of(lk.runs_of(hits, 3), None, len(a), 3)
         ia, ib = [x for p, _, n, _ in out for x in range(p, p + n)], [x for _, q, n, _ in out for x in range(q, q + n)]
         assert len(ia) == len(set(ia)) and len(ib) == len(set(ib)) and all(a[p : p + n] == b[q : q + n] for p, q, n, _ in out)
         assert max([n for _, _, n, _ in out], default=0) == (x if (x := longest_common_run(a, b)) >= 3 else 0)
