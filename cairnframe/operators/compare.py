@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairnframe.functions.exec import cut
+from cairnframe.functions.exec import cut, sized
 from cairnframe.functions.paths import ancestors
 
 
@@ -82,8 +82,10 @@ def compact_missing_trees(only: DataFrame, opposite: DataFrame, keys: list[str])
     only = cut(only)  # read three times below, and small beside the snapshots
     at = only.select(*keys, "rel_path", F.posexplode(F.arrays_zip(ancestors(F.col("rel_path")).alias("dir"), ancestors(F.col("cmp")).alias("cdir"))).alias("depth", "d"))
     at = at.select(*keys, "rel_path", "depth", "d.dir", "d.cdir")
-    nodes = opposite.select(*keys, F.explode(F.array_append(ancestors(F.col("cmp")), F.col("cmp"))).alias("cdir")).distinct()
-    dirs = at.groupBy(*keys, "dir", "cdir").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2)
+    dirs = cut(at.groupBy(*keys, "dir", "cdir").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2))
+    nodes = opposite.select(*keys, F.explode(F.array_append(ancestors(F.col("cmp")), F.col("cmp"))).alias("cdir"))
+    # of the opposite side's names only those of such directories are shuffled, if these are few enough to go along
+    nodes = nodes.join(sized(dirs.select(*keys, "cdir").distinct()), [*keys, "cdir"], "left_semi").distinct()
     free = dirs.join(nodes, [*keys, "cdir"], "left_anti").select(*keys, "dir", "n")
     top = (
         at.join(free, [*keys, "dir"])
@@ -125,14 +127,21 @@ def identical_by_content(left: DataFrame, right: DataFrame, keys: list[str]) ->
     return m.groupBy(*keys).agg(F.sum(F.least("nl", "nr")).alias("identical")).where(F.col("identical") > 0)
 
 
-def rank_within(rows: DataFrame, group: list[str], order: str, out: str = "rn") -> DataFrame:
-    """row_number in groups of any size: rows are range partitioned, so a large group is numbered in several tasks."""
-    ranged = cut(rows.repartitionByRange(*group, order).withColumn("__p", F.spark_partition_id()))
+def rank_within(rows: DataFrame, group: list[str], order: str | Column | list[str | Column], out: str = "rn") -> DataFrame:
+    """row_number in groups of any size: rows are range partitioned, so a large group is numbered in several tasks.
+
+    The partitions are numbered in the order of the ranges, so the second step needs no more than the number of rows that
+    each group has in the partitions before.
+    """
+    orders = order if isinstance(order, list) else [order]
+    ranged = cut(rows.repartitionByRange(*group, *orders).withColumn("__p", F.spark_partition_id()))
     parts = ranged.groupBy(*group, "__p").count()
     before = Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select(*group, "__p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
-    within = F.row_number().over(Window.partitionBy(*group, "__p").orderBy(order))
-    return ranged.withColumn("__rn", within).join(parts, [*group, "__p"]).withColumn(out, F.col("__rn") + F.col("__base")).drop("__p", "__rn", "__base")
+    within = F.row_number().over(Window.partitionBy(*group, "__p").orderBy(*orders))
+    numbered = ranged.withColumn("__rn", within)
+    joined = numbered.alias("r").join(parts.alias("p"), [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in [*group, "__p"]])
+    return joined.select(*(F.col(f"r.{c}").alias(c) for c in rows.columns), (F.col("r.__rn") + F.col("p.__base")).alias(out))
 
 
 def content_excess(present: DataFrame, absent: DataFrame, keys: list[str]) -> DataFrame:

@@ -48,17 +48,43 @@ def exact_candidates(entries: DataFrame, trusted_only: bool = False) -> DataFram
     return entries.where(F.col("state").isin(*TRUSTED)) if trusted_only else entries
 
 
+def root_pairs(roots: DataFrame, machine: str = "machine_id") -> DataFrame:
+    """(machine, root, other, how): which roots of a machine are the same as, an ancestor or a descendant of which others.
+
+    Roots meet by equal paths: each root's own path and those of all directories above it are matched with the roots, so
+    the rows that meet are those that overlap. Slashes at the end don't count; root and other are different rows' spellings.
+    """
+    plain = F.when(F.rtrim("root", F.lit("/")) == "", F.lit("")).otherwise(F.rtrim("root", F.lit("/")))
+    rows = roots.select(machine, "root").where(F.col("root").isNotNull()).distinct().withColumn("__at", plain)
+    parts = F.split("__at", "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    low = rows.select(machine, F.col("root").alias("__low"), "__at", F.explode(above).alias("__above"))
+    high = rows.select(machine, F.col("root").alias("__high"), F.col("__at").alias("__above"))
+    met = low.join(high, [machine, "__above"]).withColumn("__same", F.col("__at") == F.col("__above"))
+    up = met.select(machine, F.col("__high").alias("root"), F.col("__low").alias("other"), F.when(F.col("__same"), "same").otherwise("ancestor").alias("how"))
+    down = met.where(~F.col("__same")).select(machine, F.col("__low").alias("root"), F.col("__high").alias("other"), F.lit("descendant").alias("how"))
+    return up.unionByName(down)
+
+
+def rebased(sources: DataFrame, targets: DataFrame, keys: list[str]) -> DataFrame:
+    """Candidates for many roots at once: (keys, target, rel_path, size, mtime_ns, fingerprint, sha256).
+
+    sources (keys, root, rel_path, size, mtime_ns, state, fingerprint, sha256) are entries of roots, targets (keys, target,
+    root, how) says which root lies how to which target. Paths are those in the target; only trusted rows with both
+    hashes count, and those that lie in the target.
+    """
+    good = sources.where(F.col("state").isin(*TRUSTED) & known_hash("sha256").isNotNull() & known_hash("fingerprint").isNotNull())
+    rows = good.join(targets.where(F.col("how") != "same"), [*keys, "root"])
+    slash = lambda c: F.concat(F.rtrim(c, F.lit("/")), F.lit("/"))
+    whole = F.concat(slash("root"), "rel_path")
+    return rows.where(F.startswith(whole, slash("target"))).select(
+        *keys, "target", F.substring(whole, F.length(slash("target")) + 1, F.length(whole)).alias("rel_path"), "size", "mtime_ns", "fingerprint", "sha256"
+    )
+
+
 def overlap_candidates(target_root: str, sources: DataFrame) -> DataFrame:
     """Candidates for target_root from `sources` (root, rel_path, size, mtime_ns, state, fingerprint, sha256) of roots above
     or below it, with paths rebased; only trusted rows with both hashes."""
-    t = F.lit(target_root)
-    good = sources.where(
-        F.col("state").isin(*TRUSTED) & known_hash("sha256").isNotNull() & known_hash("fingerprint").isNotNull()
-    ).withColumn("__how", roots_overlap(F.col("root"), t))
-    above = good.where(F.col("__how") == "ancestor")
-    inside = F.expr("substring(concat(rtrim('/', __t), '/'), length(concat(rtrim('/', root), '/')) + 1)")
-    above = above.withColumn("__t", t).withColumn("__sub", inside)
-    above = above.where(F.startswith("rel_path", "__sub")).withColumn("rel_path", F.expr("substring(rel_path, length(__sub) + 1)")).drop("__t", "__sub")
-    below = good.where(F.col("__how") == "descendant")
-    below = below.withColumn("rel_path", F.concat(F.expr("substring(root, {})".format(len(target_root.rstrip("/")) + 2)), F.lit("/"), F.col("rel_path")))
-    return above.unionByName(below).drop("__how")
+    rows = sources.withColumns({"__k": F.lit(0), "how": roots_overlap(F.col("root"), F.lit(target_root)), "target": F.lit(target_root)})
+    named = rows.select("__k", "root", "target", "how").where(F.col("how").isNotNull()).distinct()
+    return rebased(rows.drop("how", "target"), named, ["__k"]).drop("__k", "target")

@@ -11,10 +11,11 @@ from cairnframe.functions.paths import compare_path, is_noise, prefix, trimmed,
 from cairnframe.functions.values import known_hash
 
 
-def side(entries: DataFrame, keys: list[str], p: str = "", ignore_noise: bool = False, once: bool = True) -> DataFrame:
+def side(entries: DataFrame, keys: list[str], p: str = "", ignore_noise: bool = False, once: bool = True, cmp: bool = True) -> DataFrame:
     """(keys, rel_path, cmp, size, sha256): the rows of one side under a prefix, trimmed, each once.
 
-    once=False leaves repeated rows to an operator that groups by path anyway, which saves a shuffle.
+    once=False leaves repeated rows to an operator that groups by path anyway, which saves a shuffle. cmp=False leaves
+    out the composed path, which comparisons by content don't need.
 
     Filters see the untrimmed path. cmp is trimmed by the length of the prefix's composed form. Hashes are known ones.
     """
@@ -25,7 +26,7 @@ def side(entries: DataFrame, keys: list[str], p: str = "", ignore_noise: bool =
     rows = rows.select(
         *keys,
         trimmed(F.col("rel_path"), p).alias("rel_path"),
-        trimmed(compare_path(entries), unicodedata.normalize("NFC", p)).alias("cmp"),
+        *([trimmed(compare_path(entries), unicodedata.normalize("NFC", p)).alias("cmp")] if cmp else []),
         "size",
         known_hash("sha256").alias("sha256"),
     )

@@ -88,20 +88,68 @@ def compact_added(spark, d):
     return compare.compact_missing_trees(compare.only_files(rows, "right", KEYS), left, KEYS)
 
 
+def path_remap(spark, d):
+    """Two different folders compared with each other: paths meet below their prefixes, which aren't ASCII."""
+    return _by_path(spark, d, lp="Ångmåla", rp="señales").select("pair_id", "kind", "rel_path")
+
+
+def _contents(spark, d):
+    """Both sides without the composed paths, which contents don't need."""
+    entries, pairs = table(spark, d, "entries"), table(spark, d, "copy_pairs")
+    return [side(paired(entries, pairs, f"{s}_scan_id"), KEYS, cmp=False) for s in ("left", "right")]
+
+
 def content_identical(spark, d):
-    return compare.identical_by_content(*_sides(spark, d), KEYS)
+    return compare.identical_by_content(*_contents(spark, d), KEYS)
 
 
 def content_left_only(spark, d):
-    left, right = _sides(spark, d)
+    left, right = _contents(spark, d)
     return compare.content_excess(left, right, KEYS)
 
 
 def content_right_only(spark, d):
-    left, right = _sides(spark, d)
+    left, right = _contents(spark, d)
     return compare.content_excess(right, left, KEYS)
 
 
+def left_only_order(spark, d):
+    """The place of every file of the left side alone, by path, size and hash."""
+    rows = path_left_only(spark, d).withColumn("sha256", F.coalesce("sha256", F.lit("")))
+    return compare.rank_within(rows, KEYS, ["rel_path", "size", "sha256"], "place")
+
+
+def content_left_order(spark, d):
+    """Known contents first, each part by path."""
+    return compare.rank_within(content_left_only(spark, d), KEYS, ["ord", "rel_path"], "place")
+
+
+def compact_left_order(spark, d):
+    """Collapsed trees stand where the first of their files would."""
+    return compare.rank_within(compact_left(spark, d), KEYS, "sort_path", "place").select("pair_id", "rel_path", "place")
+
+
+def duplicates_order(spark, d):
+    """Every duplicate of a snapshot, the largest first."""
+    return compare.rank_within(duplicates(spark, d), ["scan_id"], [F.desc("size"), "sha256", "rel_path"], "place")
+
+
+def duplicate_groups(spark, d):
+    """(scan_id, size, sha256, files, first, place): groups of equal files, the largest first."""
+    groups = duplicates(spark, d).groupBy("scan_id", "size", "sha256").agg(F.count(F.lit(1)).alias("files"), F.min("rel_path").alias("first"))
+    return compare.rank_within(groups, ["scan_id"], [F.desc("size"), "sha256"], "place")
+
+
+def dirs_order(spark, d):
+    return compare.rank_within(dirs_list(spark, d), ["scan_id"], "dir", "place")
+
+
+def roots_order(spark, d):
+    """The list of roots by hostname and root, numbered over all."""
+    rows = roots_list(spark, d).select("machine_id", "root", "hostname", "current_scan_id")
+    return compare.rank_within(rows.withColumn("all", F.lit(0)), ["all"], ["hostname", "root", "machine_id"], "place").drop("all")
+
+
 def duplicates(spark, d):
     return browse.duplicate_files(table(spark, d, "entries"), ["scan_id"])
 
@@ -155,14 +203,100 @@ def exclude_patterns(spark, d):
     return rows.where(~paths.excluded(F.col("rel_path"), ["Thumbs.db", ".DS_Store", "@eaDir/", "tapes/"])).select("scan_id", "rel_path").distinct()
 
 
+def _current(spark, d):
+    """Entries of the current scans with machine and root, each once."""
+    roots = table(spark, d, "roots").where("current_scan_id is not null").distinct()
+    rows = table(spark, d, "entries").join(roots.withColumnRenamed("current_scan_id", "scan_id"), "scan_id")
+    return rows.select("machine_id", "root", "rel_path", "size", "mtime_ns", "state", "fingerprint", "sha256").distinct()
+
+
+def _nested(rows):
+    """The rows of every top folder as a root of its own."""
+    top = F.substring_index("rel_path", "/", 1)
+    inside = rows.where(F.contains("rel_path", F.lit("/"))).withColumn("root", F.concat("root", F.lit("/"), top))
+    return inside.withColumn("rel_path", F.substring("rel_path", F.length(top) + 2, F.length("rel_path")))
+
+
 def root_overlaps(spark, d):
-    r = table(spark, d, "roots").select("machine_id", "root").distinct()
-    both = r.join(r.withColumnRenamed("root", "other"), "machine_id").where(F.col("root") <= F.col("other"))
-    return both.withColumn("how", paths.roots_overlap(F.col("root"), F.col("other"))).where(F.col("how").isNotNull())
+    """Roots and their top folders: which is the same as, above or below which."""
+    rows = _current(spark, d)
+    all_ = table(spark, d, "roots").select("machine_id", "root").unionByName(_nested(rows).select("machine_id", "root"))
+    return reuse.root_pairs(all_)
+
+
+def reuse_overlap(spark, d):
+    """Hashes that a scan of a root can take from roots above and below it, with every top folder as a root too."""
+    rows = _current(spark, d)
+    both = rows.unionByName(_nested(rows))
+    pairs = reuse.root_pairs(both).withColumnRenamed("other", "target")
+    found = reuse.agreed(reuse.rebased(both, pairs, ["machine_id"]), ["machine_id", "target"])
+    return found.where("agree").drop("agree")
+
+
+def reuse_authority(spark, d):
+    """Every root's files against its current scan in any state and its newest failed scan where that can be trusted."""
+    rows, scans = _tree(spark, d), table(spark, d, "scans")
+    current = table(spark, d, "roots").select(F.col("current_scan_id").alias("scan_id")).dropna().distinct()
+    failed = scans.where("status = 'failed'").groupBy("machine_id", "root").agg(F.max("scan_id").alias("scan_id")).select("scan_id")
+    exact = reuse.exact_candidates(rows.join(current, "scan_id")).unionByName(reuse.exact_candidates(rows.join(failed, "scan_id"), trusted_only=True))
+    walked = rows.select("machine_id", "root", "rel_path", "size", "mtime_ns").distinct()
+    return reuse.reuse_hashes(walked, exact, keys=["machine_id", "root"])
+
+
+def _report(spark, d):
+    """Loaded report rows, each once, and the markers that a console leaves for every folder."""
+    rows = table(spark, d, "s3_report_rows").distinct()
+    folder = F.regexp_extract("object_key", "^(.*/)", 1)
+    cols = {"object_key": F.col("folder"), "usable": F.lit(1), "task_status": F.lit("succeeded")}
+    dirs = rows.select("import_id", "bucket", folder.alias("folder")).where("folder <> ''").distinct()
+    marks = dirs.select(*(cols.get(f.name, F.col(f.name) if f.name in dirs.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema))
+    return rows.unionByName(marks)
+
+
+def _objects(spark, d):
+    """Objects as an inventory has them: those of the buckets' scans without a version, those of report rows with theirs."""
+    rows = table(spark, d, "s3_report_rows").distinct()
+    scans = table(spark, d, "scans").where("machine_id = 's3'").select("scan_id", F.expr("substring(root, 6)").alias("bucket")).distinct()
+    plain = table(spark, d, "entries").join(scans, "scan_id").select(
+        "bucket", F.col("rel_path").alias("key"), F.lit("").alias("version"), "size", "mtime_ns", F.struct(F.lit(1).alias("a"), F.col("scan_id").alias("b"), F.col("mtime_ns").alias("c"), F.col("size").alias("d")).alias("ord"),
+    )
+    versions = rows.where("version_id is not null").select(
+        "bucket", F.col("object_key").alias("key"), F.col("version_id").alias("version"), (F.col("row_index") * 10).cast("long").alias("size"), F.col("import_id").alias("mtime_ns"),
+        F.struct(F.lit(0).alias("a"), F.col("import_id").alias("b"), F.col("row_index").cast("long").alias("c"), F.lit(0).cast("long").alias("d")).alias("ord"),
+    )
+    return plain.unionByName(versions)
+
+
+def s3_versions(spark, d):
+    """The size of every object by version and without one."""
+    return s3import.lookup_table(_objects(spark, d))
+
+
+def s3_inventory_lookup(spark, d):
+    """Report rows with size and mtime: by version, then without one."""
+    rows = table(spark, d, "s3_report_rows").distinct()
+    return s3import.with_metadata(rows, s3import.lookup_table(_objects(spark, d))).select("import_id", "row_index", "size", "mtime_ns", "sized")
+
+
+def _sized_report(spark, d):
+    return s3import.with_markers(s3import.with_metadata(_report(spark, d), s3import.lookup_table(_objects(spark, d))))
 
 
 def s3_counters(spark, d):
-    return s3import.counters(table(spark, d, "s3_report_rows"))
+    return s3import.counters(_sized_report(spark, d))
+
+
+def s3_buckets(spark, d):
+    """Every bucket of an import with its number of entries."""
+    return s3import.bucket_summaries(_sized_report(spark, d), ["import_id"])
+
+
+def s3_times(spark, d):
+    """Times of an inventory in the forms that occur, in nanoseconds."""
+    at = table(spark, d, "documents").where("received_at is not null")
+    forms = {"z": "yyyy-MM-dd'T'HH:mm:ss'Z'", "blank": "yyyy-MM-dd HH:mm:ss", "ms": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "offset": "yyyy-MM-dd'T'HH:mm:ss'+05:30'", "none": "dd/MM/yyyy"}
+    texts = at.select("doc_id", F.explode(F.create_map(*(x for n, f in forms.items() for x in (F.lit(n), F.date_format("received_at", f))))).alias("form", "text"))
+    return texts.select("doc_id", "form", s3import.timestamp_ns(F.col("text")).alias("ns"))
 
 
 def s3_values(spark, d):
@@ -174,29 +308,33 @@ def s3_values(spark, d):
 
 
 def s3_duplicate_keys(spark, d):
-    return s3import.duplicate_keys(table(spark, d, "s3_report_rows"), ["import_id"])
+    """Objects that an import would refuse, if every versioned object were reported without its version too."""
+    rows = table(spark, d, "s3_report_rows")
+    bare = rows.where("version_id is not null").withColumn("version_id", F.lit(None).cast("string"))
+    return s3import.duplicate_keys(rows.unionByName(bare), ["import_id"])
 
 
 def s3_entries(spark, d):
     return s3import.entries_of(table(spark, d, "s3_report_rows"))
 
 
-def s3_inventory_lookup(spark, d):
-    """Usable report rows with size and mtime from the bucket's objects, by version, then without one."""
-    rows = table(spark, d, "s3_report_rows").distinct()
-    scans = table(spark, d, "scans").where("machine_id = 's3'").select("scan_id", F.expr("substring(root, 6)").alias("bucket")).distinct()
-    objects = table(spark, d, "entries").join(F.broadcast(scans), "scan_id").select(
-        "bucket", F.col("rel_path").alias("key"), F.lit("").alias("version"), "size", "mtime_ns",
-        F.struct(F.col("scan_id"), F.col("mtime_ns"), F.col("size")).alias("ord"),
-    )
-    return s3import.with_metadata(rows, s3import.lookup_table(objects)).select("import_id", "row_index", "size", "mtime_ns")
+def consolidate_last_wins(spark, d):
+    """Every complete scan as a fragment whose name says nothing of its time; of every root the last fragment by name stays."""
+    scans = table(spark, d, "scans").where("status = 'complete'").distinct()
+    tagged = scans.select("machine_id", "root", "scan_id", F.reverse(F.col("scan_id").cast("string")).alias("fragment"))
+    return consolidate.last_wins(tagged, ["machine_id", "root"], "fragment")
 
 
-def consolidate_last_wins(spark, d):
-    """Scans as fragments in the order of their hostnames; of every root the last fragment's current scan stays."""
-    roots, scans = table(spark, d, "roots"), table(spark, d, "scans")
-    tagged = roots.join(scans.select("scan_id", "hostname").distinct(), roots["current_scan_id"] == F.col("scan_id"))
-    return consolidate.last_wins(tagged.select("machine_id", "root", "current_scan_id", "hostname"), ["machine_id", "root"], "hostname").select("machine_id", "root", "current_scan_id")
+def merge_stores(spark, d):
+    """A store in which the first complete scan of every root is current, merged into the given one: its entries by scan."""
+    t = {n: table(spark, d, n).distinct() for n in ("roots", "scans", "entries")}
+    first = t["scans"].where("status = 'complete'").groupBy("machine_id", "root").agg(F.min("scan_id").alias("current_scan_id"))
+    source = consolidate.renumber({"roots": first, "scans": t["scans"], "entries": t["entries"]}, 1_000_000_000)
+    merged = consolidate.merge(t, source)
+    files = merged["entries"].groupBy("scan_id").agg(F.count_distinct("rel_path").alias("files"))
+    scans = merged["scans"].select("scan_id", "machine_id", "root").distinct()
+    now = merged["roots"].select(F.col("current_scan_id").alias("scan_id"), F.lit(True).alias("current"))
+    return files.join(scans, "scan_id").join(now, "scan_id", "left").select("scan_id", "machine_id", "root", "files", F.coalesce("current", F.lit(False)).alias("current"))
 
 
 def delete_machine(spark, d):
@@ -226,11 +364,12 @@ def fingerprint_texts(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        path_counts, path_different, path_left_only, path_right_only, path_ignore_noise, path_prefix, path_overlap_stats,
+        path_counts, path_different, path_left_only, path_right_only, path_ignore_noise, path_prefix, path_remap, path_overlap_stats,
         compact_left, compact_right, compact_removed, compact_added, content_identical, content_left_only, content_right_only, duplicates,
-        duplicates_ignore_noise, roots_list, dirs_list, scan_summary, interrupted_scans, reuse_exact, nfc_backfill,
-        name_parts, exclude_patterns, root_overlaps, s3_counters, s3_values, s3_duplicate_keys, s3_entries,
-        s3_inventory_lookup, consolidate_last_wins, delete_machine, import_current, upsert_roots, fingerprint_texts,
+        duplicates_ignore_noise, duplicate_groups, left_only_order, content_left_order, compact_left_order, duplicates_order, dirs_order, roots_order,
+        roots_list, dirs_list, scan_summary, interrupted_scans, reuse_exact, reuse_authority, reuse_overlap, root_overlaps, nfc_backfill,
+        name_parts, exclude_patterns, s3_counters, s3_buckets, s3_values, s3_duplicate_keys, s3_entries, s3_versions, s3_inventory_lookup, s3_times,
+        consolidate_last_wins, merge_stores, delete_machine, import_current, upsert_roots, fingerprint_texts,
     )
 }
 
@@ -300,6 +439,25 @@ def _dup_sql(where: str) -> str:
     USING (scan_id, size, sha256)"""
 
 
+_CURRENT = """cur AS (SELECT DISTINCT machine_id, root, rel_path, size, mtime_ns, state, fingerprint, sha256 FROM entries
+        JOIN (SELECT DISTINCT * FROM roots) r ON r.current_scan_id = entries.scan_id),
+    nested AS (SELECT machine_id, root || '/' || split_part(rel_path, '/', 1) AS root, substr(rel_path, length(split_part(rel_path, '/', 1)) + 2) AS rel_path,
+               size, mtime_ns, state, fingerprint, sha256 FROM cur WHERE contains(rel_path, '/'))"""
+_OBJECTS = """rep AS (SELECT DISTINCT * FROM s3_report_rows), sc AS (SELECT DISTINCT scan_id, substr(root, 6) AS bucket FROM scans WHERE machine_id = 's3'),
+    plain AS (SELECT bucket, rel_path AS key, max_by({'size': size, 'mtime_ns': mtime_ns}, {'s': scan_id, 'm': mtime_ns, 'z': size}) AS v
+              FROM entries JOIN sc USING (scan_id) GROUP BY 1, 2),
+    vers AS (SELECT bucket, object_key AS key, version_id AS version, row_index, import_id FROM rep WHERE version_id IS NOT NULL),
+    lookup AS (SELECT bucket, key, '' AS version, v.size AS size, v.mtime_ns AS mtime_ns FROM plain
+        UNION ALL SELECT bucket, key, version, CAST(arg_max(row_index, {'i': import_id, 'r': row_index}) AS BIGINT) * 10, max(import_id) FROM vers GROUP BY 1, 2, 3
+        UNION ALL SELECT bucket, key, '', CAST(arg_min(row_index, {'i': import_id, 'r': row_index}) AS BIGINT) * 10, min(import_id)
+        FROM vers ANTI JOIN plain USING (bucket, key) GROUP BY 1, 2)"""
+_REPORT = """y AS (SELECT import_id, bucket, object_key, version_id, coalesce(lower(task_status), '') = 'succeeded' AS done, usable FROM rep
+        UNION ALL SELECT DISTINCT import_id, bucket, regexp_extract(object_key, '^(.*/)', 1), NULL, true, 1 FROM rep WHERE contains(object_key, '/')),
+    z AS (SELECT y.*, v.bucket IS NOT NULL OR n.bucket IS NOT NULL AS found, usable = 1 AND ends_with(object_key, '/')
+              AND coalesce(v.size, n.size, 0) = 0 AS marker FROM y
+          LEFT JOIN lookup v ON v.bucket = y.bucket AND v.key = object_key AND v.version = version_id
+          LEFT JOIN lookup n ON n.bucket = y.bucket AND n.key = object_key AND n.version = '')"""
+
 SQL = {
     "path_counts": f"WITH {_sides_sql()}, {_PATH} SELECT pair_id, kind, count(*) AS files FROM c GROUP BY 1, 2",
     "path_different": f"""WITH {_sides_sql()}, {_PATH} SELECT pair_id, rel_path, ls AS left_size, lh AS left_sha256,
@@ -345,29 +503,69 @@ SQL = {
     "exclude_patterns": """SELECT DISTINCT scan_id, rel_path FROM entries
         WHERE list_last(string_split(rel_path, '/')) NOT IN ('Thumbs.db', '.DS_Store')
         AND NOT contains('/' || rel_path, '/@eaDir/') AND NOT contains('/' || rel_path, '/tapes/')""",
-    "root_overlaps": """WITH r AS (SELECT DISTINCT machine_id, root FROM roots)
-        SELECT machine_id, a.root, b.root AS other, CASE WHEN a.root = b.root THEN 'same' ELSE 'ancestor' END AS how
-        FROM r a JOIN r b USING (machine_id) WHERE a.root <= b.root
-        AND (a.root = b.root OR starts_with(b.root, rtrim(a.root, '/') || '/'))""",
-    "s3_counters": """SELECT import_id, count(*) AS rows_total, count(*) FILTER (lower(task_status) = 'succeeded') AS rows_succeeded,
-        count(*) FILTER (usable = 1) AS rows_usable, count(*) FILTER (coalesce(lower(task_status), '') <> 'succeeded') AS rows_failed,
-        count(DISTINCT bucket) AS buckets FROM (SELECT DISTINCT * FROM s3_report_rows) GROUP BY 1""",
+    "root_overlaps": f"""WITH {_CURRENT}, r AS (SELECT machine_id, root FROM roots UNION SELECT machine_id, root FROM nested)
+        SELECT machine_id, a.root, b.root AS other, CASE WHEN a.root = b.root THEN 'same' WHEN starts_with(b.root, a.root || '/')
+        THEN 'ancestor' ELSE 'descendant' END AS how FROM r a JOIN r b USING (machine_id)
+        WHERE a.root = b.root OR starts_with(b.root, a.root || '/') OR starts_with(a.root, b.root || '/')""",
+    "reuse_overlap": f"""WITH {_CURRENT}, b AS (SELECT * FROM cur UNION SELECT * FROM nested), r AS (SELECT DISTINCT machine_id, root AS target FROM b),
+        x AS (SELECT machine_id, target, substr(root || '/' || rel_path, length(target) + 2) AS rel_path, size, mtime_ns, fingerprint, sha256
+              FROM b JOIN r USING (machine_id) WHERE root <> target AND starts_with(root || '/' || rel_path, target || '/')
+              AND (starts_with(root, target || '/') OR starts_with(target, root || '/'))
+              AND state IN ('ok', 'reused') AND fingerprint <> '' AND sha256 <> '')
+        SELECT machine_id, target, rel_path, size, mtime_ns, min(fingerprint) AS fingerprint, min(sha256) AS sha256 FROM x
+        GROUP BY 1, 2, 3, 4, 5 HAVING count(DISTINCT (fingerprint, sha256)) = 1""",
+    "reuse_authority": """WITH e AS (SELECT DISTINCT scan_id, machine_id, root, rel_path, size, mtime_ns, state, coalesce(fingerprint, '') AS f,
+            coalesce(sha256, '') AS h FROM entries JOIN (SELECT DISTINCT scan_id, machine_id, root FROM scans) USING (scan_id)),
+        x AS (SELECT * FROM e WHERE scan_id IN (SELECT current_scan_id FROM roots) UNION ALL SELECT * FROM e WHERE state IN ('ok', 'reused')
+              AND scan_id IN (SELECT max(scan_id) FROM scans WHERE status = 'failed' GROUP BY machine_id, root)),
+        a AS (SELECT machine_id, root, rel_path, size, mtime_ns, min(f) AS f, min(h) AS h FROM x GROUP BY ALL HAVING count(DISTINCT (f, h)) = 1),
+        w AS (SELECT DISTINCT machine_id, root, rel_path, size, mtime_ns FROM e)
+        SELECT w.*, f IS NOT NULL AS reused, nullif(f, '') AS fingerprint, nullif(h, '') AS sha256 FROM w
+        LEFT JOIN a USING (machine_id, root, rel_path, size, mtime_ns)""",
+    "path_remap": f"WITH {_sides_sql(lp='Ångmåla/', rp='señales/')}, {_PATH} SELECT pair_id, kind, rel_path FROM c",
+    "left_only_order": f"""WITH {_sides_sql()}, {_PATH} SELECT pair_id, rel_path, ls AS size, coalesce(lh, '') AS sha256,
+        row_number() OVER (PARTITION BY pair_id ORDER BY rel_path, ls, coalesce(lh, '')) AS place FROM c WHERE kind = 'left_only'""",
+    "content_left_order": f"""SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY ord, rel_path) AS place FROM ({_excess_sql("l", "r")})""",
+    "compact_left_order": f"SELECT pair_id, rel_path, row_number() OVER (PARTITION BY pair_id ORDER BY sort_path) AS place FROM ({_compact_sql('left')})",
+    "duplicates_order": f"""SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY size DESC, sha256, rel_path) AS place FROM ({_dup_sql("true")})""",
+    "duplicate_groups": f"""SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY size DESC, sha256) AS place FROM
+        (SELECT scan_id, size, sha256, count(*) AS files, min(rel_path) AS first FROM ({_dup_sql("true")}) GROUP BY 1, 2, 3)""",
+    "dirs_order": f"""SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY dir) AS place FROM
+        (SELECT DISTINCT scan_id, unnest({_ANC.format('rel_path')}) AS dir FROM entries)""",
+    "roots_order": """SELECT DISTINCT machine_id, root, hostname, current_scan_id, dense_rank() OVER (ORDER BY hostname, root, machine_id) AS place
+        FROM (SELECT DISTINCT r.machine_id, r.root, s.hostname, r.current_scan_id FROM roots r JOIN scans s ON s.scan_id = r.current_scan_id)""",
+    "s3_versions": f"WITH {_OBJECTS} SELECT * FROM lookup",
+    "s3_inventory_lookup": f"""WITH {_OBJECTS} SELECT r.import_id, r.row_index, coalesce(v.size, n.size) AS size, coalesce(v.mtime_ns, n.mtime_ns) AS mtime_ns,
+        v.bucket IS NOT NULL OR n.bucket IS NOT NULL AS sized FROM (SELECT DISTINCT * FROM s3_report_rows) r
+        LEFT JOIN lookup v ON v.bucket = r.bucket AND v.key = r.object_key AND v.version = r.version_id
+        LEFT JOIN lookup n ON n.bucket = r.bucket AND n.key = r.object_key AND n.version = ''""",
+    "s3_counters": f"""WITH {_OBJECTS}, {_REPORT}
+        SELECT import_id, count(*) AS rows_total, count(*) FILTER (done) AS rows_succeeded, count(*) FILTER (usable = 1 AND NOT marker) AS rows_usable,
+            count(*) FILTER (NOT done) AS rows_failed, count(*) FILTER (done AND usable = 0) AS rows_unsupported,
+            count(*) FILTER (usable = 1 AND found AND NOT marker) AS rows_with_size, count(*) FILTER (marker) AS rows_folder_markers,
+            count(DISTINCT bucket) AS buckets FROM z GROUP BY 1""",
+    "s3_buckets": f"""WITH {_OBJECTS}, {_REPORT} SELECT import_id, bucket, 's3://' || bucket AS root, count(*) FILTER (usable = 1 AND NOT marker) AS entries
+        FROM z GROUP BY 1, 2""",
+    "s3_times": """WITH d AS (SELECT doc_id, received_at AS t FROM documents WHERE received_at IS NOT NULL)
+        SELECT doc_id, 'z' AS form, epoch_ns(date_trunc('second', t)) AS ns FROM d UNION ALL SELECT doc_id, 'blank', epoch_ns(date_trunc('second', t)) FROM d
+        UNION ALL SELECT doc_id, 'ms', epoch_ns(date_trunc('millisecond', t)) FROM d UNION ALL SELECT doc_id, 'none', 0 FROM d
+        UNION ALL SELECT doc_id, 'offset', epoch_ns(date_trunc('second', t)) - 19800000000000 FROM d""",
+    "merge_stores": """WITH f AS (SELECT machine_id, root, min(scan_id) AS s FROM scans WHERE status = 'complete' GROUP BY 1, 2),
+        n AS (SELECT scan_id, count(DISTINCT rel_path) AS files FROM entries GROUP BY 1),
+        old AS (SELECT DISTINCT scan_id, machine_id, root FROM scans ANTI JOIN f USING (machine_id, root))
+        SELECT scan_id + 1000000000 AS scan_id, machine_id, root, files, true AS current FROM f JOIN n ON n.scan_id = f.s
+        UNION ALL SELECT scan_id, machine_id, root, files, EXISTS (SELECT 1 FROM roots r WHERE r.current_scan_id = old.scan_id) FROM old JOIN n USING (scan_id)""",
     "s3_values": """SELECT import_id, row_index, coalesce(url_decode(replace(object_key, '+', '%20')), object_key) AS key,
         CASE WHEN lower(trim(version_id)) NOT IN ('', 'null') THEN trim(version_id) END AS version,
         lower(hex(from_base64(checksum_base64))) AS hex64 FROM (SELECT DISTINCT * FROM s3_report_rows)""",
-    "s3_duplicate_keys": """SELECT import_id, bucket, object_key, count(*) AS copies FROM (SELECT DISTINCT * FROM s3_report_rows)
+    "s3_duplicate_keys": """SELECT import_id, bucket, object_key, count(*) AS copies FROM (SELECT * FROM s3_report_rows
+        UNION SELECT * REPLACE (NULL AS version_id) FROM s3_report_rows WHERE version_id IS NOT NULL)
         WHERE usable = 1 GROUP BY 1, 2, 3 HAVING count(*) > 1""",
     "s3_entries": """SELECT DISTINCT import_id, bucket, object_key AS rel_path, list_last(string_split(object_key, '/')) AS name,
         lower(regexp_extract(list_last(string_split(object_key, '/')), '(\\.[^.]*)$', 1)) AS ext, lower(checksum_hex) AS sha256
         FROM s3_report_rows WHERE usable = 1""",
-    "s3_inventory_lookup": """WITH o AS (SELECT substr(root, 6) AS bucket, rel_path AS key,
-        max_by({'size': size, 'mtime_ns': mtime_ns}, {'s': scan_id, 'm': mtime_ns, 'z': size}) AS v
-        FROM entries JOIN (SELECT DISTINCT scan_id, root FROM scans WHERE machine_id = 's3') USING (scan_id) GROUP BY 1, 2)
-        SELECT import_id, row_index, v.size AS size, v.mtime_ns AS mtime_ns FROM (SELECT DISTINCT * FROM s3_report_rows) r
-        LEFT JOIN o ON o.bucket = r.bucket AND o.key = r.object_key""",
-    "consolidate_last_wins": """SELECT machine_id, root, arg_max(current_scan_id, (hostname, current_scan_id)) AS current_scan_id
-        FROM (SELECT r.machine_id, r.root, r.current_scan_id, s.hostname FROM roots r
-              JOIN (SELECT DISTINCT scan_id, hostname FROM scans) s ON s.scan_id = r.current_scan_id) GROUP BY 1, 2""",
+    "consolidate_last_wins": """SELECT machine_id, root, arg_max(scan_id, reverse(scan_id::VARCHAR)) AS scan_id, max(reverse(scan_id::VARCHAR)) AS fragment
+        FROM scans WHERE status = 'complete' GROUP BY 1, 2""",
     "delete_machine": """SELECT scan_id, count(*) AS rows FROM entries WHERE scan_id NOT IN
         (SELECT scan_id FROM scans WHERE machine_id = 's3') GROUP BY 1""",
     "import_current": """SELECT scan_id, count(DISTINCT rel_path) AS files FROM entries WHERE scan_id IN
