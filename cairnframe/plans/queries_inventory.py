@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from cairnframe.functions import paths
@@ -88,9 +90,20 @@ def compact_added(spark, d):
     return compare.compact_missing_trees(compare.only_files(rows, "right", KEYS), left, KEYS)
 
 
+#: Folders compared with others: of other names, in other scripts, and spelled with combining accents.
+REMAPS = (
+    ("Ångmåla", "señales"), ("albums/Música 27/set-0498", "архив 11/Música/set-0019"),
+    ("señales", unicodedata.normalize("NFD", "señales")), (unicodedata.normalize("NFD", "señales"), "señales"),
+)
+
+
 def path_remap(spark, d):
-    """Two different folders compared with each other: paths meet below their prefixes, which aren't ASCII."""
-    return _by_path(spark, d, lp="Ångmåla", rp="señales").select("pair_id", "kind", "rel_path")
+    """Different folders compared with each other: paths meet below their prefixes."""
+    out = None
+    for i, (lp, rp) in enumerate(REMAPS):
+        one = _by_path(spark, d, lp=lp, rp=rp).select(F.lit(i).alias("remap"), "pair_id", "kind", "rel_path")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def _contents(spark, d):
@@ -386,7 +399,7 @@ _STEPS = tuple(f"SELECT later AS pair_id, {c} AS scan_id FROM ({_STEP}) WHERE be
 def _sides_sql(where: str = "true", lp: str = "", rp: str = "", pairs: tuple[str, str] = _PAIRS) -> str:
     def one(source: str, p: str) -> str:
         return f"""SELECT DISTINCT pair_id, substr(rel_path, {len(p) + 1}) AS rel_path,
-            substr(coalesce(nullif(rel_path_norm, ''), nfc_normalize(rel_path)), {len(p) + 1}) AS cmp, size,
+            substr(coalesce(nullif(rel_path_norm, ''), nfc_normalize(rel_path)), {len(unicodedata.normalize("NFC", p)) + 1}) AS cmp, size,
             lower(nullif(sha256, '')) AS sha FROM entries JOIN ({source}) USING (scan_id)
             WHERE starts_with(rel_path, '{p}') AND {where}"""
 
@@ -522,7 +535,9 @@ SQL = {
         w AS (SELECT DISTINCT machine_id, root, rel_path, size, mtime_ns FROM e)
         SELECT w.*, f IS NOT NULL AS reused, nullif(f, '') AS fingerprint, nullif(h, '') AS sha256 FROM w
         LEFT JOIN a USING (machine_id, root, rel_path, size, mtime_ns)""",
-    "path_remap": f"WITH {_sides_sql(lp='Ångmåla/', rp='señales/')}, {_PATH} SELECT pair_id, kind, rel_path FROM c",
+    "path_remap": " UNION ALL ".join(
+        f"SELECT * FROM (WITH {_sides_sql(lp=lp + '/', rp=rp + '/')}, {_PATH} SELECT {i} AS remap, pair_id, kind, rel_path FROM c)" for i, (lp, rp) in enumerate(REMAPS)
+    ),
     "left_only_order": f"""WITH {_sides_sql()}, {_PATH} SELECT pair_id, rel_path, ls AS size, coalesce(lh, '') AS sha256,
         row_number() OVER (PARTITION BY pair_id ORDER BY rel_path, ls, coalesce(lh, '')) AS place FROM c WHERE kind = 'left_only'""",
     "content_left_order": f"""SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY ord, rel_path) AS place FROM ({_excess_sql("l", "r")})""",
