@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -13,6 +15,13 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+def _temporary() -> str:
+    """A folder of the driver that goes when it ends."""
+    folder = tempfile.mkdtemp(prefix="cairnframe-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers of the session, once, so that they import it wherever they run.
 
@@ -24,7 +33,7 @@ def ship_package(spark: SparkSession) -> None:
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     if package.endswith(".zip" + os.sep + "cairnframe"):
         return
-    archive = os.path.join(tempfile.mkdtemp(), "cairnframe.zip")
+    archive = os.path.join(_temporary(), "cairnframe.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
         for folder, _, files in os.walk(package):
             for name in files:
@@ -44,12 +53,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not shared:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = os.path.join(tempfile.gettempdir(), f"cairnframe-{os.getpid()}")
+        shared = _temporary()
     sc.setCheckpointDir(shared)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that later reads survive lost executors."""
+    """Materialise df in the shared checkpoint folder, so that later reads survive lost executors.
+
+    The files go with the frame if the session cleans checkpoints (spark.cleaner.referenceTracking.cleanCheckpoints); else
+    they stay until the folder is cleared, in local runs until the driver ends.
+    """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -230,6 +230,7 @@ class S3Import:
     buckets: list[str]
     summary: dict[str, int]
     report_schema: str | None
+    per_bucket: list[dict]  # bucket, root, entries, in the order of root
 
 
 def import_report(spark: SparkSession, manifest: str, inventory: str | None = None) -> S3Import:
@@ -249,7 +250,8 @@ def import_report(spark: SparkSession, manifest: str, inventory: str | None = No
     size = F.coalesce("size", F.lit(0))
     rows = cut(with_markers(rows))
     s = rows.agg(*_counts()).first().asDict()
-    buckets = sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())
+    per_bucket = [r.asDict() for r in bucket_summaries(rows, []).collect()]  # a row for each bucket
+    buckets = sorted(r["bucket"] or "" for r in per_bucket)
     if not all(b and b.strip() for b in buckets):
         raise ValueError("a report row has no bucket")
     if (twice := duplicate_keys(rows, []).first()) is not None:
@@ -261,6 +263,6 @@ def import_report(spark: SparkSession, manifest: str, inventory: str | None = No
         F.lit(None).cast("string").alias("fingerprint"), F.col("checksum_hex").alias("sha256"), F.lit("ok").alias("state"),
         F.lit(None).cast("string").alias("err"),
     )
-    return S3Import(rows.drop("size", "mtime_ns", "sized", "marker"), entries, buckets, s | {"buckets": len(buckets)}, schema)
+    return S3Import(rows.drop("size", "mtime_ns", "sized", "marker"), entries, buckets, s | {"buckets": len(buckets)}, schema, per_bucket)
 
 

@@ -205,3 +205,28 @@ def test_scalable_rank(spark):
     for v in by.values():
         v.sort()
         assert [x for x, _ in v] == list(range(1, len(v) + 1)) and [o for _, o in v] == sorted(o for _, o in v)
+
+
+def test_ranks_with_nulls_ties_and_several_orders(spark):
+    from cairnframe.operators.compare import rank_within
+
+    rng = random.Random(2)
+    data = [(rng.choice([1, 2, None]), rng.choice(["a", "b", None]), rng.choice([None, 1, 2, 3]), i) for i in range(400)]
+    df = spark.createDataFrame(data, "g int, p string, n long, i int").repartition(5)
+    got = {r["i"]: r["place"] for r in rank_within(df, ["g"], [F.desc("n"), "p", "i"], "place").collect()}
+    key = lambda r: (r[2] is None, -(r[2] or 0), r[1] is not None, r[1] or "", r[3])
+    want = {}
+    for g in (1, 2, None):
+        want |= {r[3]: k for k, r in enumerate(sorted((r for r in data if r[0] == g), key=key), 1)}
+    assert got == want
+    assert rank_within(df.limit(0), ["g"], "p").count() == 0
+
+
+def test_roots_that_overlap(spark, rows):
+    from cairnframe.operators.reuse import root_pairs
+
+    data = [("m", "/data"), ("m", "/data/raw"), ("m", "/data/raw-archive"), ("m", "/data/raw/"), ("n", "/data"), ("m", "/"), ("m", None), (None, "/x"), ("m", "/data")]
+    got = {tuple(r)[1:] for r in root_pairs(spark.createDataFrame(data, "machine_id string, root string")).collect() if r[0] == "m" and r[1] != r[2]}
+    down = {("/", "/data"), ("/", "/data/raw"), ("/", "/data/raw/"), ("/", "/data/raw-archive"), ("/data", "/data/raw"), ("/data", "/data/raw/"), ("/data", "/data/raw-archive")}
+    want = {(a, b, "ancestor") for a, b in down} | {(b, a, "descendant") for a, b in down} | {("/data/raw", "/data/raw/", "same"), ("/data/raw/", "/data/raw", "same")}
+    assert got == want
