@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a narrow table (a few longs and short strings) that may be broadcast: about 50 MB at most.
@@ -67,6 +67,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def once(df: DataFrame, *cols: Column | str) -> DataFrame:
+    """df.select(*cols), computed once: later filters and columns don't repeat the expressions, as nothing is pushed
+    through a generator. For expressions that cost more than a copy of the row."""
+    return df.select(F.inline(F.array(F.struct(*cols))))
+
+
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only if df really has at most max_rows rows; beyond, the join shuffles.
 

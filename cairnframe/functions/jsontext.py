@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from cairnframe.functions.exec import once
+
 
 def with_strict(df: DataFrame, text: Column, out: str) -> DataFrame:
     """df with the variant of the one JSON object that a text is; NULL for anything else, also for objects in which a name
@@ -22,7 +24,8 @@ def with_strict(df: DataFrame, text: Column, out: str) -> DataFrame:
     df = df.withColumn("__t", object_).withColumn("__h", F.hex(F.xxhash64("__t")))
     df = df.withColumn("__a", F.try_parse_json(F.concat(F.lit("["), F.col("__t"), F.lit(',"'), F.col("__h"), F.lit('"]'))))
     ended = F.try_variant_get("__a", "$[1]", "string") == F.col("__h")
-    return df.withColumn(out, F.when(ended, F.try_variant_get("__a", "$[0]", "variant"))).drop("__t", "__h", "__a")
+    kept = [c for c in df.columns if c not in ("__t", "__h", "__a", out)]
+    return once(df, *kept, F.when(ended, F.try_variant_get("__a", "$[0]", "variant")).alias(out))
 
 
 def _refuse(name: str) -> None:
@@ -51,7 +54,8 @@ def with_object(df: DataFrame, text: str, out: str) -> DataFrame:
     df = with_strict(df, F.col(text), "__m")
     df = df.withColumn("__again", _last_names(F.when(F.col("__m").isNull(), F.col(text))))
     df = with_strict(df, F.col("__again"), "__n")
-    return df.withColumn(out, F.coalesce("__m", "__n")).drop("__m", "__again", "__n")
+    kept = [c for c in df.columns if c not in ("__m", "__again", "__n", out)]
+    return once(df, *kept, F.coalesce("__m", "__n").alias(out))
 
 
 def kind_of(x: Column, schema: Column | None = None) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from cairnframe.functions.exec import once
 from cairnframe.functions.jsontext import with_strict
 
 #: The columns of a checksum report.
@@ -118,18 +119,19 @@ def _strict(texts: pd.Series) -> pd.Series:
 
 def judged(lines: DataFrame, keep: list[str]) -> DataFrame:
     """(keep, reason, f0 .. f6) of the records in column raw, row by row, as read_lines has it; for streams too."""
-    rows = lines.select(*keep, without_end(F.col("raw")).alias("r"))
+    rows = once(lines, *keep, without_end(F.col("raw")).alias("r"))
     commas = F.length("r") - F.length(F.replace("r", F.lit(","), F.lit("")))
     # the reader takes any control character before a field for a blank
     odd = (F.col("r").rlike(r"[\x00-\x08\x0a-\x1f]") & F.col("r").rlike(r"(?:\A|,)[ \t]*+[\x00-\x08\x0a-\x1f]")) | (commas > MOST_COLUMNS)
-    rows = rows.withColumns({"sound": sound_quotes(F.col("r")), "odd": odd})
+    rows = once(rows, *keep, "r", sound_quotes(F.col("r")).alias("sound"), odd.alias("odd"))
     read = F.from_csv(F.when(F.col("sound") & ~F.col("odd"), F.col("r")), _SCHEMA + ", broken string", _READER)
     by_pattern = F.when(F.col("sound") & F.col("odd"), split_record(F.col("r")))
-    rows = rows.withColumns({"p": read, "q": by_pattern})
+    rows = once(rows, *keep, "r", "sound", "odd", read.alias("p"), by_pattern.alias("q"))
     whole = F.when(F.col("odd"), F.size("q") == len(COLUMNS)).otherwise(F.col("p.broken").isNull() & (F.col("r") != ""))
     whole = F.coalesce(F.col("sound") & whole, F.lit(False))
     field = lambda i: F.coalesce(F.when(F.col("odd"), F.get("q", F.lit(i))).otherwise(F.col(f"p.f{i}")), F.lit(""))
-    rows = rows.select(*keep, "sound", whole.alias("whole"), *(F.when(whole, field(i)).alias(f) for i, f in enumerate(FIELDS)))
+    rows = rows.withColumn("whole", whole)
+    rows = once(rows, *keep, "sound", "whole", *(F.when(F.col("whole"), field(i)).alias(f) for i, f in enumerate(FIELDS)))
     head = F.lit(True)
     for i in (0, 1, 6):
         head &= F.lower(FIELDS[i]) == COLUMNS[i].lower()
@@ -137,9 +139,9 @@ def judged(lines: DataFrame, keep: list[str]) -> DataFrame:
     rows = rows.withColumn("reason", F.when(~F.col("sound"), "quoting").when(~F.col("whole"), "column_count").when(head, "header").when(~status.isin("succeeded", "failed"), "task_status"))
     rows = rows.withColumn("__json", F.when(F.col("reason").isNull() & (status == "succeeded"), F.col("f6")))
     rows = with_strict(rows, F.col("__json"), "__m")
-    rows = rows.withColumn("doubt", F.col("__json").isNotNull() & F.col("__m").isNull())
+    rows = once(rows, *keep, *FIELDS, "reason", "__json", (F.col("__json").isNotNull() & F.col("__m").isNull()).alias("doubt"))
     # what the JVM's parser refuses is looked at again: it also refuses repeated names and deep nesting
-    refused = ~_strict(F.when(F.col("doubt"), F.col("f6")))
+    refused = ~_strict(F.when(F.col("doubt"), F.col("__json")))
     return rows.select(*keep, F.when(F.col("doubt") & refused, "result_message").otherwise(F.col("reason")).alias("reason"), *FIELDS)
 
 
