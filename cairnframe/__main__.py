@@ -1,6 +1,6 @@
 """Command line: python -m cairnframe COMMAND ... (in a Spark session of its own, or under spark-submit).
 
-scan, import-s3 and consolidate change stores; roots, dirs, duplicates, summary, interrupted and compare print JSON.
+scan, import-s3, import-database and consolidate change stores; roots, dirs, duplicates, summary, interrupted and compare print JSON.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ def parser() -> argparse.ArgumentParser:
     c = sub.add_parser("import-s3", help="import a checksum report")
     c.add_argument("manifest")
     c.add_argument("--inventory", help="manifest of the object inventory that has the sizes")
+    c = sub.add_parser("import-database", help="take over the current scans of an inventory in a SQLite file")
+    c.add_argument("file")
     sub.add_parser("consolidate", help="merge all stores of a folder into one")
     sub.add_parser("roots")
     sub.add_parser("interrupted", help="newest failed scan of every root and its rows that can be reused")
@@ -59,6 +61,8 @@ def answer(spark: SparkSession, a: argparse.Namespace) -> object:
         return Browser(store).summary(at["machine_id"], at["root"])
     if a.command == "import-s3":
         return store.import_s3(a.manifest, a.inventory)
+    if a.command == "import-database":
+        return {"machines": store.import_database(a.file, *local_identity(store.path))}
     if a.command == "interrupted":
         from cairnframe.operators.browse import interrupted_scans
 

@@ -195,26 +195,43 @@ class Store:
         sorted_.write.mode("append").partitionBy("scan_id").parquet(os.path.join(self.path, "entries"))
 
     def import_from(self, other: "Store") -> list[str]:
-        """Take over the other store's current scans under new ids; equal (machine, root) are replaced. Its machine ids.
+        """Take over the other store's current scans under new ids; equal (machine, root) are replaced. Its machine ids."""
+        theirs = other.manifest()
+        live = {(r["machine_id"], r["root"], r["current_scan_id"]) for r in theirs["roots"]}
+        taken = [s for s in theirs["scans"] if (s["machine_id"], s["root"], s["scan_id"]) in live]
+        if taken:
+            self._take(taken, other._parquet("entries", "scan_id", taken, ENTRIES))
+        return sorted({m for m, _, _ in live}) if taken else []
+
+    def import_database(self, path: str, machine_id: str, hostname: str) -> list[str]:
+        """Take over the current scans of an inventory in a SQLite file, also one of an older layout; its machine ids.
 
-        One job stages all entries, one commit shows them.
+        machine_id and hostname are those of scans that name none. ValueError for a file that is no inventory.
         """
+        from cairnframe.schemas import is_compatible
+        from cairnframe.sources.sqlite import columns_of, read_sqlite, rows_of
+
+        if not is_compatible({t: set(c) for t, c in columns_of(path).items()}):
+            raise ValueError(f"{path} holds no inventory")
+        own = {"machine_id": machine_id, "hostname": hostname}
+        live = {(r.get("machine_id", machine_id), r["root"], r["current_scan_id"]) for r in rows_of(path, "roots")}
+        scans = [dict.fromkeys(SCANS.names) | own | r for r in rows_of(path, "scans")]
+        taken = [{k: s[k] for k in SCANS.names} for s in scans if (s["machine_id"], s["root"], s["scan_id"]) in live]
+        if taken:
+            rows = read_sqlite(self.spark, path, "entries", ENTRIES)
+            self._take(taken, upgrade(rows, "entries"))
+        return sorted({s["machine_id"] for s in taken})
+
+    def _take(self, taken: list[dict], rows: DataFrame) -> None:
+        """One job stages the entries of all scans under new ids, one commit shows them."""
         from cairnframe.functions.paths import backfill
 
-        theirs = other.manifest()
-        live = {(r["machine_id"], r["root"], r["current_scan_id"]) for r in theirs["roots"]}
-        taken = [s for s in theirs["scans"] if (s["machine_id"], s["root"], s["scan_id"]) in live]
-        if not taken:
-            return []
         first = self.commit(lambda m: m.update(next_scan_id=m["next_scan_id"] + len(taken)) or m["next_scan_id"] - len(taken))
         new = {s["scan_id"]: first + i for i, s in enumerate(taken)}
         ids = self.spark.createDataFrame(list(new.items()), "old long, scan_id long")
-        rows = other._parquet("entries", "scan_id", taken, ENTRIES).withColumnRenamed("scan_id", "old")
-        self._write_scans(backfill(rows), ids, "old")
-
+        self._write_scans(backfill(rows.withColumnRenamed("scan_id", "old")), ids, "old")
         self.commit(lambda m: self._replace(m, [s | {"scan_id": new[s["scan_id"]]} for s in taken]))
         self.vacuum()
-        return sorted({m for m, _, _ in live})
 
     def _replace(self, m: dict, scans: list[dict]) -> None:
         """Put complete scans in place of all others of their roots."""

@@ -226,3 +226,50 @@ def test_delete_machine_and_names(spark, tmp_path):
     with pytest.raises(ValueError):
         local_identity(str(tmp_path / "id"))
     assert len(new_store_name()) >= 10 and new_store_name().isalnum()
+
+
+def database(path, scans, entries, old=False):
+    import sqlite3
+
+    c = sqlite3.connect(path)
+    who = "" if old else "machine_id TEXT, hostname TEXT, "
+    c.execute(f"CREATE TABLE scans (scan_id INTEGER PRIMARY KEY, {who}root TEXT, started_at INTEGER, finished_at INTEGER, status TEXT)")
+    c.execute(f"CREATE TABLE roots ({'' if old else 'machine_id TEXT, '}root TEXT, current_scan_id INTEGER)")
+    c.execute("CREATE TABLE entries (scan_id INTEGER, rel_path TEXT, name TEXT, ext TEXT, size INTEGER, mtime_ns INTEGER, sha256 TEXT, PRIMARY KEY (scan_id, rel_path))")
+    for n, machine, root, current in scans:
+        c.execute(f"INSERT INTO scans VALUES (?, {'' if old else '?, ?, '}?, 1, 2, 'complete')", (n, *(() if old else (machine, "h")), root))
+        if current:
+            c.execute(f"INSERT INTO roots VALUES ({'' if old else '?, '}?, ?)", (*(() if old else (machine,)), root, n))
+    c.executemany("INSERT INTO entries VALUES (?, ?, 'n', '', ?, 0, 'AB')", entries)
+    c.commit()
+    c.close()
+
+
+def test_a_database_is_taken_over(spark, tmp_path):
+    path, decomposed = str(tmp_path / "a b.db"), "re\u0301union"
+    many = [(1, f"f{i}", i) for i in range(25_000)]
+    database(path, [(1, "m1", "/a", True), (2, "m1", "/b", False), (3, "m2", "/a", True)], [*many, (2, "x", 1), (3, decomposed, 7)])
+    store = Store(spark, str(tmp_path / "store"))
+    fragment(spark, str(tmp_path / "store"), "m2", "/a", 1)
+    assert store.import_database(path, "me", "here") == ["m1", "m2"]
+    current = {(r["machine_id"], r["root"]): r["current_scan_id"] for r in store.manifest()["roots"]}
+    assert set(current) == {("m1", "/a"), ("m2", "/a")}
+    assert store.entries(current["m1", "/a"]).count() == 25_000
+    (e,) = store.entries(current["m2", "/a"]).collect()
+    assert (e["rel_path"], e["rel_path_norm"], e["size"], e["sha256"]) == (decomposed, "r\u00e9union", 7, "AB")
+
+
+def test_an_older_database_and_none(spark, tmp_path):
+    import sqlite3
+
+    database(str(tmp_path / "old.db"), [(5, None, "/a", True)], [(5, "x", 1)], old=True)
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.import_database(str(tmp_path / "old.db"), "me", "here") == ["me"]
+    (s,) = store.manifest()["scans"]
+    assert (s["machine_id"], s["hostname"], s["root"], s["status"]) == ("me", "here", "/a", "complete")
+    assert [r["rel_path"] for r in store.entries(s["scan_id"]).collect()] == ["x"]
+    sqlite3.connect(tmp_path / "none.db").close()
+    (tmp_path / "text.db").write_text("no database at all" * 100)
+    for name in ("none.db", "text.db"):
+        with pytest.raises((ValueError, OSError, sqlite3.DatabaseError)):
+            store.import_database(str(tmp_path / name), "me", "here")
