@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a narrow table (a few longs and short strings) that may be broadcast: about 50 MB at most.
 BROADCAST_ROWS = 500_000
+#: Characters, as JSON, of a table of longer texts that may be broadcast.
+BROADCAST_BYTES = 64 << 20
 
 
 def _temporary() -> str:
@@ -73,13 +75,16 @@ def once(df: DataFrame, *cols: Column | str) -> DataFrame:
     return df.select(F.inline(F.array(F.struct(*cols))))
 
 
-def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS, texts: bool = False) -> DataFrame:
     """Hint a broadcast only if df really has at most max_rows rows; beyond, the join shuffles.
 
-    df is counted, so it should be cheap to compute or already cut.
+    texts says that its columns have no bound of their own (paths, names, maps): then its rows also have to have at most
+    BROADCAST_BYTES as JSON. df is counted, so it should be cheap to compute or already cut.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    few = df.limit(max_rows + 1)
+    size = F.sum(F.length(F.to_json(F.struct("*")))) if texts else F.lit(0)
+    n, size = few.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and size <= BROADCAST_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -85,7 +85,7 @@ def compact_missing_trees(only: DataFrame, opposite: DataFrame, keys: list[str])
     dirs = cut(at.groupBy(*keys, "dir", "cdir").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= 2))
     nodes = opposite.select(*keys, F.explode(F.array_append(ancestors(F.col("cmp")), F.col("cmp"))).alias("cdir"))
     # of the opposite side's names only those of such directories are shuffled, if these are few enough to go along
-    nodes = nodes.join(sized(dirs.select(*keys, "cdir").distinct()), [*keys, "cdir"], "left_semi").distinct()
+    nodes = nodes.join(sized(dirs.select(*keys, "cdir").distinct(), texts=True), [*keys, "cdir"], "left_semi").distinct()
     free = dirs.join(nodes, [*keys, "cdir"], "left_anti").select(*keys, "dir", "n")
     top = (
         at.join(free, [*keys, "dir"])

@@ -31,7 +31,7 @@ KINDS = ("array", "boolean", "decimal number", "integer", "object", "string")
 #: Share of a field's values that have to look like a message's, so that a name that says nothing means the message;
 #: of codes and statuses all have to.
 MESSAGES = 0.3
-#: Files whose schemas may be broadcast: a kilobyte each.
+#: Files whose schemas may be broadcast, if their texts aren't too long.
 BROADCAST_FILES = 50_000
 
 _KEYS = ["feed_id", "file_id"]
@@ -191,7 +191,7 @@ def unified_records(records: DataFrame) -> DataFrame:
     files = cut(file_schemas(records))
     union = _folded(files).select("m", F.expr(promote("kinds")).alias("kind"))
     fields = files.select(*_KEYS, F.explode("schema").alias("f")).select(*_KEYS, "f.field", "f.m")
-    typed = fields.join(sized(union, BROADCAST_FILES), "m", "left").groupBy(*_KEYS)
+    typed = fields.join(sized(union, BROADCAST_FILES, texts=True), "m", "left").groupBy(*_KEYS)
     plan = typed.agg(
         F.map_from_entries(F.collect_list(F.when((F.col("kind") == "string") & ~F.col("m").isin(*FIELDS), F.struct("field", F.lit(True))))).alias("texts"),
         *(F.array_sort(F.collect_list(F.when(F.col("m") == f, F.col("field")))).alias(f"{f}_names") for f in FIELDS),
@@ -199,7 +199,7 @@ def unified_records(records: DataFrame) -> DataFrame:
     plan = cut(plan.select(F.col("feed_id").alias("__feed"), F.col("file_id").alias("__file"), "texts", *(f"{f}_names" for f in FIELDS)))
     once = with_object(records.select(*_KEYS, "rec_no", "record").distinct(), "record", "o")
     same = F.col("feed_id").eqNullSafe(F.col("__feed")) & F.col("file_id").eqNullSafe(F.col("__file"))
-    rows = once.join(sized(plan, BROADCAST_FILES), same, "left").withColumn("all", get(F.col("o"), "$", "map<string,variant>"))
+    rows = once.join(sized(plan, BROADCAST_FILES, texts=True), same, "left").withColumn("all", get(F.col("o"), "$", "map<string,variant>"))
     rows = rows.withColumn("members", F.expr("map_filter(all, (n, x) -> NOT is_variant_null(x))"))
     chosen = "get(filter({0}_names, n -> map_contains_key(members, n)), 0)"
     rows = rows.select(*_KEYS, "rec_no", "members", "texts", *(F.expr(chosen.format(f)).alias(f"{f}_name") for f in FIELDS))

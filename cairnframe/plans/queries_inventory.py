@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from cairnframe.functions import paths
-from cairnframe.functions.exec import table
+from cairnframe.functions.exec import sized, table
 from cairnframe.operators import browse, compare, reuse, snapshots
 from cairnframe.operators.snapshots_view import paired, side
 from cairnframe.plans import consolidate, s3import

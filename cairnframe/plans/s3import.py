@@ -73,7 +73,7 @@ def _records(spark: SparkSession, files: list[str]) -> DataFrame:
     for f in files:
         p = path(f)
         uris.append(p.getFileSystem(conf).makeQualified(p).toUri().toString())
-    numbers = F.broadcast(spark.createDataFrame([(u, i) for i, u in enumerate(uris)], "__uri string, file_no int")).withColumn("__uri", plain("__uri"))  # as many as the manifest names
+    numbers = spark.createDataFrame([(u, i) for i, u in enumerate(uris)], "__uri string, file_no int").withColumn("__uri", plain("__uri"))
     lines = spark.read.option("lineSep", "\n").text(files)
     lines = lines.select(plain("_metadata.file_path").alias("__uri"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("raw"))
     lines = lines.join(numbers, "__uri").drop("__uri")
