@@ -24,9 +24,12 @@ _HASHED = "rel_path string, name string, ext string, size long, mtime_ns long, s
 
 
 def hash_rows(pending: DataFrame, root: str, parallelism: int | None = None) -> DataFrame:
-    """Read and hash the files of pending rows on the executors, streaming; parallelism spares slow disks."""
-    if parallelism:
-        pending = pending.repartition(parallelism)
+    """Read and hash the files of pending rows on the executors, streaming, in `parallelism` tasks.
+
+    Rows are spread by their paths, four tasks for each core unless told otherwise, so that a single folder with all
+    files isn't one task; few tasks spare slow disks.
+    """
+    pending = pending.repartition(parallelism or 4 * pending.sparkSession.sparkContext.defaultParallelism, "rel_path")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
