@@ -63,10 +63,7 @@ def confusables(spark: SparkSession) -> dict[str, str]:
 def table() -> dict[str, str]:
     """Every character that another stands for, and '' for those that show nothing; made by rule from Unicode data, in the
     driver of a running session."""
-    spark = SparkSession.getActiveSession()
-    if spark is None:
-        raise RuntimeError("the table of look-alikes needs a running session")
-    out: dict[str, str] = confusables(spark)
+    out: dict[str, str] = confusables(SparkSession.active())
     for code in range(sys.maxunicode + 1):
         ch = chr(code)
         kind = unicodedata.category(ch)
@@ -92,17 +89,31 @@ def table() -> dict[str, str]:
     return {k: "".join(shapes.get(x, x) for x in v) for k, v in out.items()}
 
 
-def visual_form(text: str | None, t: dict[str, str] | None = None) -> str | None:
+class Translation(dict):
+    """A table for str.translate that also holds the characters met that stand for themselves, as a miss costs more."""
+
+    def __missing__(self, code: int) -> int:
+        self[code] = code
+        return code
+
+
+@cache
+def translation() -> Translation:
+    """What every character reads as; what it stands for may itself stand for another."""
+    t = table()
+    return Translation({ord(k): "".join(t.get(c, c) for c in v) for k, v in t.items()})
+
+
+def visual_form(text: str | None, t: Translation | None = None) -> str | None:
     """The consistent form of one text: composed, without invisible characters, look-alikes replaced."""
     if text is None or text.isascii() and text.isprintable():
         return text
-    t = t or table()
-    return unicodedata.normalize("NFC", "".join(t.get(c, c) for x in unicodedata.normalize("NFD", text) for c in t.get(x, x)))
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text).translate(t or translation()))
 
 
 def visual_form_column(text: Column) -> Column:
-    """visual_form in Arrow batches; the table is made once, on the driver, and goes along (a few hundred entries)."""
-    t = table()
+    """visual_form in Arrow batches; the table is made once, on the driver, and goes along (about a thousand entries)."""
+    t = Translation(translation())
 
     @F.pandas_udf(StringType())
     def form(texts: pd.Series) -> pd.Series:
@@ -181,5 +192,5 @@ def consistent_paths(entries: DataFrame) -> DataFrame:
     members = spellings(entries, "scan_id", "rel_path")
     joined = rows.join(members, ["scan_id", "rel_path"], "left")
     return joined.select(
-        "scan_id", "rel_path", F.coalesce("canonical", "rel_path").alias("canonical"), visual_form_column(F.col("rel_path")).alias("form")
+        "scan_id", "rel_path", F.coalesce("canonical", "rel_path").alias("canonical"), reading_key(F.col("rel_path")).alias("form")
     )
