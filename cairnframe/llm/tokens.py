@@ -189,16 +189,14 @@ def decode_corpus(encoded: DataFrame, name: str = "byte_bpe_50k", folder: str =
     """(doc_id, text) of (doc_id, ids): ids joined with the token-byte table, bytes put together by position.
 
     An empty list is an empty text, a NULL list a NULL one. An id outside the vocabulary gives nothing. Bytes that are
-    no valid UTF-8 become U+FFFD. doc_id has to be unique. The vocabulary is broadcast (fixed size).
+    no valid UTF-8 become U+FFFD. Every row gives a row, also repeated ones: rows are told apart by doc_id and the hash of
+    their ids. encoded is read once. The vocabulary is broadcast (fixed size).
     """
-    at = encoded.select("doc_id", F.posexplode("ids").alias("pos", "id"))
+    at = encoded.select("doc_id", F.col("ids").isNull().alias("none"), F.xxhash64("ids").alias("mark"), F.posexplode_outer("ids").alias("pos", "id"))
     bytes_ = F.broadcast(token_table(encoded.sparkSession, name, folder).withColumn("hex", F.hex("bytes")).drop("bytes"))
     # hex text keeps bytes through array_join, which takes strings only
-    texts = (
-        at.join(bytes_, "id")
-        .groupBy("doc_id")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "hex"))).alias("parts"))
-        .select("doc_id", F.decode(F.unhex(F.array_join(F.col("parts.hex"), "")), "UTF-8").alias("text"))
+    texts = at.join(bytes_, "id", "left").groupBy("doc_id", "none", "mark").agg(
+        F.array_sort(F.collect_set(F.struct("pos", "hex"))).alias("parts"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies")
     )
-    empty = F.when(F.col("ids").isNotNull(), F.lit(""))
-    return encoded.select("doc_id", empty.alias("none")).join(texts, "doc_id", "left").select("doc_id", F.coalesce("text", "none").alias("text"))
+    text = F.when(~F.col("none"), F.decode(F.unhex(F.array_join(F.col("parts.hex"), "")), "UTF-8"))
+    return texts.select("doc_id", text.alias("text"), F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "text")

@@ -40,8 +40,10 @@ def test_round_trip(spark):
     df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], D)
     back = {r["doc_id"]: r["text"] for r in tokens.decode_corpus(tokens.encode_corpus(df)).collect()}
     assert back == {i: t or "" for i, t in enumerate(texts)}
-    odd = spark.createDataFrame([(1, [10**6, 64]), (2, None)], "doc_id long, ids array<int>")
-    assert {r["doc_id"]: r["text"] for r in tokens.decode_corpus(odd).collect()} == {1: "a", 2: None}
+    odd = spark.createDataFrame([(1, [10**6, 64]), (2, None), (3, []), (3, []), (3, [64, 65]), (3, [64, 65]), (3, [65, 64]), (None, [64])], "doc_id long, ids array<int>")
+    got = sorted(((r["doc_id"], r["text"]) for r in tokens.decode_corpus(odd).collect()), key=repr)
+    assert got == sorted([(1, "a"), (2, None), (3, ""), (3, ""), (3, "ab"), (3, "ab"), (3, "ba"), (None, "a")], key=repr)
+    assert tokens.decode_corpus(odd.limit(0)).count() == 0
 
 
 def test_small_blocks(reference):
