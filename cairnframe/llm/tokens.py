@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairnframe.functions.exec import cut
+from cairnframe.functions.exec import cut, once
 
 TOKENIZERS = "/opt/tokenizers"
 #: Fixed value: the pre-tokens of the byte-level BPE.
@@ -192,11 +192,14 @@ def decode_corpus(encoded: DataFrame, name: str = "byte_bpe_50k", folder: str =
     no valid UTF-8 become U+FFFD. Every row gives a row, also repeated ones: rows are told apart by doc_id and the hash of
     their ids. encoded is read once. The vocabulary is broadcast (fixed size).
     """
-    at = encoded.select("doc_id", F.col("ids").isNull().alias("none"), F.xxhash64("ids").alias("mark"), F.posexplode_outer("ids").alias("pos", "id"))
+    rows = once(encoded, "doc_id", "ids", F.col("ids").isNull().alias("none"), F.xxhash64("ids").alias("mark"))  # not for every id
+    at = rows.select("doc_id", "none", "mark", F.posexplode_outer("ids").alias("pos", "id"))
     bytes_ = F.broadcast(token_table(encoded.sparkSession, name, folder).withColumn("hex", F.hex("bytes")).drop("bytes"))
     # hex text keeps bytes through array_join, which takes strings only
     texts = at.join(bytes_, "id", "left").groupBy("doc_id", "none", "mark").agg(
-        F.array_sort(F.collect_set(F.struct("pos", "hex"))).alias("parts"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies")
+        F.array_sort(F.collect_list(F.struct("pos", "hex"))).alias("parts"), F.count_if(F.coalesce("pos", F.lit(0)) == 0).alias("copies")
     )
-    text = F.when(~F.col("none"), F.decode(F.unhex(F.array_join(F.col("parts.hex"), "")), "UTF-8"))
+    # of equal rows' parts, which stand side by side, one of each
+    single = F.when(F.col("copies") == 1, F.col("parts")).otherwise(F.filter("parts", lambda _, i: i % F.col("copies") == 0))
+    text = F.when(~F.col("none"), F.decode(F.unhex(F.array_join(single["hex"], "")), "UTF-8"))
     return texts.select("doc_id", text.alias("text"), F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "text")
